@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import fingerprints, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
 }
 ORACLES = {**quality_rules.ORACLE}
