@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality_rules
+from . import fingerprints, mixing, quality_rules
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
 }
-ORACLES = {**quality_rules.ORACLE}
+ORACLES = {**mixing.ORACLE, **quality_rules.ORACLE}
