@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality_rules
+from . import bpe, fingerprints, mixing, quality_rules
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op6_bpe": bpe.op6_bpe,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
 }
 ORACLES = {**mixing.ORACLE, **quality_rules.ORACLE}
