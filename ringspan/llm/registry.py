@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, quality_rules
+from . import bpe, fingerprints, mixing, quality_rules, sstable
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_sstable": sstable.op5_sstable,
     "op6_bpe": bpe.op6_bpe,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
 }
