@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, quality_rules, sstable
+from . import bpe, fingerprints, mixing, quality_rules, sstable, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_sstable": sstable.op5_sstable,
     "op6_bpe": bpe.op6_bpe,
+    "op7_warc": warc.op7_warc,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
 }
 ORACLES = {**mixing.ORACLE, **quality_rules.ORACLE}
