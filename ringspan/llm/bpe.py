@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +66,7 @@ def _rows(batch: pa.RecordBatch):
 
 def _listing(path: str):
     def run(batches):
+        _common.cache_clear()
         split, chunks, now, seen = splitter(path), Chunks(), None, Counter()
 
         def flush():
@@ -120,10 +122,20 @@ def _fill(folder: str, chunk: int) -> dict[str, bytes]:
     return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
 
 
-def _assemble(path: str, folder: str, hot):
+@lru_cache(maxsize=1)
+def _common(folder: str) -> dict[str, bytes]:
+    """Ids of the words of high count; a worker holds one such table."""
+    import pyarrow.dataset as ds
+
+    store, path = filesystem(folder)
+    found = ds.dataset(path, format="parquet", filesystem=store).to_table(columns=["word", "ids"])
+    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
+
+
+def _assemble(path: str, folder: str, hot: str, decoded: bool):
     def run(batches):
         split, chunks, now, ids_of = splitter(path), Chunks(), None, {}
-        common = hot.value
+        common, table_ = _common(hot), pieces(path) if decoded else None
 
         def rows(batch):
             nonlocal now, ids_of
@@ -132,10 +144,11 @@ def _assemble(path: str, folder: str, hot):
                 name = chunks.of(file, start, text or "")
                 if name != now:
                     now, ids_of = name, _fill(folder, name)
-                yield ids[i], b"".join([common.get(w) or ids_of[w] for w in split.words(text or "")])
+                raw = b"".join([common.get(w) or ids_of[w] for w in split.words(text or "")])
+                yield (ids[i], raw, _text(table_, raw)) if decoded else (ids[i], raw)
 
         for batch in batches:
-            yield from _slices(["doc_id", "ids"], [pa.int64(), pa.binary()], rows(batch))
+            yield from _slices(["doc_id", "ids", "decoded"][: 2 + decoded], [pa.int64(), pa.binary(), pa.string()][: 2 + decoded], rows(batch))
 
     return run
 
@@ -145,8 +158,9 @@ def distinct_words(listed: DataFrame, path: str) -> DataFrame:
     return listed.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_encode_words(path), "word string, n bigint, ids binary")
 
 
-def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, stored: bool = False) -> DataFrame:
-    """doc_id, ids (binary: unsigned 32-bit little-endian). ``stored``: docs is a plain table of files, to be read
+def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, stored: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary: unsigned 32-bit little-endian); with ``decoded``, also the text that :func:`decode`
+    makes of them, in the same pass. ``stored``: docs is a plain table of files, to be read
     twice as it is; any other DataFrame is written to the shared folder first, for its rows must come in the same
     order both times."""
     spark = docs.sparkSession
@@ -162,12 +176,16 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, stored: bool
         if (total := total + r["count"]) > hot_words:
             break
         least = r["level"]
-    hot = words.filter(level >= least)
-    common = dict(zip(*[c.to_pylist() for c in hot.select("word", "ids").toArrow().columns], strict=True))
+    hot = words.filter(level >= least).select("word", "ids")
+    hot.write.option("compression", "zstd").parquet(common := fresh(spark, "bpe-hot"))
     rare = words.filter(level < least).select("word", "ids")
-    fill = listed.select("chunk", "word").join(F.broadcast(hot.select("word")), "word", "left_anti").join(rare, "word").select("chunk", "word", "ids")
+    fill = listed.select("chunk", "word").join(F.broadcast(spark.read.parquet(common).select("word")), "word", "left_anti").join(rare, "word").select("chunk", "word", "ids")
     fill.repartition(F.col("chunk")).write.partitionBy("chunk").option("compression", "zstd").parquet(folder := fresh(spark, "bpe-fill"))
-    return read.mapInArrow(_assemble(path, folder, spark.sparkContext.broadcast(common)), "doc_id bigint, ids binary")
+    return read.mapInArrow(_assemble(path, folder, common, decoded), "doc_id bigint, ids binary" + ", decoded string" * decoded)
+
+
+def _text(table_: list[bytes], raw: bytes) -> str:
+    return b"".join(map(table_.__getitem__, memoryview(raw).cast("I"))).decode("utf-8", "replace")
 
 
 def _decode(path: str):
@@ -177,8 +195,7 @@ def _decode(path: str):
         def rows(batch):
             for i, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 raw = ids.as_py()
-                text = b"".join(map(table_.__getitem__, memoryview(raw).cast("I"))).decode("utf-8", "replace")
-                yield i, raw, text
+                yield i, raw, _text(table_, raw)
 
         for batch in batches:
             yield from _slices(["doc_id", "ids", "decoded"], [pa.int64(), pa.binary(), pa.string()], rows(batch))
@@ -193,7 +210,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None, stored: bool = False) -> DataFrame:
     path = path or vocabulary("byte_bpe_50k.json")
-    return decode(encode(docs, path, stored=stored), path).select(
+    return encode(docs, path, stored=stored, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
