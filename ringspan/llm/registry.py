@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, quality_rules, secrets, sstable, url_filters, warc
+from . import bpe, chat, fingerprints, mixing, quality_rules, secrets, sstable, url_filters, warc
 
 QUERIES = {
+    "op10_chat_formatting": chat.op10_chat_formatting,
     "op1_mixing": mixing.op1_mixing,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_quality_rules": quality_rules.op3_quality_rules,
