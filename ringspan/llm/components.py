@@ -1,0 +1,28 @@
+"""Connected components of an edge table, by alternating stars; nothing is collected to the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """edges: a, b (any orderable type). Gives node, label (the least node of its component) for every node with
+    an edge to another. Each round halves chains at least; state is written to the shared folder round by round."""
+    now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    mark = None
+    while True:
+        both = now.union(now.select("b", "a"))
+        # large star: every greater neighbour of a node goes to the least in its neighbourhood
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        # small star: a node and its lesser neighbours go to the least of them
+        lower = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(lower, "b")
+        now = written(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), name)
+        seen = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
+        if tuple(seen) == mark:
+            return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+        mark = tuple(seen)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, mixing, quality_rules, secrets, sstable, url_filters, warc
+from . import bpe, chat, fingerprints, jaccard_join, mixing, quality_rules, secrets, sstable, url_filters, warc
 
 QUERIES = {
     "op10_chat_formatting": chat.op10_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_sstable": sstable.op5_sstable,
     "op6_bpe": bpe.op6_bpe,
     "op7_warc": warc.op7_warc,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
 }
 ORACLES = {**mixing.ORACLE, **quality_rules.ORACLE, **url_filters.ORACLE}
