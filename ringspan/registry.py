@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import graph_queries, pair_queries, window_queries
+
+_MODULES = (window_queries, pair_queries, graph_queries)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark, sf_dir):
