@@ -106,7 +106,9 @@ def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The documents a policy version keeps, all columns as they came."""
     names = docs.columns
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), F.col("text").alias("_text"))
-    good = apply_policy(ledger(packed, "_text", ("_row",)), version).filter("kept")
+    judged = apply_policy(ledger(packed, "_text", ("_row",)), version)
+    # not a filter: pushed below the measurements, its copies of their nested expressions would grow without end
+    good = judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
     return good.select(*[F.col("_row")[c].alias(c) for c in names])
 
 
