@@ -74,7 +74,9 @@ def minhash(indices: Column, n: int = 64, seed: str = "") -> Column:
 
 def bands(signature: Column, n_bands: int, size: int) -> Column:
     """H3: one key a band, of its number and its part of the signature."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda k: F.sha2(F.concat_ws("|", k.cast("string"), F.array_join(F.transform(F.slice(signature, k * size + 1, size), lambda x: x.cast("string")), ",")), 256))
+    part = lambda s, k: F.array_join(F.transform(F.slice(s, k * size + 1, size), lambda x: x.cast("string")), ",")
+    of = lambda s: F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda k: F.sha2(F.concat_ws("|", k.cast("string"), part(s, k)), 256))
+    return F.get(F.transform(F.array(signature), of), 0)  # the signature is evaluated once
 
 
 def role(name: str, dim: int) -> tuple[int, int]:
