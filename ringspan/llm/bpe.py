@@ -9,7 +9,7 @@
 
 Edge cases: a null text counts as empty and has no ids; texts that hold a special token's string encode it as the
 library does; repeated ``doc_id`` each keep their row; extra columns are ignored; an empty table gives an empty
-table. Long texts are encoded whole; a batch of results is cut at about 32 MB.
+table. Long texts are encoded whole; a batch of results is cut at about 8 MB.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh, table, written
+from .common import filesystem, fresh, small_batches, table, tidy, written
 from .pretokens import pieces, splitter
 
 HOT_WORDS = 200_000
 #: Characters of text after which a chunk ends: bounds a worker's dictionary.
 CHUNK_CHARS = 12_000_000
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -155,7 +155,7 @@ def _assemble(path: str, folder: str, hot: str, decoded: bool):
 
 def distinct_words(listed: DataFrame, path: str) -> DataFrame:
     """word, n (occurrences), ids (unsigned 32-bit little-endian): each distinct word encoded once."""
-    return listed.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_encode_words(path), "word string, n bigint, ids binary")
+    return listed.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(tidy(_encode_words(path)), "word string, n bigint, ids binary")
 
 
 def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, stored: bool = False, decoded: bool = False) -> DataFrame:
@@ -164,10 +164,11 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, stored: bool
     twice as it is; any other DataFrame is written to the shared folder first, for its rows must come in the same
     order both times."""
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     source = docs if stored else written(slim, "bpe-docs")
     read = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
-    listed = written(read.select("text", "_path", "_start").mapInArrow(_listing(path), "chunk bigint, word string, n bigint"), "bpe-listed")
+    listed = written(read.select("text", "_path", "_start").mapInArrow(tidy(_listing(path)), "chunk bigint, word string, n bigint"), "bpe-listed")
     words = written(distinct_words(listed, path), "bpe-words")
     # classes of counts, an eighth of a doubling each: at most some 500 rows, however large the corpus
     level = F.floor(8 * F.log2("n")).cast("int")
@@ -181,7 +182,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, stored: bool
     rare = words.filter(level < least).select("word", "ids")
     fill = listed.select("chunk", "word").join(F.broadcast(spark.read.parquet(common).select("word")), "word", "left_anti").join(rare, "word").select("chunk", "word", "ids")
     fill.repartition(F.col("chunk")).write.partitionBy("chunk").option("compression", "zstd").parquet(folder := fresh(spark, "bpe-fill"))
-    return read.mapInArrow(_assemble(path, folder, common, decoded), "doc_id bigint, ids binary" + ", decoded string" * decoded)
+    return read.mapInArrow(tidy(_assemble(path, folder, common, decoded)), "doc_id bigint, ids binary" + ", decoded string" * decoded)
 
 
 def _text(table_: list[bytes], raw: bytes) -> str:
@@ -205,7 +206,7 @@ def _decode(path: str):
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` to doc_id and ids: each id joined with its piece."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id bigint, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decode(path)), "doc_id bigint, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, stored: bool = False) -> DataFrame:

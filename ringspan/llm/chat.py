@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 
 ROLES = ("system", "user", "assistant")
 #: Names for the three roles.
@@ -219,6 +219,7 @@ def _repair(batches):
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, text. One row per turn, as in REPAIRED; order within a conversation: part, chunk, pos."""
+    small_batches(turns.sparkSession)
     slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     labelled = written(slim.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_label, LABELLED), "chat")

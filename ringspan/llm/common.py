@@ -29,14 +29,12 @@ def words_of(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only where that is unset (as in tests on one
     machine) is a folder of our own chosen."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.startswith("local-") or not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.gettempdir()}/ringspan-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/ringspan-{os.getpid()}")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -74,5 +72,35 @@ def put_file(uri: str, chunks) -> int:
     return size
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: unless the session says otherwise, Arrow carries so many rows at a time, which bounds the buffers
+    of executors and workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def tidy(work):
+    """For functions of mapInArrow: workers are used again by other stages, so what a task held goes back at its end."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -120,7 +120,8 @@ def _of(rng: random.Random, chars: str, n: int) -> str:
     return "".join(rng.choice(chars) for _ in range(n))
 
 
-#: Public credential formats, as (label, parts); a part is a literal or (characters, least, most).
+#: Public credential formats, as (label, parts); a part is a literal or (characters, least, most). Bare
+#: hexadecimal is left to the base pattern: shorter runs are as often hashes and serial numbers.
 _UP, _ALNUM, _URL64 = string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "_-"
 FORMATS = [
     ("cloud_access", ["AKIA", (_UP, 16, 16)]),
@@ -130,7 +131,6 @@ FORMATS = [
     ("maps_key", ["AIza", (_URL64, 35, 35)]),
     ("pay_key", ["sk_live_", (_ALNUM, 24, 24)]),
     ("web_token", ["eyJ", (_URL64, 30, 60), ".eyJ", (_URL64, 40, 90), ".", (_URL64, 43, 43)]),
-    ("hex_key", [("0123456789abcdef", 18, 64)]),
 ]
 
 

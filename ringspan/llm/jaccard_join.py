@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, table, words_of, written
+from .common import SHINGLE, small_batches, table, tidy, words_of, written
 from .components import components
 
 THRESHOLD, TARGET_RECALL = 0.8, 0.9999
@@ -248,30 +248,32 @@ def in_blocks(rows: DataFrame, keys: str, blocks: F.Column) -> DataFrame:
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: doc_id, node; links: node, links; classes: node, label of nodes that have links)."""
+    small_batches(docs.sparkSession)
     worded = nodes_of(docs)
-    signed = written(worded.filter("node IS NOT NULL").mapInArrow(_signatures(match_depth(threshold, target)), "doc_id bigint, node binary, signature binary, keys array<bigint>"), "signatures")
+    signed = written(worded.filter("node IS NOT NULL").mapInArrow(tidy(_signatures(match_depth(threshold, target))), "doc_id bigint, node binary, signature binary, keys array<bigint>"), "signatures")
     # one row a node; equal nodes have equal signatures
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("signature").alias("signature"), F.max("keys").alias("keys")), "nodes")
     placed = nodes.select(F.explode("keys").alias("key"), "node")
     met = placed.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("_c > 1")
     candidates = met.join(nodes.select("node", "signature"), "node")
     compared = in_blocks(candidates, "key", F.ceil(F.col("_c") / BLOCK_NODES)).select("key", "_i", "_j", "_own", "node", "signature")
-    likely = compared.mapInArrow(_compare(threshold - ESTIMATE_SLACK), "a binary, b binary")
+    likely = compared.mapInArrow(tidy(_compare(threshold - ESTIMATE_SLACK)), "a binary, b binary")
     groups = written(components(likely, "likely"), "groups")
     kept = groups.join(nodes.select("node", "rep", "copies"), "node")
     few = groups.count() <= SMALL_SIDE
     chosen = kept.select("label", F.col("node").alias("_node"), "rep", "copies")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen) if few else chosen, F.col("doc_id").eqNullSafe(F.col("rep")))
     hashed = nodes_of_columns(texts).filter(F.col("node") == F.col("_node")).select("label", "node", "copies", "h")
-    sets = written(hashed.mapInArrow(_sets, "label binary, node binary, copies bigint, shingles binary"), "shingles")
+    sets = written(hashed.mapInArrow(tidy(_sets), "label binary, node binary, copies bigint, shingles binary"), "shingles")
     sizes = sets.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).alias("_blocks"))
     blocked = in_blocks(sets.join(sizes, "label"), "label", F.col("_blocks")).select("label", "_i", "_j", "_own", "node", "copies", "shingles")
-    verified = written(blocked.mapInArrow(_verify(threshold), "a binary, b binary, links bigint"), "verified")
+    verified = written(blocked.mapInArrow(tidy(_verify(threshold)), "a binary, b binary, links bigint"), "verified")
     links = verified.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(verified.filter("b IS NOT NULL").select("a", "b"), "classes")
     named = classes.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
-    found = classes.join(named, "label").join(links, "node").select("node", "class_id", "links")
-    summed = nodes.select("node", "rep", "copies").join(found, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = classes.join(named, "label").join(links, "node").select("node", "label", "class_id", "links")
+    class_id = F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("class_id"))
+    summed = nodes.select("node", "rep", "copies").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return signed.select("doc_id", "node"), written(summed, "classed"), worded.filter("node IS NULL").select("doc_id")
 
 
@@ -302,13 +304,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARG
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), node.alias("_n"))
     few = away.count() <= SMALL_SIDE
     left = packed.join(F.broadcast(away) if few else away, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_node")), "left_anti")
-    # several rows with the class's least id (repeated rows): one stays. Rare, so it is looked for first.
-    again = told.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").count().filter("count > 1")
-    if again.limit(1).count():
-        first = F.row_number().over(Window.partitionBy("class_id").orderBy("_n", F.xxhash64("_row")))
-        named = told.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "class_id").distinct()
-        ranked = left.join(named, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_node")), "left").withColumn("_first", F.when(F.col("_n").isNull(), 1).otherwise(first))
-        left = ranked.filter("_first = 1")
+    # several rows of a class with its least id (repeated rows): one stays. Rare, so it is looked for first.
+    least = told.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", F.col("doc_id").alias("_id"), F.col("node").alias("_node")).count()
+    again = written(least.groupBy("label").agg(F.sum("count").alias("n"), F.collect_set("_node").alias("_nodes")).filter("n > 1").select("label", F.explode("_nodes").alias("_node")), "again")
+    if n := again.count():
+        match = F.col("_n") == F.col("_node")
+        first = F.row_number().over(Window.partitionBy("label").orderBy("_n", F.xxhash64("_row")))
+        twice = left.join(F.broadcast(again) if n <= SMALL_SIDE else again, match)
+        left = left.join(F.broadcast(again) if n <= SMALL_SIDE else again, match, "left_anti").select("_row").union(twice.withColumn("_first", first).filter("_first = 1").select("_row"))
     return left.select(*[F.col("_row")[c].alias(c) for c in names])
 
 

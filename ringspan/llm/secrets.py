@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 from .grammar import Model, default_model
 
 KINDS = ("assign", "access", "hex", "format")
@@ -73,6 +73,7 @@ def _scan(model: bytes):
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id and ``spans``: array of (kind, start, end), by start and kind."""
     slim = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     return slim.mapInArrow(_scan(pickle.dumps(model or default_model())), T.StructType([slim.schema["doc_id"], T.StructField("spans", SPANS)]))
 
 
@@ -103,6 +104,7 @@ def _mask(model: bytes, text_at: int, chars_at: int | None):
 
 def mask(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All columns as they came, secrets in ``text`` replaced and ``n_chars``, if there is one, counted anew."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     chars = names.index("n_chars") if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, T.IntegralType) else None
     return docs.mapInArrow(_mask(pickle.dumps(model or default_model()), names.index("text"), chars), docs.schema)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary
-from .common import filesystem, fresh, put_file, table
+from .common import filesystem, fresh, put_file, small_batches, table, tidy
 from .pretokens import splitter
 
 MAGIC = b"RSSTAB01"
@@ -219,10 +219,11 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     """Encodes and writes all documents; the manifest, a row a shard in ascending order of ids."""
     from tokenizers import Tokenizer
 
+    small_batches(docs.sparkSession)
     path = path or vocabulary("word_bpe_49k.json")
     width = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     ranged = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(r for r in ranged.mapInArrow(_write(path, folder, width, end_id), MANIFEST).collect() if r["n_docs"])
+    return sorted(r for r in ranged.mapInArrow(tidy(_write(path, folder, width, end_id)), MANIFEST).collect() if r["n_docs"])
 
 
 def _read(batches):
