@@ -118,8 +118,8 @@ def w9(spark, d):
 
 @query(
     "W1_W3_W4_tie_safe",
-    f"""WITH {A.ORDERS_SQL} SELECT a.seq, count(b.seq)::BIGINT AS n_7d, count(DISTINCT b.card)::BIGINT AS pans_7d, round(coalesce(avg(b.amount), 0), 6) AS mean_7d, round(coalesce(avg(b.is_declined::INTEGER::DOUBLE), 0), 6) AS declined_7d
-FROM auth a LEFT JOIN auth b ON a.account = b.account AND b.us >= a.us - 604800000000 AND (b.us < a.us OR (b.us = a.us AND b.seq < a.seq)) GROUP BY a.seq""",
+    f"""WITH {A.ORDERS_SQL}, n AS (SELECT *, row_number() OVER () AS row_ FROM auth) SELECT any_value(a.seq) AS seq, count(b.seq)::BIGINT AS n_7d, count(DISTINCT b.card)::BIGINT AS pans_7d, round(coalesce(avg(b.amount), 0), 6) AS mean_7d, round(coalesce(avg(b.is_declined::INTEGER::DOUBLE), 0), 6) AS declined_7d
+FROM n a LEFT JOIN auth b ON a.account = b.account AND b.us >= a.us - 604800000000 AND (b.us < a.us OR (b.us = a.us AND b.seq < a.seq)) GROUP BY a.row_""",
 )
 def w_ties(spark, d):
     auth = A.auth_orders(spark, d)
