@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import LeakageError
+from .ordered import running_totals
 
 TARGET_FPR = 0.001
 LEAST_POSITIVES = 25
@@ -15,18 +16,19 @@ SCENARIOS = ("sloppy", "moderate", "sophisticated", "drift")
 
 def threshold_at_fpr(scored: DataFrame, fpr: float = TARGET_FPR, y: str = "y", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """L4: the lowest score at which the share of negatives at or above it stays within the budget; infinity if none does.
-    Counts per distinct score first; the running sum then goes over those."""
-    levels = scored.groupBy(*by, score).agg(F.sum((F.col(y) == 0).cast("long")).alias("_neg"), F.count(F.lit(1)).alias("_n"))
-    down, all_ = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    held = levels.withColumn("_fp", F.sum("_neg").over(down)).withColumn("_all", F.sum("_neg").over(all_))
-    return held.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("_fp") <= fpr * F.col("_all"), F.col(score))), F.lit(float("inf"))).alias("threshold"))
+    Counts per distinct score first; their running sum goes over ranges of scores, so that many scores are no one task."""
+    levels = scored.groupBy(*by, F.col(score).alias("_s")).agg(F.sum((F.col(y) == 0).cast("long")).alias("_neg"))
+    held = running_totals(levels, "_s", {"_below": "_neg"}, by)
+    total = levels.groupBy(*by).agg(F.sum("_neg").alias("_all"))
+    met = held.join(total, list(by)) if by else held.crossJoin(F.broadcast(total))  # one row
+    return met.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("_all") - F.col("_below") <= fpr * F.col("_all"), F.col("_s"))), F.lit(float("inf"))).alias("threshold"))
 
 
 def rank_auc(scored: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Area under the curve with ties at half, from counts per distinct score."""
-    levels = scored.groupBy(score).agg(F.sum((F.col(y) == 1).cast("double")).alias("p"), F.sum((F.col(y) == 0).cast("double")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return levels.withColumn("u", F.col("p") * (below + F.col("n") / 2)).agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum("n")).alias("auc"))
+    levels = scored.groupBy(F.col(score).alias("_s")).agg(F.sum((F.col(y) == 1).cast("double")).alias("p"), F.sum((F.col(y) == 0).cast("double")).alias("n"))
+    ranked = running_totals(levels, "_s", {"_below": "n"})
+    return ranked.withColumn("u", F.col("p") * (F.col("_below") + F.col("n") / 2)).agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def at_threshold(scored: DataFrame, threshold: DataFrame, y: str = "y", score: str = "score") -> DataFrame:

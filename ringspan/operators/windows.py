@@ -24,6 +24,22 @@ def tie_safe(keys: list[str], seconds: int, fields: dict[str, Column]) -> Column
     return F.filter(rows, lambda r: (r["_us"] < F.col("us")) | (r["_seq"] < F.col("seq")))
 
 
+def sliced(auth: DataFrame, seconds: int) -> DataFrame:
+    """Splits every key's history into slices of the longest span, for keys too hot for one task: a row is in its own
+    slice and, as context, in the next. Put ``_slice`` among the keys, and drop ``_context`` rows after the windows. Exact
+    for spans up to ``seconds``."""
+    width = F.floor(F.col("us") / F.lit(seconds * 1_000_000)).cast("long")
+    both = F.array(F.struct(width.alias("_slice"), F.lit(False).alias("_context")), F.struct((width + 1).alias("_slice"), F.lit(True).alias("_context")))
+    return auth.select("*", F.inline(both))
+
+
+def account_features(auth: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
+    """W1-W7 with every key's history split by weeks."""
+    by = (*keys, "_slice")
+    rows = sliced(flags(auth), max(M.SPANS.values()))
+    return rows.withColumns({**account_windows(rows, by), **testing_signals(by)}).filter("NOT _context").drop("_slice", "_context")
+
+
 def flags(auth: DataFrame) -> DataFrame:
     return auth.withColumns({
         "f_decline": M.declined(F.col("response_code")).cast("double"), "f_zero_auth": F.col("zero_auth").cast("double"), "f_cvv_bad": M.cvv_bad(F.col("cvv_result")).cast("double"),
@@ -88,8 +104,7 @@ def own_event() -> dict[str, Column]:
 
 def stream_features(auth: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
     """All 54 features of every event, by its keys; the input's columns stay."""
-    by_account = flags(auth).withColumns({**account_windows(auth, keys), **testing_signals(keys)})
-    return with_novelty(by_account, keys).withColumns({**entity_windows(), **own_event()})
+    return with_novelty(account_features(auth, keys), keys).withColumns({**entity_windows(), **own_event()})
 
 
 FEATURES = sorted(

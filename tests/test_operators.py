@@ -67,6 +67,27 @@ def test_windows_see_only_the_past(spark):
     assert got == {s: sum(a2 == a and u - 3_600_000_000 <= u2 <= u and (u2 < u or s2 < s) for a2, s2, u2 in rows) for a, s, u in rows}
 
 
+def test_slices_change_nothing(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(2), s, rng.randrange(40 * 86_400) * 1_000_000 + s, rng.randrange(5), f"m{rng.randrange(4)}", f"{rng.randrange(999):06d}", rng.random() * 20, rng.random() < 0.5, rng.choice(["approved", "declined_risk"]), "match", "match") for s in range(300)]
+    auth = spark.createDataFrame(rows, "account int, seq int, us bigint, card int, merchant string, suffix string, amount double, zero_auth boolean, response_code string, avs_result string, cvv_result string")
+    plain, cut = W.flags(auth).withColumns(W.account_windows(auth)), W.account_features(auth)
+    names = ["seq", *W.account_windows(auth)]
+    a, b = ({r.seq: tuple(round(float(x), 9) for x in r) for r in df.select(names).collect()} for df in (plain, cut))
+    assert a == b
+
+
+def test_running_totals(spark):
+    from ringspan.operators.ordered import running_totals
+
+    rows = [(i * 37 % 1009 / 10, i % 5) for i in range(1000)]
+    got = {r.k: r.t for r in running_totals(spark.createDataFrame(rows, "k double, v int"), "k", {"t": "v"}, parts=16).collect()}
+    total = 0
+    for k, v in sorted(rows):
+        assert got[k] == total
+        total += v
+
+
 def test_all_features(spark):
     rows = [(s, s * 600_000_000, "t", 1, "m1", 5, "000005", 3.0, s % 2 == 0, "approved", "match", "match", 1, 1, 1) for s in range(5)]
     auth = spark.createDataFrame(rows, "seq bigint, us bigint, t string, account int, merchant string, card int, suffix string, amount double, zero_auth boolean, response_code string, avs_result string, cvv_result string, device int, ip int, institution int")
