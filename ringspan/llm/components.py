@@ -16,7 +16,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = now.union(now.select("b", "a"))
         # large star: every greater neighbour of a node goes to the least in its neighbourhood
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # (written first: a join of two plain shuffles can split the partition of a centre with many neighbours)
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least")
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         # small star: a node and its lesser neighbours go to the least of them
         lower = large.groupBy("b").agg(F.min("a").alias("m"))

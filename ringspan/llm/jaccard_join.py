@@ -296,8 +296,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARG
     """Documents less all but one of each class, all columns as they came. The one is a document with the class's
     least id; texts without words stay."""
     members, classed, _ = near_pairs(docs, threshold, target)
-    told = members.join(classed, "node")
-    away = written(told.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "away")
+    # nothing but the join in this job, so that a node of many copies can be split
+    told = written(members.join(classed.select("node", "label", "class_id"), "node"), "told")
+    away = told.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     names = docs.columns
     words = words_of(docs["text"])
     node = F.when(F.size(words) > 0, F.unhex(F.substr(F.sha2(F.array_join(words, " "), 256), F.lit(1), F.lit(32))))
@@ -317,3 +318,18 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARG
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: Ids are unique in the tables.
+ORACLE = {"op8_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM k JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 10 * k >= 8 * (p.n + q.n - k)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS seen FROM (SELECT DISTINCT x FROM e) UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen),
+c AS (SELECT doc_id, min(seen) AS class_id FROM r GROUP BY doc_id),
+d AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x)
+SELECT w.doc_id, coalesce(c.class_id, w.doc_id) AS class_id, coalesce(d.n_links, 0)::BIGINT AS n_links FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id"""}
