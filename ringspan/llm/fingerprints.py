@@ -37,8 +37,11 @@ STEP = [_draw("step", j) | 1 for j in range(BINS)]
 START = [_draw("start", j) for j in range(BINS)]
 
 
-def _ints(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _ints(values, kind: str = "bigint") -> Column:
+    """A constant array; a long one is a single folded literal, however many ranges there are."""
+    if len(values) <= 256:
+        return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -94,12 +97,13 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
     one = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), key.alias("_k"))
     ranges = per_partition * shuffle_partitions(docs.sparkSession)
-    cuts = one.agg(F.percentile_approx("_k", _ints([i / ranges for i in range(1, ranges)]), F.lit(20 * ranges))).first()[0]
+    shares = _ints([i / ranges for i in range(1, ranges)], "double")
+    cuts = one.agg(F.percentile_approx("_k", shares, F.lit(20 * ranges))).first()[0]
     home = lower_bound(sorted(set(cuts or [])), F.col("_k"))
     tops = sorted((r[0], r[1]) for r in one.select(home.alias("_r"), "_k").groupBy("_r").agg(F.max("_k")).collect())
     copy = F.array_position(_ints([k for _, k in tops]) if tops else F.array().cast("array<bigint>"), F.col("_k")).cast("int")
     above = [r for r, _ in tops[1:] + tops[:1]]
-    sent = F.when(copy > 0, F.struct(F.get(_ints(above) if above else F.array().cast("array<int>"), copy - 1).alias("_to"), (copy == len(tops)).alias("_wraps"), F.lit(True).alias("_guest")))
+    sent = F.when(copy > 0, F.struct(F.get(_ints(above) if above else F.array().cast("array<int>"), copy - 1).cast("int").alias("_to"), (copy == len(tops)).alias("_wraps"), F.lit(True).alias("_guest")))
     dealt = one.select("*", F.inline(F.array_compact(F.array(F.struct(home.alias("_to"), F.lit(False).alias("_wraps"), F.lit(False).alias("_guest")), sent))))
     ranged = with_bins(dealt.repartition(F.col("_to")), "text", "_bins")
     w = Window.partitionBy("_to").orderBy("_wraps", F.desc("_k"), F.sha2("text", 256))
