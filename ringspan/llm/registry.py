@@ -16,4 +16,4 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
 }
-ORACLES = {**mixing.ORACLE, **quality_rules.ORACLE, **url_filters.ORACLE}
+ORACLES = {**mixing.ORACLE, **quality_rules.ORACLE, **url_filters.ORACLE, **warc.ORACLE, **jaccard_join.ORACLE}
