@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .pairs import guarded_pairs, priority
 from .storage import written
 
@@ -134,22 +135,6 @@ def ring_subgraph(edges: DataFrame, members: DataFrame, limit: int = 200) -> Dat
     return edges.join(near.select(F.col("node").alias("src")), "src", "left_semi").join(near.select(F.col("node").alias("dst")), "dst", "left_semi")
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """node, label (its component's least node) from pairs (left, right): alternating stars, in the shared folder."""
-    now = written(pairs.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).filter("a < b").distinct(), "components")
-    mark = None
-    while True:
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        small = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
-        now = written(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "components")
-        seen = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
-        if seen == mark:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
-        mark = seen
-
-
 def _louvain(edges: list[tuple], total: float, resolution: float, seed: int) -> dict:
     """Weighted Louvain of one component; ``total`` is twice the weight of the whole graph."""
     names = sorted({x for a, b, _ in edges for x in (a, b)})
@@ -206,7 +191,7 @@ def communities(pairs: DataFrame, institutions: DataFrame | None = None, resolut
     components, so each component is optimised in a task of its own against the whole graph's weight."""
     pairs = written(pairs, "projection")
     total = 2 * (pairs.agg(F.sum("weight")).first()[0] or 1.0)
-    labels = components(pairs)
+    labels = components(pairs.select(F.col("left").alias("a"), F.col("right").alias("b")))
     inner = pairs.join(labels.withColumnRenamed("node", "left"), "left").select("label", "left", "right", "weight")
     kind = pairs.schema["left"].dataType.simpleString()
 

@@ -88,8 +88,6 @@ def j15(spark, d):
     return P.link_summary(links, people.filter("ring IS NOT NULL").select("ring", "identity"))
 
 
-_TRUTH = "truth AS (SELECT o_custkey AS account, min(o_orderdate) AS since, count(*) % 2 = 0 AS fraud FROM orders GROUP BY o_custkey)"
-
 
 @query(
     "J1_J4_truth_and_cohort_flags",

@@ -70,8 +70,6 @@ def bands(spark, d):
     return auth.withColumn("s", score).groupBy(band(F.col("s")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("amount"), F.round(F.avg("s"), 6).alias("mean_score"))
 
 
-_ENTROPY = """CASE WHEN n < 3 THEN 1.0 WHEN g IS NULL THEN 0.0 ELSE least(1.0, g / log2(6)) END"""
-
 
 @query(
     "W5_W6_W7_entropy_and_timing",
