@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import SHINGLE, small_batches, table, tidy, words_of, written
-from .components import components
 
 THRESHOLD, TARGET_RECALL = 0.8, 0.9999
 TREES, DEPTH = 20, 6

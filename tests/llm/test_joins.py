@@ -9,7 +9,7 @@ import pytest
 
 from ringspan.llm import chat, jaccard_join, url_filters, warc
 from ringspan.llm.common import fresh
-from ringspan.llm.components import components
+from ringspan.operators.components import components
 
 from .test_fixtures import DOCS, documents, frame
 
