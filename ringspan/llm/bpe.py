@@ -181,7 +181,8 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, stored: bool
     hot.write.option("compression", "zstd").parquet(common := fresh(spark, "bpe-hot"))
     rare = words.filter(level < least).select("word", "ids")
     fill = listed.select("chunk", "word").join(F.broadcast(spark.read.parquet(common).select("word")), "word", "left_anti").join(rare, "word").select("chunk", "word", "ids")
-    fill.repartition(F.col("chunk")).write.partitionBy("chunk").option("compression", "zstd").parquet(folder := fresh(spark, "bpe-fill"))
+    # four parts a chunk deal more evenly than one
+    fill.repartition(F.col("chunk"), F.pmod(F.xxhash64("word"), F.lit(4))).write.partitionBy("chunk").option("compression", "zstd").parquet(folder := fresh(spark, "bpe-fill"))
     return read.mapInArrow(tidy(_assemble(path, folder, common, decoded)), "doc_id bigint, ids binary" + ", decoded string" * decoded)
 
 
