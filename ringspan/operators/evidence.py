@@ -17,7 +17,6 @@ METRICS = {
     "cvv_mismatch_rate": ("weaponise", "higher"), "avs_mismatch_rate": ("weaponise", "higher"), "zero_auth_ratio": ("weaponise", "higher"), "low_ticket_ratio": ("weaponise", "higher"),
     "pan_digit_entropy": ("weaponise", "lower"), "merchants_per_account": ("weaponise", "neutral"), "peak_attempts_per_hour": ("weaponise", "higher"),
 }
-#: Phrases for some of the metrics' fields.
 SIGNALS = [m for m, (stage, _) in METRICS.items() if stage == "manufacture"]
 SUFFIXES = 400
 
