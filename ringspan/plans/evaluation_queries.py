@@ -69,7 +69,7 @@ ev AS (SELECT *, CASE WHEN direction <> 'count' AND baseline <> 0 THEN value / b
 
 
 def evidence(spark, d):
-    return V.for_rings(A.identities(spark, d), V.rollup(auth(spark, d)), [0, 2])
+    return V.for_rings(A.identities(spark, d), V.rollup(auth(spark, d)), [0, 2]).withColumn("ring", F.col("ring").cast("bigint"))
 
 
 @query("A5_ring_against_rest", f"WITH {_EVID} SELECT ring, metric, direction, round(value, 6) AS value, round(baseline, 6) AS baseline, round(ratio, 6) AS ratio, elevated FROM ev")

@@ -166,12 +166,12 @@ def k3(spark, d):
 
 @query(
     "K4_K8_array_top_and_distinct",
-    """SELECT vec_id, (SELECT list(i ORDER BY i) FROM (SELECT i FROM (SELECT unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x) ORDER BY x DESC, i LIMIT 8)) AS winners FROM embeddings""",
+    """SELECT vec_id, (SELECT string_agg(i::VARCHAR, ',' ORDER BY i) FROM (SELECT i FROM (SELECT unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x) ORDER BY x DESC, i LIMIT 8)) AS winners FROM embeddings""",
 )
 def k4(spark, d):
     from ..functions.sketches import winners
 
-    return A.table(spark, d, "embeddings").select("vec_id", F.array_sort(winners(F.transform("embedding", lambda x: x.cast("double")), 8)).alias("winners"))
+    return A.table(spark, d, "embeddings").select("vec_id", F.array_join(F.array_sort(winners(F.transform("embedding", lambda x: x.cast("double")), 8)).cast("array<string>"), ",").alias("winners"))
 
 
 @query("K7_seed_per_ring", f"WITH {A.IDENTITY_SQL} SELECT ring, arg_min(identity, (liveness, identity)) AS seed FROM ident WHERE is_synthetic GROUP BY ring")
@@ -189,7 +189,7 @@ def k9(spark, d):
     return r.groupBy("segment").agg(F.max(F.round(M.severity(F.col("ratio")), 6)).alias("peak"), F.sum((F.col("ratio") > 1).cast("long")).alias("elevated"), F.count(F.lit(1)).alias("scored"))
 
 
-@query("U3_P15_institutions", "SELECT l_partkey % 50 AS community, list_sort(list(DISTINCT l_suppkey % 6)) AS institutions, count(DISTINCT l_suppkey % 6) > 1 AS crosses FROM lineitem GROUP BY 1")
+@query("U3_P15_institutions", "SELECT l_partkey % 50 AS community, array_to_string(list_sort(list(DISTINCT l_suppkey % 6)), ',') AS institutions, count(DISTINCT l_suppkey % 6) > 1 AS crosses FROM lineitem GROUP BY 1")
 def u3(spark, d):
     held = A.table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("community")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 6)).alias("institutions"))
-    return held.withColumn("crosses", M.cross_institution(F.col("institutions")))
+    return held.select("community", F.array_join(F.col("institutions").cast("array<string>"), ",").alias("institutions"), M.cross_institution(F.col("institutions")).alias("crosses"))
