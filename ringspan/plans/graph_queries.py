@@ -132,11 +132,22 @@ def a16(spark, d):
 
 
 def found(spark, d):
-    """Communities of the suppliers that share rare parts: a projection that falls apart into components."""
-    e = A.attribute_edges(spark, d).filter("attribute % 23 = identity % 23")
+    """Communities of the suppliers by all parts they share: nearly every pair shares one, so this is one component."""
+    e = A.attribute_edges(spark, d)
     return G.communities(G.project(e), e.select("identity", "institution").distinct())
 
 
+def applicants(spark, d):
+    """Communities of the identity graph, whose members carry ring labels: shared attributes and the links of resolve()."""
+    p = people(spark, d)
+    kinds = (("device", "device"), ("address", "address"), ("email", "email"), ("phone", "phone"), ("ip_asn", "ip"))
+    held = p.select("identity", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("attribute")) for kind, c in kinds])).alias("x")).select("identity", "x.*")
+    ends = [F.substring_index(c, ":", -1).cast("bigint").alias(side) for c, side in (("src", "left"), ("dst", "right"))]
+    direct = graph(spark, d).filter(F.col("src").startswith("identity:") & F.col("dst").startswith("identity:")).select(*ends, "edge_type", "weight")
+    direct = direct.withColumns({"left": F.least("left", "right"), "right": F.greatest("left", "right")})  # the graph orders them as strings
+    return G.communities(G.project(held, direct), p.select("identity", "institution"))
+
+
 @query("G5_communities")
 def g5(spark, d):
     return found(spark, d)[1]
@@ -146,6 +157,6 @@ def g5(spark, d):
 def g10(spark, d):
     from pyspark.sql import Window
 
-    members, table = found(spark, d)
+    members, table = applicants(spark, d)
     ranked = table.select("community", F.row_number().over(Window.orderBy(F.desc("score"), "community")).alias("rank"))
-    return G.match_rings(members, ranked, members.select("identity", (F.col("identity") % 23).alias("ring")))
+    return G.match_rings(members, ranked, people(spark, d).filter("ring IS NOT NULL").select("identity", "ring"))
