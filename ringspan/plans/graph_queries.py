@@ -103,6 +103,13 @@ def g8(spark, d):
     return G.ring_subgraph(graph(spark, d), members, 3).select("src", "dst", "edge_type", F.round("weight", 6).alias("weight"))
 
 
+@query("G8_ring_subgraph_whole", ORACLES["G8_ring_subgraph"].replace("LIMIT 3", "LIMIT 200"))
+def g8_whole(spark, d):
+    """With the operator's own limit of members; G8_ring_subgraph stays at the three of its SQL."""
+    members = people(spark, d).filter("ring = 1").select(F.concat(F.lit("identity:"), F.col("identity").cast("string")).alias("node"))
+    return G.ring_subgraph(graph(spark, d), members).select("src", "dst", "edge_type", F.round("weight", 6).alias("weight"))
+
+
 @query("G9_device_neighbours", f"WITH {GRAPH_SQL}, m AS (SELECT 'identity:' || identity AS node FROM ident WHERE ring = 2) SELECT src, dst FROM (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g) JOIN m ON src = node WHERE dst LIKE 'device:%'")
 def g9(spark, d):
     members = people(spark, d).filter("ring = 2").select(F.concat(F.lit("identity:"), F.col("identity").cast("string")).alias("node"))

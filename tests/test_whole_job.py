@@ -8,6 +8,7 @@ import pytest
 from ringspan import adapters as A
 from ringspan.operators import graph as G
 from ringspan.plans import graph_queries
+from ringspan.registry import QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -24,3 +25,11 @@ def test_communities_see_every_shared_part(spark):
 def test_planted_rings_are_those_of_the_identities(spark):
     planted = {r.ring: r.planted for r in graph_queries.g10(spark, DATA).collect()}
     assert planted == dict(duckdb.sql(f"SELECT c_custkey % 4, count(*) FROM '{DATA}/customer.parquet' WHERE c_custkey % 25 = 3 GROUP BY 1").fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_ring_subgraph_holds_every_member(spark):
+    d = "/root/testdata/sf0.01"
+    nodes = {x for r in QUERIES["G8_ring_subgraph_whole"](spark, d).collect() for x in (r.src, r.dst)}
+    members = duckdb.sql(f"SELECT 'identity:' || c_custkey FROM '{d}/customer.parquet' WHERE c_custkey % 25 = 3 AND c_custkey % 4 = 1").fetchall()
+    assert len(members) > 3 and {m[0] for m in members} <= nodes
