@@ -86,16 +86,41 @@ def compare(ring: Column, rest: Column, direction: Column) -> tuple[Column, Colu
     return ratio, F.when(rest.isNotNull() & (direction == "higher"), ring > rest).when(rest.isNotNull() & (direction == "lower"), ring < rest)
 
 
+def ring_evidence(pivoted: DataFrame) -> DataFrame:
+    """pivoted: ring, metric, value, baseline."""
+    meta = lambda k: F.element_at(F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, v[k])]), F.col("metric"))
+    out = pivoted.withColumn("stage", meta(0)).withColumn("direction", meta(1)).filter("value IS NOT NULL")
+    ratio, up = compare(F.col("value"), F.col("baseline"), F.col("direction"))
+    return out.withColumn("ratio", ratio).withColumn("elevated", up)
+
+
 def for_rings(people: DataFrame, rollups: DataFrame, rings: list) -> DataFrame:
     """A5 for the named rings: ring, stage, metric, direction, value, baseline, ratio, elevated. The baseline is everybody
     but the ring (J5): each row is dealt to one cohort a ring, which costs rows times rings asked for."""
     rows = cohort_rows(people, rollups).withColumn("_r", F.explode(F.array(*[F.lit(r) for r in rings]))).withColumn("cohort", F.struct(F.col("_r").alias("ring"), F.col("ring").eqNullSafe(F.col("_r")).alias("inside")))
     long = unpivot(aggregate(rows, "cohort"), "cohort")
-    pivoted = long.groupBy(F.col("cohort.ring").alias("ring"), "metric").agg(F.max(F.when(F.col("cohort.inside"), F.col("value"))).alias("value"), F.max(F.when(~F.col("cohort.inside"), F.col("value"))).alias("baseline"))
-    meta = lambda k: F.element_at(F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, v[k])]), F.col("metric"))
-    out = pivoted.withColumn("stage", meta(0)).withColumn("direction", meta(1)).filter("value IS NOT NULL")
-    ratio, up = compare(F.col("value"), F.col("baseline"), F.col("direction"))
-    return out.withColumn("ratio", ratio).withColumn("elevated", up)
+    return ring_evidence(long.groupBy(F.col("cohort.ring").alias("ring"), "metric").agg(F.max(F.when(F.col("cohort.inside"), F.col("value"))).alias("value"), F.max(F.when(~F.col("cohort.inside"), F.col("value"))).alias("baseline")))
+
+
+def for_every_ring(people: DataFrame, rollups: DataFrame) -> DataFrame:
+    """A5 for every ring that occurs. Each row is read once: a metric is a sum over a sum, and the baseline's sums are
+    everybody's less the ring's own."""
+    have = {"liveness": "liveness_score", "kurtosis": "residual_kurtosis"}
+    means = {have.get(c, c): c for c in people.columns if c in have or c in SIGNALS} | {
+        "thin_file_share": "_thin", "credit_age_ratio": "_ratio", "declared_age": "age", "address_shared_count": "shared_address_count", "pii_recombination_share": "_pii", **{f"shared_{t}_share": f"_{t}" for t in ("device", "address", "phone")},
+        "distinct_pans_per_account": "cards", "pan_digit_entropy": "digit_entropy", "merchants_per_account": "merchants", "peak_attempts_per_hour": "peak_per_hour",
+    }
+    shares = {"decline_ratio": "declines", "cvv_mismatch_rate": "cvv_mismatch", "avs_mismatch_rate": "avs_mismatch", "zero_auth_ratio": "zero_auth", "low_ticket_ratio": "low_ticket"}
+    one = F.lit(1)
+    parts = {m: (F.sum(c), F.count(c)) for m, c in means.items()} | {m: (F.sum(c), F.sum("attempts")) for m, c in shares.items()} | {"accounts_transacting": (F.count("attempts"), F.max(one)), "attempts": (F.sum("attempts"), F.max(one))}
+    sums = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(a.cast("double"), F.lit(0.0)).alias("a"), F.coalesce(b.cast("double"), F.lit(0.0)).alias("b")) for m, (a, b) in parts.items()])
+    long = cohort_rows(people, rollups).groupBy("ring").agg(sums.alias("x"), F.count(one).alias("rows")).select("ring", "rows", F.explode("x").alias("x")).select("ring", "rows", "x.*")
+    counted = F.col("metric").isin("accounts_transacting", "attempts")
+    total = long.groupBy("metric").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.sum("rows").alias("all"))
+    both = long.filter("ring IS NOT NULL").join(F.broadcast(total), "metric")  # a row a metric
+    rest = F.when(counted, F.when(F.col("all") > F.col("rows"), F.col("ta") - F.col("a"))).otherwise(F.try_divide(F.col("ta") - F.col("a"), F.col("tb") - F.col("b")))
+    value = F.when(counted, F.col("a")).otherwise(F.try_divide("a", "b"))
+    return ring_evidence(both.select("ring", "metric", value.alias("value"), rest.alias("baseline")))
 
 
 def top_signals(evidence: DataFrame, least: float = 1.5, limit: int = 3) -> DataFrame:

@@ -86,6 +86,24 @@ def a15(spark, d):
     return V.top_signals(evidence(spark, d), 1.1).select("ring", "metric", F.round("severity", 6).alias("severity"), F.col("place").cast("long").alias("place"))
 
 
+_EVERY = ("SELECT unnest([0, 2])::BIGINT AS r", "SELECT DISTINCT ring::BIGINT AS r FROM ident WHERE ring IS NOT NULL")
+
+
+def every_ring(spark, d):
+    """All rings that occur; A5_ring_against_rest and A15_top_signals stay at the two of their SQL."""
+    return V.for_every_ring(A.identities(spark, d), V.rollup(auth(spark, d))).withColumn("ring", F.col("ring").cast("bigint"))
+
+
+@query("A5_every_ring_against_rest", ORACLES["A5_ring_against_rest"].replace(*_EVERY))
+def a5_every(spark, d):
+    return every_ring(spark, d).select("ring", "metric", "direction", *[F.round(c, 6).alias(c) for c in ("value", "baseline", "ratio")], "elevated")
+
+
+@query("A15_top_signals_every_ring", ORACLES["A15_top_signals"].replace(*_EVERY))
+def a15_every(spark, d):
+    return V.top_signals(every_ring(spark, d), 1.1).select("ring", "metric", F.round("severity", 6).alias("severity"), F.col("place").cast("long").alias("place"))
+
+
 @query(
     "A6_A7_A9_onboarding_features",
     f"""WITH {A.IDENTITY_SQL}, {_VAR}, {_CNT}, s AS (SELECT identity, regexp_replace(regexp_replace(substr(handle, 1, 16), '\\p{{L}}', 'a', 'g'), '\\p{{Nd}}', '9', 'g') AS h FROM ident), sc AS (SELECT h, count(*) AS n FROM s GROUP BY h)

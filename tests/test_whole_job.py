@@ -33,3 +33,8 @@ def test_ring_subgraph_holds_every_member(spark):
     nodes = {x for r in QUERIES["G8_ring_subgraph_whole"](spark, d).collect() for x in (r.src, r.dst)}
     members = duckdb.sql(f"SELECT 'identity:' || c_custkey FROM '{d}/customer.parquet' WHERE c_custkey % 25 = 3 AND c_custkey % 4 = 1").fetchall()
     assert len(members) > 3 and {m[0] for m in members} <= nodes
+
+
+def test_every_ring_is_compared(spark):
+    found = {r.ring for r in QUERIES["A5_every_ring_against_rest"](spark, DATA).select("ring").distinct().collect()}
+    assert found == {r[0] for r in duckdb.sql(f"SELECT DISTINCT c_custkey % 4 FROM '{DATA}/customer.parquet' WHERE c_custkey % 25 = 3").fetchall()}
