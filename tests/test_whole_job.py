@@ -38,3 +38,8 @@ def test_ring_subgraph_holds_every_member(spark):
 def test_every_ring_is_compared(spark):
     found = {r.ring for r in QUERIES["A5_every_ring_against_rest"](spark, DATA).select("ring").distinct().collect()}
     assert found == {r[0] for r in duckdb.sql(f"SELECT DISTINCT c_custkey % 4 FROM '{DATA}/customer.parquet' WHERE c_custkey % 25 = 3").fetchall()}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_view_delta_compares_every_language(spark):
+    assert QUERIES["E7_view_delta_whole"](spark, "/root/testdata/sf0.01").first().groups_compared == 4
