@@ -89,6 +89,22 @@ TAGS_SQL = """tags AS (SELECT vec_id AS identity, list_sort(list(i)) AS indices,
  (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM (SELECT vec_id, label, unnest(range(0, len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)) WHERE r <= 16 GROUP BY vec_id)"""
 
 
+def tag_kinds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """embeddings joined by id as the three tags of an identity, 16 of 64 dimensions each: the largest (face), the least
+    (doc_template) and those of largest size (hypervector)."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identity"))
+
+    def of(order):
+        top = F.slice(F.array_sort(F.transform("embedding", lambda x, i: F.struct(order(x.cast("double")).alias("v"), i.alias("i")))), 1, 16)
+        return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("identity"), F.array_sort(F.transform(top, lambda s: s["i"])).alias("indices")).join(ids, "identity")
+
+    return {"face": of(lambda x: -x), "doc_template": of(lambda x: x), "hypervector": of(lambda x: -F.abs(x))}
+
+
+TAG_KINDS_SQL = """ktags AS (SELECT kind, identity, i FROM (SELECT kind, identity, i, row_number() OVER (PARTITION BY kind, identity ORDER BY v, i) AS r FROM (SELECT k AS kind, vec_id AS identity, i, CASE k WHEN 'face' THEN -x WHEN 'doc_template' THEN x ELSE -abs(x) END AS v
+ FROM (SELECT vec_id, unnest(range(0, len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), (SELECT unnest(['face', 'doc_template', 'hypervector']) AS k))) JOIN customer ON c_custkey = identity WHERE r <= 16)"""
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels with documents: y, and a score with ties that leans towards y."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "lang")

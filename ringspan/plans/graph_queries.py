@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..operators import graph as G
 from ..operators import pairs as P
+from . import pair_queries as J
 
 QUERIES, ORACLES = {}, {}
 
@@ -34,6 +35,11 @@ def graph(spark, d):
     return G.build(p, auth(spark, d), links=P.resolve(P.shared_tokens(p), P.recombined(p)))
 
 
+def whole_graph(spark, d):
+    """With the links of all producers; graph() stays at those that the SQL names."""
+    return G.build(people(spark, d), auth(spark, d), links=J.all_links(spark, d))
+
+
 _LINKS = " UNION ALL ".join(
     [f"""SELECT a.identity AS l, b.identity AS r, 'observed_together' AS kind, 1 / sqrt(n - 1) AS w, 20 AS o FROM ident a JOIN ident b ON a.{t} = b.{t} AND a.identity < b.identity JOIN (SELECT {t}, count(*) AS n FROM ident GROUP BY {t} HAVING count(*) BETWEEN 2 AND 60) g ON g.{t} = a.{t}""" for t in P.TOKENS]
     + [f"""SELECT a.identity, b.identity, 'pii_recombination', 1.0, 21 FROM ident a JOIN ident b ON a.{t} = b.{t} AND a.identity < b.identity JOIN (SELECT {t} FROM ident GROUP BY {t} HAVING count(*) BETWEEN 2 AND 20 AND count(DISTINCT name) >= 2) g ON g.{t} = a.{t}""" for t in ("dob", "phone")]
@@ -50,6 +56,14 @@ def g1(spark, d):
     return graph(spark, d).select("src", "dst", F.round("weight", 6).alias("weight"), "n", F.array_join("institutions", ",").alias("institutions"), "edge_type")
 
 
+_MORE = f"""{_LINKS} UNION ALL SELECT "left", "right", 'observed_together', weight, 22 FROM ({J._J10}) UNION ALL SELECT "left", "right", 'similar_tag', weight, 23 FROM ({J._NEAR})"""
+
+
+@query("G1_G2_A11_merged_edges_whole", ORACLES["G1_G2_A11_merged_edges"].replace(_LINKS, _MORE).replace(A.AUTH_SQL, f"{A.AUTH_SQL}, {A.TAG_KINDS_SQL}"))
+def g1_whole(spark, d):
+    return whole_graph(spark, d).select("src", "dst", F.round("weight", 6).alias("weight"), "n", F.array_join("institutions", ",").alias("institutions"), "edge_type")
+
+
 @query("G3_A10_graph_summary", f"WITH {GRAPH_SQL} SELECT split_part(node, ':', 1) AS what, count(*)::BIGINT AS n FROM (SELECT src AS node FROM g UNION SELECT dst FROM g) GROUP BY 1 UNION ALL SELECT 'edges', count(*) FROM g")
 def a10(spark, d):
     return G.summary(graph(spark, d))
@@ -150,7 +164,7 @@ def applicants(spark, d):
     kinds = (("device", "device"), ("address", "address"), ("email", "email"), ("phone", "phone"), ("ip_asn", "ip"))
     held = p.select("identity", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("attribute")) for kind, c in kinds])).alias("x")).select("identity", "x.*")
     ends = [F.substring_index(c, ":", -1).cast("bigint").alias(side) for c, side in (("src", "left"), ("dst", "right"))]
-    direct = graph(spark, d).filter(F.col("src").startswith("identity:") & F.col("dst").startswith("identity:")).select(*ends, "edge_type", "weight")
+    direct = whole_graph(spark, d).filter(F.col("src").startswith("identity:") & F.col("dst").startswith("identity:")).select(*ends, "edge_type", "weight")
     direct = direct.withColumns({"left": F.least("left", "right"), "right": F.greatest("left", "right")})  # the graph orders them as strings
     return G.communities(G.project(held, direct), p.select("identity", "institution"))
 

@@ -88,6 +88,33 @@ def j15(spark, d):
     return P.link_summary(links, people.filter("ring IS NOT NULL").select("ring", "identity"))
 
 
+_NEAR = """SELECT l AS "left", r AS "right", 'near_duplicate:' || kind AS kind, k / (32.0::DOUBLE - k) AS weight FROM (SELECT a.kind, a.identity AS l, b.identity AS r, count(*) AS k FROM ktags a JOIN ktags b ON a.kind = b.kind AND a.i = b.i AND a.identity < b.identity GROUP BY ALL)
+ WHERE k / (32.0::DOUBLE - k) >= CASE kind """ + " ".join(f"WHEN '{k}' THEN {t}" for k, t in P.TAG_THRESHOLDS.items()) + " END"
+_WHOLE = ((f"WITH {A.IDENTITY_SQL}", f"WITH {A.IDENTITY_SQL}, {A.TAG_KINDS_SQL}"), (_ALL, f"{_ALL} UNION ALL {_NEAR}"))
+
+
+def whole_sql(sql: str) -> str:
+    for old, new in _WHOLE:
+        sql = sql.replace(old, new)
+    return sql
+
+
+def all_links(spark, d):
+    """All producers of U1; the queries without _whole stay at those that their SQL names."""
+    people = A.identities(spark, d)
+    near = [P.overlapping(tags, P.TAG_THRESHOLDS[kind], f"near_duplicate:{kind}") for kind, tags in A.tag_kinds(spark, d).items()]
+    return P.resolve(P.shared_tokens(people), P.recombined(people), P.shared_shapes(people, _shape()), *near)
+
+
+@query("U1_resolved_links_whole", whole_sql(ORACLES["U1_resolved_links"]))
+def u1_whole(spark, d):
+    return all_links(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("links"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+@query("J15_ring_link_summary_whole", whole_sql(ORACLES["J15_ring_link_summary"]))
+def j15_whole(spark, d):
+    return P.link_summary(all_links(spark, d), A.identities(spark, d).filter("ring IS NOT NULL").select("ring", "identity"))
+
 
 @query(
     "J1_J4_truth_and_cohort_flags",

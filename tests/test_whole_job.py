@@ -43,3 +43,9 @@ def test_every_ring_is_compared(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_view_delta_compares_every_language(spark):
     assert QUERIES["E7_view_delta_whole"](spark, "/root/testdata/sf0.01").first().groups_compared == 4
+
+
+def test_links_of_tags_are_counted_and_drawn(spark):
+    kinds = {r.kind for r in QUERIES["U1_resolved_links_whole"](spark, DATA).collect()}
+    assert {"email_shape"} < kinds and any(k.startswith("near_duplicate:") for k in kinds)
+    assert QUERIES["G1_G2_A11_merged_edges_whole"](spark, DATA).filter("edge_type = 'similar_tag'").count() > 0
