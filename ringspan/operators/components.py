@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of them
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lower, "b")
-        now = written(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), name)
+        before, now = now, written(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), name)
+        discard(before, least)
         seen = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if seen == mark:
             return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())

@@ -20,7 +20,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def at(df: DataFrame, path: str) -> DataFrame:
+    """Notes where a table of our own lies, for :func:`discard`."""
+    df._ringspan_path = path
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder, which survives lost executors."""
     df.write.parquet(path := f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return at(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of :func:`written` once all that reads them has been written itself. Others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_ringspan_path", None):
+            file = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(file, True)
