@@ -8,7 +8,7 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import shared_folder
+from ..operators.storage import at, discard, shared_folder  # noqa: F401
 
 #: The six ASCII white-space characters that part words, and the class of everything else.
 SPACES = " \t\n\x0b\x0c\r"
@@ -34,7 +34,7 @@ def fresh(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
     df.write.option("compression", "zstd").parquet(path := fresh(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return at(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def filesystem(uri: str):

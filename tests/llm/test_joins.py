@@ -83,15 +83,47 @@ def test_keep_one_of_each_class(spark):
     assert ids == want
 
 
-def test_match_depth_shortens_to_the_recall():
-    assert jaccard_join.match_depth(0.8, 0.9999) == 4
-    assert jaccard_join.match_depth(0.95, 0.9999) == 6
-    assert 1 - (1 - 0.8**4) ** jaccard_join.TREES > 0.9999
+def test_depths_reach_the_recall():
+    least, middle, full, most = jaccard_join.depths()
+    assert (least, middle, full) == (4, 5, 6)
+    reached = lambda hot, d: 1 - (1 - 0.8**least) ** (jaccard_join.TREES - hot) * (1 - 0.8**d) ** hot
+    assert reached(most, full) >= jaccard_join.TARGET_RECALL > reached(most + 1, full)
+    assert reached(jaccard_join.TREES, middle) >= jaccard_join.TARGET_RECALL
+    assert jaccard_join.match_depth(0.95) == 6
+    with pytest.raises(ValueError):
+        jaccard_join.match_depth(0.2)
+
+
+def test_hot_cells_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_CELL", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 4)
+    rows = near_rows() + [(5000 + k, " ".join([f"c{i}" for i in range(200) if i != 7 * k]), "en", "s") for k in range(12)]
+    assert Counter(map(tuple, jaccard_join.join(frame(spark, rows)).collect())) == classes(rows)
+
+
+def test_members_of_many_hot_cells_are_matched_shorter(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_CELL", 2)
+    nodes = lambda rows: jaccard_join.nodes_of(frame(spark, rows)).filter("node IS NOT NULL").mapInArrow(jaccard_join._signatures, "doc_id bigint, node binary, signature binary").select("node", "signature")
+    alike = [(k, " ".join(f"c{i}" for i in range(300) if i != 9 * k), "en", "s") for k in range(8)]
+    cuts = [r.cuts for r in jaccard_join.met_in(nodes(alike), 0.8, 0.9999).dropDuplicates(["node"]).collect()]
+    miss = lambda c: np.prod([1 - 0.8**d for d in c])
+    assert len(cuts) == 8 and {d for c in cuts for d in c} >= {4, 5} and all(1 - miss(c) >= 0.9999 for c in cuts)
+
+
+def test_chained_texts_stay_linear(spark):
+    """Each text is loosely like its neighbours (0.67), so all are one component of likely pairs."""
+    sizes = {}
+    for n in (1500, 3000):
+        rows = [(k, " ".join(f"w{i}" for i in range(20 * k, 20 * k + 104)), "en", "s") for k in range(n)]
+        nodes = jaccard_join.nodes_of(frame(spark, rows)).mapInArrow(jaccard_join._signatures, "doc_id bigint, node binary, signature binary").select("node", "signature")
+        sizes[n] = jaccard_join.likely(nodes)[0].count()
+    assert 0 < sizes[1500] < 20 * 1500 and sizes[3000] < 2.2 * sizes[1500]
+    assert {(r.n_links, r.doc_id == r.class_id) for r in jaccard_join.join(frame(spark, rows[:400])).collect()} == {(0, True)}
 
 
-def test_overlaps():
-    a, b = [np.array([1, 2, 3], np.uint64), np.array([9], np.uint64)], [np.array([2, 3, 4], np.uint64), np.array([1], np.uint64)]
-    assert [list(x) for x in jaccard_join.overlaps(a, b)] == [[2, 1], [0, 0]]
+def test_postings():
+    held = jaccard_join.Postings([np.array([2, 3, 4], np.uint64), np.array([1], np.uint64)])
+    assert list(held.shared(np.array([1, 2, 3], np.uint64))) == [2, 1] and list(held.shared(np.array([9], np.uint64))) == [0, 0]
 
 
 def test_components(spark):
