@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last give the columns of documents.
+
+Edge cases: a null text counts as empty, which the quality rules reject, as they do blank and short texts; texts of any
+length are worked on whole; of repeated rows, and of rows tied for a class's least id, one stays; null ids, languages and
+sources are values of their own; extra columns are kept up to the last stage, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document: count, digest of the ids, digest of their decoding."""
-    return bpe.round_trip(docs, stored=True)
+    return bpe.round_trip(docs)
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("mixing", mix), ("BPE", tokens)]
