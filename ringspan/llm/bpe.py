@@ -1,35 +1,44 @@
 """BPE encoding and decoding through a distinct-word table.
 
-1. Texts are split into pre-tokens; each chunk of text (a bounded part of one input split) lists its distinct words
-   with counts. 2. The words of all chunks are grouped, and each distinct word is encoded once. 3. Ids are joined
-   back by position: words of high count, at most ``hot_words`` of them, are broadcast; every other word is joined
-   to the chunks that hold it by a shuffle, and the ids are laid in one file a chunk in the shared folder, which
-   the task that reads that chunk merges with its texts in order. Texts themselves are never shuffled. 4. Decoding
-   joins ids with the vocabulary's id-to-piece table, whose size is fixed by the vocabulary.
+1. Texts are read once and split into pre-tokens. Each chunk of text (some 4 million characters of one input split)
+   lists its distinct words, dealt into buckets by a hash of the word, and keeps every text as the positions of its words
+   in that list: (chunk, bucket, words) and (chunk, texts as positions), one table in the shared folder. The chunk's
+   number stands in that table, so later steps don't depend on how the input is split or planned.
+2. The lists go to their buckets; there each distinct word is encoded once, and each list goes back as the ids of its
+   words in the list's order.
+3. Ids and texts of a chunk meet, and ids are joined back by position. Nothing is collected or broadcast.
+4. Decoding joins the distinct ids of a chunk with the vocabulary's id-to-piece table and lays the pieces by position.
+
+Lists and positions are compressed, so that what moves is less than the texts. A worker holds the distinct words of one
+bucket (at most 1,000,000 at a time, above which it starts again) or the words of one chunk.
 
 Edge cases: a null text counts as empty and has no ids; texts that hold a special token's string encode it as the
-library does; repeated ``doc_id`` each keep their row; extra columns are ignored; an empty table gives an empty
-table. Long texts are encoded whole; a batch of results is cut at about 8 MB.
+library does; repeated or null ``doc_id`` each keep their row; extra columns are ignored; an empty table gives an empty
+table. Long texts are encoded whole, as a chunk of their own; a batch of results is cut at about 8 MB. An id outside the
+vocabulary decodes to nothing, as in the library.
 """
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from array import array
-from collections import Counter
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh, small_batches, table, tidy, written
+from .common import shuffle_partitions, small_batches, table, tidy, written
 from .pretokens import pieces, splitter
 
-HOT_WORDS = 200_000
-#: Characters of text after which a chunk ends: bounds a worker's dictionary.
-CHUNK_CHARS = 12_000_000
+#: Characters of text after which a chunk ends, words of a page of texts, words a worker remembers.
+CHUNK_CHARS, PAGE_WORDS, MEMO_WORDS = 4_000_000, 16_384, 1_000_000
 BATCH_BYTES = 8 << 20
+LISTED = "chunk bigint, part int, doc_ids array<bigint>, counts array<int>, payload binary"
+_KINDS = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+_NAMES = ["chunk", "part", "doc_ids", "counts", "payload"]
 
 
 def vocabulary(name: str) -> str:
@@ -38,66 +47,83 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-class Chunks:
-    """Names chunks in order of reading: the same rows get the same name in every pass over the same split."""
+def pack(items: list[bytes]) -> bytes:
+    """A list of byte strings: lengths, then all bytes, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items))
 
-    def __init__(self):
-        self.split, self.part, self.chars, self.name = None, 0, 0, None
 
-    def of(self, path: str, start: int, text: str) -> int:
-        if (path, start) != self.split:
-            self.split, self.part, self.chars, self.name = (path, start), 0, 0, None
-        elif self.chars > CHUNK_CHARS:
-            self.part, self.chars, self.name = self.part + 1, 0, None
-        self.chars += len(text)
-        if self.name is None:
-            digest = hashlib.blake2b(f"{path}#{start}#{self.part}".encode(), digest_size=8).digest()
-            self.name = int.from_bytes(digest, "little", signed=True)
-        return self.name
+def unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
+    """(lengths, all bytes) of :func:`pack`."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 * n + 4 :]
 
 
-def _rows(batch: pa.RecordBatch):
-    """(index, path, start, text) of a batch, a slice at a time."""
-    paths, starts = batch.column("_path"), batch.column("_start")
-    for at in range(0, batch.num_rows, 256):
-        some = slice(at, at + 256)
-        yield from zip(range(at, batch.num_rows), paths[some].to_pylist(), starts[some].to_pylist(), batch.column("text")[some].to_pylist(), strict=False)
+def items_of(packed: bytes) -> list[bytes]:
+    lengths, raw = unpack(packed)
+    ends = np.cumsum(lengths).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _listing(path: str):
-    def run(batches):
-        _common.cache_clear()
-        split, chunks, now, seen = splitter(path), Chunks(), None, Counter()
+def pack_positions(positions: np.ndarray) -> bytes:
+    """Four planes of bytes compress better than numbers."""
+    return zstandard.ZstdCompressor(1).compress(positions.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
-        def flush():
-            words = list(seen)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.int64()), pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64())], names=["chunk", "word", "n"])
 
-        for batch in batches:
-            for _, file, start, text in _rows(batch):
-                name = chunks.of(file, start, text or "")
-                if name != now:
-                    yield from flush()
-                    now, seen = name, Counter()
-                seen.update(split.words(text or ""))
-        yield from flush()
+def unpack_positions(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
-    return run
 
+class Places(dict):
+    """The place of each word in order of first sight."""
 
-def _encode_words(path: str):
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+def _split(path: str, buckets: int):
     def run(batches):
-        split = splitter(path)
+        words, base = splitter(path).words, TaskContext.get().partitionId() << 32
+        places, held, chars, chunk = Places(), [], 0, 0
+
+        def flush():
+            listed = [w.encode() for w in places]
+            bucket = np.array([zlib.crc32(w) % buckets for w in listed], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
+            order = order.tolist()
+            rows = [(base + chunk, b, None, None, pack([listed[i] for i in order[a:e]])) for b, (a, e) in enumerate(zip([0, *ends], ends, strict=False)) if e > a]
+            at = 0
+            while at < len(held):
+                end, n = at, 0
+                while end < len(held) and (end == at or n + len(held[end][1]) <= PAGE_WORDS):
+                    n += len(held[end][1])
+                    end += 1
+                page = held[at:end]
+                rows.append((base + chunk, buckets + at, [d for d, _ in page], [len(p) for _, p in page], pack_positions(place[np.concatenate([p for _, p in page])])))
+                at = end
+            yield from _cut(_NAMES, _KINDS, rows)
+
         for batch in batches:
-            ids = [array("I", split.encode(w)).tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                found = words(text)
+                held.append((doc_id, np.fromiter(map(places.__getitem__, found), np.uint32, len(found))))
+                chars += len(text)
+                if chars >= CHUNK_CHARS:
+                    yield from flush()
+                    places, held, chars, chunk = Places(), [], 0, chunk + 1
+        if held:
+            yield from flush()
 
     return run
 
 
-def _slices(names: list[str], kinds: list[pa.DataType], rows):
+def _cut(names: list[str], kinds: list[pa.DataType], rows):
     """Record batches of rows whose last column is bytes or text, cut by size."""
     held, size = [], 0
     for row in rows:
@@ -110,112 +136,152 @@ def _slices(names: list[str], kinds: list[pa.DataType], rows):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
 
-def _fill(folder: str, chunk: int) -> dict[str, bytes]:
-    """Ids of the rarer words of one chunk."""
-    import pyarrow.dataset as ds
-    from pyarrow import fs
+class Encoded(dict):
+    """Ids (little-endian unsigned 32-bit) of the words of a bucket, each encoded at its first sight."""
 
-    store, path = filesystem(f"{folder}/chunk={chunk}")
-    if store.get_file_info(path).type == fs.FileType.NotFound:
-        return {}
-    found = ds.dataset(path, format="parquet", filesystem=store).to_table(columns=["word", "ids"])
-    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
+    def __init__(self, path: str):
+        self.encode = splitter(path).encode
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = ids = array("I", self.encode(word.decode())).tobytes()
+        return ids
 
-@lru_cache(maxsize=1)
-def _common(folder: str) -> dict[str, bytes]:
-    """Ids of the words of high count; a worker holds one such table."""
-    import pyarrow.dataset as ds
 
-    store, path = filesystem(folder)
-    found = ds.dataset(path, format="parquet", filesystem=store).to_table(columns=["word", "ids"])
-    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
+def _encode_lists(path: str):
+    def run(batches):
+        known = Encoded(path)
+        for batch in batches:
+            packed = [pack(list(map(known.__getitem__, items_of(p)))) for p in batch.column("payload").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(packed, pa.binary()))
 
+    return run
 
-def _assemble(path: str, folder: str, hot: str, decoded: bool):
-    def run(batches):
-        split, chunks, now, ids_of = splitter(path), Chunks(), None, {}
-        common, table_ = _common(hot), pieces(path) if decoded else None
-
-        def rows(batch):
-            nonlocal now, ids_of
-            ids = batch.column("doc_id").to_pylist()
-            for i, file, start, text in _rows(batch):
-                name = chunks.of(file, start, text or "")
-                if name != now:
-                    now, ids_of = name, _fill(folder, name)
-                raw = b"".join([common.get(w) or ids_of[w] for w in split.words(text or "")])
-                yield (ids[i], raw, _text(table_, raw)) if decoded else (ids[i], raw)
 
+def _table(path: str):
+    def run(batches):
+        encode, seen = splitter(path).encode, set()
         for batch in batches:
-            yield from _slices(["doc_id", "ids", "decoded"][: 2 + decoded], [pa.int64(), pa.binary(), pa.string()][: 2 + decoded], rows(batch))
+            fresh_ = {w for p in batch.column("payload").to_pylist() for w in items_of(p)} - seen
+            seen |= fresh_
+            rows = [(w.decode(), array("I", encode(w.decode())).tobytes()) for w in sorted(fresh_)]
+            yield from _cut(["word", "ids"], [pa.string(), pa.binary()], rows)
 
     return run
 
 
-def distinct_words(listed: DataFrame, path: str) -> DataFrame:
-    """word, n (occurrences), ids (unsigned 32-bit little-endian): each distinct word encoded once."""
-    return listed.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(tidy(_encode_words(path)), "word string, n bigint, ids binary")
+class Pieces:
+    """The id-to-piece table of a byte-level vocabulary; ``of`` joins it with ids."""
 
+    def __init__(self, path: str):
+        self.table = pa.table({"id": pa.array(range(len(found := pieces(path))), pa.uint32()), "piece": pa.array(found, pa.binary())})
 
-def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, stored: bool = False, decoded: bool = False) -> DataFrame:
-    """doc_id, ids (binary: unsigned 32-bit little-endian); with ``decoded``, also the text that :func:`decode`
-    makes of them, in the same pass. ``stored``: docs is a plain table of files, to be read
-    twice as it is; any other DataFrame is written to the shared folder first, for its rows must come in the same
-    order both times."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    source = docs if stored else written(slim, "bpe-docs")
-    read = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
-    listed = written(read.select("text", "_path", "_start").mapInArrow(tidy(_listing(path)), "chunk bigint, word string, n bigint"), "bpe-listed")
-    words = written(distinct_words(listed, path), "bpe-words")
-    # classes of counts, an eighth of a doubling each: at most some 500 rows, however large the corpus
-    level = F.floor(8 * F.log2("n")).cast("int")
-    least, total = 1 << 20, 0
-    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
-        if (total := total + r["count"]) > hot_words:
-            break
-        least = r["level"]
-    hot = words.filter(level >= least).select("word", "ids")
-    hot.write.option("compression", "zstd").parquet(common := fresh(spark, "bpe-hot"))
-    rare = words.filter(level < least).select("word", "ids")
-    fill = listed.select("chunk", "word").join(F.broadcast(spark.read.parquet(common).select("word")), "word", "left_anti").join(rare, "word").select("chunk", "word", "ids")
-    # four parts a chunk deal more evenly than one
-    fill.repartition(F.col("chunk"), F.pmod(F.xxhash64("word"), F.lit(4))).write.partitionBy("chunk").option("compression", "zstd").parquet(folder := fresh(spark, "bpe-fill"))
-    return read.mapInArrow(tidy(_assemble(path, folder, common, decoded)), "doc_id bigint, ids binary" + ", decoded string" * decoded)
-
-
-def _text(table_: list[bytes], raw: bytes) -> str:
-    return b"".join(map(table_.__getitem__, memoryview(raw).cast("I"))).decode("utf-8", "replace")
+    def of(self, ids: np.ndarray) -> dict[int, bytes]:
+        distinct = pa.table({"id": pa.array(np.unique(ids), pa.uint32())})
+        joined = distinct.join(self.table, "id", join_type="inner", use_threads=False)
+        return dict(zip(joined["id"].to_pylist(), joined["piece"].to_pylist(), strict=True))
 
 
-def _decode(path: str):
+def _text(piece_of: dict[int, bytes], ids: np.ndarray) -> str:
+    return b"".join([piece_of.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
+
+
+class Chunk:
+    """The ids of a chunk's words by place, from its lists in order of buckets."""
+
+    def __init__(self, lists: list[bytes], vocabulary_: Pieces | None):
+        found = [unpack(p) for p in lists]
+        self.lengths = np.concatenate([n for n, _ in found]) // 4 if found else np.zeros(0, np.int64)
+        self.ids = np.frombuffer(b"".join([raw for _, raw in found]), "<u4")
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.pieces = vocabulary_.of(self.ids) if vocabulary_ else None
+
+    def texts(self, doc_ids: list, counts: list[int], positions: np.ndarray):
+        """(doc_id, ids) of the texts of one page."""
+        n = self.lengths[positions]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        every = self.ids[np.repeat(self.starts[positions] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate(([0], np.cumsum(counts)))]
+        for k, doc_id in enumerate(doc_ids):
+            yield doc_id, every[bounds[k] : bounds[k + 1]]
+
+
+def _lay(path: str, buckets: int, decoded: bool):
+    """Of rows sorted by chunk and part: lists of ids first, then pages of texts."""
+
     def run(batches):
-        table_ = pieces(path)
+        vocabulary_ = Pieces(path) if decoded else None
+
+        def rows():
+            now, lists, words = None, [], None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    chunk, part, doc_ids, counts, payload = (batch.column(c)[i].as_py() for c in _NAMES)
+                    if chunk != now:
+                        now, lists, words = chunk, [], None
+                    if part < buckets:
+                        lists.append(payload)
+                        continue
+                    words = words or Chunk(lists, vocabulary_)
+                    for doc_id, ids in words.texts(doc_ids, counts, unpack_positions(payload)):
+                        yield (doc_id, ids.tobytes(), _text(words.pieces, ids)) if decoded else (doc_id, ids.tobytes())
+
+        yield from _cut(["doc_id", "ids", "decoded"][: 2 + decoded], [pa.int64(), pa.binary(), pa.string()][: 2 + decoded], rows())
+
+    return run
 
-        def rows(batch):
-            for i, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                raw = ids.as_py()
-                yield i, raw, _text(table_, raw)
 
+def listed(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """(the table of lists and texts as positions, the number of buckets). The only pass over the texts."""
+    small_batches(docs.sparkSession)
+    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(slim.mapInArrow(tidy(_split(path, buckets)), LISTED), "bpe-listed"), buckets
+
+
+def by_bucket(lists: DataFrame, buckets: int) -> DataFrame:
+    return lists.filter(F.col("part") < buckets).repartition(buckets // 2, "part")
+
+
+def distinct_words(docs: DataFrame, path: str) -> DataFrame:
+    """word, ids (unsigned 32-bit little-endian): the distinct-word table."""
+    found, buckets = listed(docs, path)
+    return by_bucket(found, buckets).select("payload").mapInArrow(tidy(_table(path)), "word string, ids binary")
+
+
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary: unsigned 32-bit little-endian); with ``decoded``, also the text that :func:`decode` makes of
+    them, in the same pass."""
+    found, buckets = listed(docs, path)
+    ids = by_bucket(found, buckets).mapInArrow(tidy(_encode_lists(path)), LISTED)
+    both = ids.union(found.filter(F.col("part") >= buckets)).repartition(buckets // 2, "chunk").sortWithinPartitions("chunk", "part")
+    return both.mapInArrow(tidy(_lay(path, buckets, decoded)), "doc_id bigint, ids binary" + ", decoded string" * decoded)
+
+
+def _decode(path: str):
+    def run(batches):
+        vocabulary_ = Pieces(path)
         for batch in batches:
-            yield from _slices(["doc_id", "ids", "decoded"], [pa.int64(), pa.binary(), pa.string()], rows(batch))
+            found = [np.frombuffer(ids or b"", "<u4") for ids in batch.column("ids").to_pylist()]
+            piece_of = vocabulary_.of(np.concatenate(found)) if found else {}
+            rows = zip(batch.column("doc_id").to_pylist(), [ids.tobytes() for ids in found], [_text(piece_of, ids) for ids in found], strict=True)
+            yield from _cut(["doc_id", "ids", "decoded"], [pa.int64(), pa.binary(), pa.string()], rows)
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``decoded`` to doc_id and ids: each id joined with its piece."""
+    """Adds ``decoded`` to doc_id and ids: the distinct ids of a batch joined with the id-to-piece table."""
+    small_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(tidy(_decode(path)), "doc_id bigint, ids binary, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, stored: bool = False) -> DataFrame:
-    path = path or vocabulary("byte_bpe_50k.json")
-    return encode(docs, path, stored=stored, decoded=True).select(
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    return encode(docs, path or vocabulary("byte_bpe_50k.json"), decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"), stored=True)
+    return round_trip(table(spark, sf_dir, "documents"))

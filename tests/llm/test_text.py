@@ -13,7 +13,7 @@ from ringspan.llm import bpe, grammar, secrets, sstable
 from ringspan.llm.common import fresh
 from ringspan.llm.pretokens import pieces, splitter
 
-from .test_fixtures import DOCS, documents, frame
+from .test_fixtures import DOCS, documents, frame, prose
 
 TEXTS = st.one_of(st.text(), st.text(alphabet="aA'sStrevmld 0123\n\t.,éİŉſŒμ²\xa0 ͅéΣσςK<|>"), st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", " ", "a", "'s", "it's", "  ", "\n", "x1", "…", "İ", "ﬁ", "ά"])).map("".join))
 
@@ -43,11 +43,48 @@ def test_round_trip(spark):
     assert Counter(map(tuple, bpe.round_trip(frame(spark)).collect())) == want
 
 
-def test_rare_words_come_through_the_join(spark):
+def test_decoding_and_distinct_words(spark, monkeypatch):
     path = bpe.vocabulary("byte_bpe_50k.json")
-    few = bpe.encode(frame(spark), path, hot_words=5)
-    assert Counter(map(tuple, few.collect())) == Counter(map(tuple, bpe.encode(frame(spark), path).collect()))
-    assert {(r.doc_id, r.decoded) for r in bpe.decode(few, path).collect()} == {(r[0], r[1] or "") for r in documents()}
+    coded = bpe.encode(frame(spark), path)
+    assert Counter((r.doc_id, r.decoded) for r in bpe.decode(coded, path).collect()) == Counter((r[0], r[1] or "") for r in documents())
+    split, library = splitter(path), Tokenizer.from_file(path)
+    words = Counter((r.word, r.ids) for r in bpe.distinct_words(frame(spark), path).collect())
+    assert set(words.values()) == {1} and {w for w, _ in words} == {w for r in documents() for w in split.words(r[1] or "")}
+    assert all(list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(w, add_special_tokens=False).ids for w, ids in words)
+
+
+@pytest.mark.parametrize("chars, page", [(1, 1), (500, 40), (4_000_000, 16_384)])
+def test_chunks_and_pages(spark, monkeypatch, chars, page):
+    path, library = bpe.vocabulary("byte_bpe_50k.json"), Tokenizer.from_file(bpe.vocabulary("byte_bpe_50k.json"))
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", chars)
+    monkeypatch.setattr(bpe, "PAGE_WORDS", page)
+    rows = [(None, prose(i, i)) for i in range(60)] + [(None, None), (7, ""), *[(7, "one id on many rows " * k) for k in range(40)]]
+    coded = bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), path)
+    ids = lambda t: struct.pack(f"<{len(x := library.encode(t or '', add_special_tokens=False).ids)}I", *x)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in coded.collect()) == Counter((i, ids(t)) for i, t in rows)
+
+
+def test_splits_may_change_between_actions(spark):
+    """The table of words stands once written; how later actions split the input is all the same."""
+    library = Tokenizer.from_file(bpe.vocabulary("byte_bpe_50k.json"))
+    rows = [(i, prose(i, 40)) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.option("parquet.block.size", 20_000).parquet(path := fresh(spark, "in"))
+    coded, key = bpe.encode(spark.read.parquet(path), bpe.vocabulary("byte_bpe_50k.json")), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        found = []
+        for size in ("128m", "20k"):
+            spark.conf.set(key, size)
+            found.append(Counter((r.doc_id, bytes(r.ids)) for r in coded.select("*").collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] == Counter((i, struct.pack(f"<{len(x := library.encode(t, add_special_tokens=False).ids)}I", *x)) for i, t in rows)
+
+
+def test_ids_outside_the_vocabulary(spark):
+    odd = spark.createDataFrame([(1, struct.pack("<2I", 64, 4_000_000)), (2, None)], "doc_id bigint, ids binary")
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    assert {(r.doc_id, r.decoded) for r in bpe.decode(odd, path).collect()} == {(1, Tokenizer.from_file(path).decode([64, 4_000_000])), (2, "")}
 
 
 def test_shards_read_back(spark):
