@@ -3,10 +3,11 @@
 Dated list entries (add or remove) become validity intervals per list and key; every capture is evaluated against the
 entries active when it was fetched. Intervals are laid out by 32-day periods, so that the join is an equi-join on
 (key, period) with the exact bounds as residual: a key with a long history costs each capture only its period. A
-common host meets few interval rows and is split by period, and further by Spark's skew join; a list of few intervals
-(counted first) is broadcast.
+common host meets few interval rows and is split by period, and further by Spark's skew join; a list of few interval
+periods (counted first) is broadcast. An entry that was never removed has no end.
 
-A capture's keys are its host, every parent domain of two labels or more, and host plus first path segment. The most
+A capture's keys are its host, every parent domain of two labels or more, and host plus first path segment. An IPv4
+address or a bracketed IPv6 address is one label: it has no parent domains. The most
 specific key with an active entry decides; there an ``allow`` entry beats a ``block`` entry.
 
 Edge cases: entries of one key, list and date apply removal first, then addition; an addition while active and a
@@ -24,19 +25,20 @@ from .common import table, written
 
 PERIOD_DAYS = 32
 SMALL_LIST = 100_000
-HORIZON = "2100-01-01"
 EPOCH = "2024-01-01"
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:]+)"
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """entries: list, key, action ('add' or 'remove'), at (date). Gives list, key, valid_from, valid_to (exclusive)."""
+    """entries: list, key, action ('add' or 'remove'), at (date). Gives list, key, valid_from, valid_to (exclusive,
+    null while active)."""
     named = entries.select("list", "key", F.col("at").cast("date").alias("at"), (F.col("action") == "add").alias("on")).filter("key IS NOT NULL AND at IS NOT NULL AND on IS NOT NULL")
     day = named.groupBy("list", "key", "at").agg(F.max("on").alias("on"))  # removal first, then addition
     w = Window.partitionBy("list", "key").orderBy("at")
     turns = day.withColumn("_before", F.lag("on").over(w)).filter(~F.col("on").eqNullSafe(F.col("_before")))
-    ends = turns.withColumn("valid_to", F.coalesce(F.lead("at").over(w), F.lit(HORIZON).cast("date")))
+    ends = turns.withColumn("valid_to", F.lead("at").over(w))
     return ends.filter("on").select("list", "key", F.col("at").alias("valid_from"), "valid_to")
 
 
@@ -47,7 +49,7 @@ def period(day) -> F.Column:
 def host_keys(url) -> F.Column:
     """Array of (key, rank) of a URL: rank is the number of host labels, or 100 for host plus path segment."""
     host = F.rtrim(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), F.lit("."))
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    labels = F.when(F.regexp_like(host, F.lit(ADDRESS)), F.array(host)).otherwise(F.filter(F.split(host, r"\."), lambda x: x != ""))
     n = F.size(labels)
     tails = F.when(n >= 2, F.transform(F.sequence(F.lit(2), n), lambda k: F.struct(F.array_join(F.slice(labels, n - k + 1, k), ".").alias("key"), k.alias("rank"))))
     alone = F.when((n == 1), F.array(F.struct(host.alias("key"), F.lit(1).alias("rank"))))
@@ -60,15 +62,17 @@ def host_keys(url) -> F.Column:
 def evaluate(captures: DataFrame, listed: DataFrame, small: int = SMALL_LIST) -> DataFrame:
     """captures: page_id, url, fetched (date); listed: what :func:`intervals` gives. One row per capture: page_id,
     fetched, verdict, matched_key, n_active (entries active on any of its keys), listed_since."""
-    few = listed.count() <= small
     # only the periods in which anything was fetched are laid out
     low, high = captures.agg(F.min(period(F.col("fetched").cast("date"))), F.max(period(F.col("fetched").cast("date")))).first()
-    start, end = F.greatest(period("valid_from"), F.lit(low or 0)), F.least(period(F.date_sub("valid_to", 1)), F.lit(high or 0))
-    laid = listed.filter("valid_from < valid_to").withColumn("_p", F.explode(F.when(start <= end, F.sequence(start, end))))
+    low, high = F.lit(low or 0), F.lit(high or 0)
+    start, end = F.greatest(period("valid_from"), low), F.least(F.coalesce(period(F.date_sub("valid_to", 1)), high), high)
+    active = listed.filter("valid_from < valid_to OR valid_from IS NOT NULL AND valid_to IS NULL")
+    few = (active.agg(F.sum(F.greatest(F.lit(0), end - start + 1))).first()[0] or 0) <= small
+    laid = active.withColumn("_p", F.explode(F.when(start <= end, F.sequence(start, end))))
     rows = captures.select("page_id", "url", F.col("fetched").cast("date").alias("fetched"), F.monotonically_increasing_id().alias("_row"))
     keyed = rows.select("_row", "page_id", "fetched", F.inline_outer(host_keys(F.col("url")))).withColumn("_p", period("fetched"))
     laid = laid.select(F.col("key").alias("_k"), F.col("_p").alias("_q"), "list", "valid_from", "valid_to")
-    on = (keyed["key"] == laid["_k"]) & (keyed["_p"] == laid["_q"]) & (keyed["fetched"] >= laid["valid_from"]) & (keyed["fetched"] < laid["valid_to"])
+    on = (keyed["key"] == laid["_k"]) & (keyed["_p"] == laid["_q"]) & (keyed["fetched"] >= laid["valid_from"]) & (laid["valid_to"].isNull() | (keyed["fetched"] < laid["valid_to"]))
     met = keyed.join(F.broadcast(laid) if few else laid, on, "left")
     best = F.struct(F.col("rank").alias("r"), F.when(F.col("list") == "allow", 1).otherwise(0).alias("a"), F.col("key").alias("k"), F.col("list").alias("l"), F.col("valid_from").alias("f"))
     out = met.groupBy("_row", "page_id", "fetched").agg(F.max(F.when(F.col("list").isNotNull(), best)).alias("b"), F.count("list").alias("n_active"))
@@ -101,9 +105,9 @@ def op4_url_filters(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = {"op4_url_filters": rf"""
 WITH u AS (SELECT page_id, url, (DATE '{EPOCH}' + ((page_id * 37) % 365)::INTEGER)::DATE AS fetched, row_number() OVER () AS rn,
-  rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.') AS host,
+  rtrim(lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)), '.') AS host,
   regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS seg FROM pages),
-l AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS ls FROM u),
+l AS (SELECT *, CASE WHEN regexp_matches(host, '{ADDRESS}') THEN [host] ELSE list_filter(string_split(host, '.'), lambda x: x <> '') END AS ls FROM u),
 k AS (SELECT rn, array_to_string(ls[len(ls) - r + 1:], '.') AS key, r AS rank FROM (SELECT rn, ls, unnest(range(2, len(ls) + 1)) AS r FROM l)
   UNION ALL SELECT rn, host, 1 FROM l WHERE len(ls) = 1
   UNION ALL SELECT rn, host || '/' || seg, 100 FROM l WHERE len(ls) > 0 AND seg <> ''),
@@ -114,7 +118,7 @@ e AS (SELECT list, key, TRUE AS act, DATE '{EPOCH}' + (n % 200)::INTEGER AS dt F
   UNION ALL SELECT list, key, TRUE, DATE '{EPOCH}' + (n % 200 + 150)::INTEGER FROM d WHERE n % 5 = 0),
 g AS (SELECT list, key, dt, bool_or(act) AS act FROM e GROUP BY ALL),
 t AS (SELECT * FROM (SELECT *, lag(act) OVER w AS before FROM g WINDOW w AS (PARTITION BY list, key ORDER BY dt)) WHERE before IS NULL OR before <> act),
-i AS (SELECT list, key, dt AS valid_from, valid_to FROM (SELECT *, coalesce(lead(dt) OVER (PARTITION BY list, key ORDER BY dt), DATE '{HORIZON}') AS valid_to FROM t) WHERE act),
-m AS (SELECT l.rn, l.page_id, l.fetched, k.key, k.rank, i.list, i.valid_from FROM l LEFT JOIN k ON k.rn = l.rn LEFT JOIN i ON i.key = k.key AND l.fetched >= i.valid_from AND l.fetched < i.valid_to),
+i AS (SELECT list, key, dt AS valid_from, valid_to FROM (SELECT *, lead(dt) OVER (PARTITION BY list, key ORDER BY dt) AS valid_to FROM t) WHERE act),
+m AS (SELECT l.rn, l.page_id, l.fetched, k.key, k.rank, i.list, i.valid_from FROM l LEFT JOIN k ON k.rn = l.rn LEFT JOIN i ON i.key = k.key AND l.fetched >= i.valid_from AND (i.valid_to IS NULL OR l.fetched < i.valid_to)),
 b AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY (list IS NOT NULL) DESC, rank DESC, (list = 'allow') DESC, key DESC, valid_from DESC) AS o, count(list) OVER (PARTITION BY rn) AS c FROM m)
 SELECT page_id, fetched::VARCHAR AS fetched, coalesce(list, 'none') AS verdict, CASE WHEN list IS NOT NULL THEN key END AS matched_key, c::BIGINT AS n_active, valid_from::VARCHAR AS listed_since FROM b WHERE o = 1"""}

@@ -184,7 +184,7 @@ def day(n):
 def test_intervals(spark):
     rows = [("block", "a.com", "add", day(1)), ("block", "a.com", "add", day(2)), ("block", "a.com", "remove", day(5)), ("block", "a.com", "remove", day(6)), ("block", "a.com", "add", day(9)), ("block", "a.com", "remove", day(9)), ("allow", "b.com", "remove", day(1)), ("block", None, "add", day(1)), ("block", "c.com", "add", None)]
     got = {tuple(r) for r in url_filters.intervals(spark.createDataFrame(rows, "list string, key string, action string, at date")).collect()}
-    assert got == {("block", "a.com", day(1), day(5)), ("block", "a.com", day(9), datetime.date(2100, 1, 1))}
+    assert got == {("block", "a.com", day(1), day(5)), ("block", "a.com", day(9), None)}
 
 
 @pytest.mark.parametrize("small", [100, -1])
@@ -203,11 +203,20 @@ def test_filters_match_brute_force(spark, small):
         host = m[1].rstrip(".") if m else ""
         labels = host.split(".") if host else []
         own = {".".join(labels[-k:]): k for k in range(2, len(labels) + 1)} | ({host: 1} if len(labels) == 1 else {}) | ({f"{host}/{m[2]}": 100} if m and m[2] else {})
-        active = [(own[k], lst == "allow", k, lst) for lst, k, a, b in held if when and k in own and a <= when < b]
+        active = [(own[k], lst == "allow", k, lst) for lst, k, a, b in held if when and k in own and a <= when and (b is None or when < b)]
         want[page, when, max(active)[3] if active else "none", len(active)] += 1
     assert got == want
 
 
+@pytest.mark.parametrize("small", [1000, -1])
+def test_open_entries_never_end_and_addresses_have_no_parents(spark, small):
+    entries = [("block", "a.com", "add", day(0)), ("block", "3.4", "add", day(0)), ("block", "1.2.3.4", "add", day(0)), ("block", "[::1]", "add", day(0))]
+    listed = url_filters.intervals(spark.createDataFrame(entries, "list string, key string, action string, at date"))
+    at = [("http://a.com/", datetime.date(1970, 1, 1), "none"), ("http://a.com/", datetime.date(2099, 12, 31), "block"), ("http://a.com/", datetime.date(2100, 1, 1), "block"), ("http://a.com/", datetime.date(2500, 1, 1), "block"), ("http://9.2.3.4:80/", day(1), "none"), ("http://1.2.3.4/x", day(1), "block"), ("http://u@[::1]:8080/x", day(1), "block")]
+    found = url_filters.evaluate(spark.createDataFrame([(i, u, d) for i, (u, d, _) in enumerate(at)], "page_id bigint, url string, fetched date"), listed, small)
+    assert {r.page_id: r.verdict for r in found.collect()} == {i: v for i, (_, _, v) in enumerate(at)}
+
+
 def cheapest(roles):
     best = [0, chat.FAR, chat.FAR, chat.FAR]
     for role in roles:
