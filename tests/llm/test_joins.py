@@ -217,20 +217,49 @@ def test_open_entries_never_end_and_addresses_have_no_parents(spark, small):
     assert {r.page_id: r.verdict for r in found.collect()} == {i: v for i, (_, _, v) in enumerate(at)}
 
 
+#: Costs and legal successions, written out from the docstring: "" is the start of a conversation.
+CHANGE = {
+    ("system", "system"): 0, ("system", "user"): 2, ("system", "assistant"): 3, ("user", "system"): 3, ("user", "user"): 0, ("user", "assistant"): 3,
+    ("assistant", "system"): 3, ("assistant", "user"): 3, ("assistant", "assistant"): 0, ("other", "system"): 1, ("other", "user"): 1, ("other", "assistant"): 1,
+}
+AFTER = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+
+
+def with_empty_turns(best):
+    """Least costs by last role when any number of empty turns, at 2 each, may follow."""
+    for _ in range(4):
+        for last in list(best):
+            for new in AFTER[last]:
+                best[new] = min(best.get(new, 10**9), best[last] + 2)
+    return best
+
+
 def cheapest(roles):
-    best = [0, chat.FAR, chat.FAR, chat.FAR]
+    best = {"": 0}
     for role in roles:
-        way = chat.step(role)
-        best = [min(best[a] + way[a][b][0] for a in range(4)) for b in range(4)]
-    return min(best[s] + chat.closing(s)[0] for s in range(4))
+        now = {last: c + 1 + CHANGE[role, last] for last, c in best.items() if last}
+        for last, c in with_empty_turns(dict(best)).items():
+            for new in AFTER[last]:
+                now[new] = min(now.get(new, 10**9), c + CHANGE[role, new])
+        best = now
+    return min(c for last, c in with_empty_turns(dict(best)).items() if last in ("", "assistant") and (last or not roles))
 
 
 def cost(roles, turns):
-    state = total = 0
-    for role, (new, _, _) in zip(roles, turns, strict=True):
-        to = 1 + chat.ROLES.index(new)
-        total, state = total + chat.step(role)[state][to][0], to
-    return total + chat.closing(state)[0]
+    """Of (new role, action, roles inserted before) of each turn, with the empty turns that close the conversation."""
+    total, last = 0, ""
+    for role, (new, action, added) in zip(roles, turns, strict=True):
+        merged = "merge" in action
+        assert ("relabel" in action) == (role != new) and not (merged and (added or new != last))
+        for r in (*added, *(() if merged else (new,))):
+            assert r in AFTER[last]
+            last = r
+        total += CHANGE[role, new] + merged + 2 * len(added)
+    return total + 2 * {"": 0, "assistant": 0, "user": 1, "system": 2}[last]
+
+
+def test_costs_by_hand():
+    assert [cheapest(r) for r in ([], ["user"], ["user", "assistant"], ["assistant"], ["user", "user"], ["system"], ["other"], ["user", "system"])] == [0, 2, 0, 2, 3, 4, 3, 3]
 
 
 def test_repair_is_cheapest_and_splits():
@@ -271,7 +300,17 @@ def test_conversations(spark, monkeypatch, chunk):
         by[r.conv_id].append(r)
     for turns in by.values():
         roles = [chat.role_of(r.role) for r in turns]
-        assert cost(roles, [(r.new_role, r.action, ()) for r in turns]) == cheapest(roles)
+        assert cost(roles, [(r.new_role, r.action, r.inserted.split(",") if r.inserted else []) for r in turns]) == cheapest(roles)
+
+
+def test_a_very_long_conversation(spark):
+    rng = random.Random(8)
+    rows = [(5, t, rng.choice(["user", "assistant", "assistant", "tool", None, "system"]), str(t)) for t in range(7000)]
+    found = sorted(chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect(), key=lambda r: r.turn)
+    roles = [chat.role_of(r[2]) for r in rows]
+    assert len({(r.part, r.chunk) for r in found}) > 2 and [r.turn for r in found] == list(range(7000))
+    assert cost(roles, [(r.new_role, r.action, r.inserted.split(",") if r.inserted else []) for r in found]) == cheapest(roles)
+    assert all(map(legal, rendered(found).values()))
 
 
 def test_clean_conversations_stay(spark):
