@@ -1,34 +1,86 @@
 """Grammar inference for credential formats: prefix trees of labelled strings whose statistically compatible states
 are merged (the ALERGIA test) into probabilistic automata, one a label.
 
-Strings are read as classes of characters; within a class characters count as equally likely, so a ratio of two
-likelihoods depends on the classes alone.
+A label's strings are first aligned: characters that all of them hold equally often part them into segments, and of each
+segment the common prefix is literal and the rest is of the smallest character set that covers it. The prefix tree is
+over literals and sets, so ``ghp_`` is spelt out in the automaton and a tail's length is learnt. Ordinary strings are read
+as classes of characters. Within a set or class characters count as equally likely, which both kinds of likelihood
+contain, so they are comparable.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import random
 import string
 from collections import deque
+from functools import lru_cache
 
 ALPHA = 0.05
-FLOOR = 1e-3
+#: Visits credited to what was never seen: next to none in a credential's automaton, as its format is fixed.
+FLOOR, STRICT = 1e-3, 1e-12
 
 _CLASS = {**dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G"), **dict.fromkeys("0123456789", "0")}
 CLASSES = str.maketrans(_CLASS)
 ALPHABET = "agAG0+/_.=-"
+#: Log of one over the size of each class.
+_WITHIN = {c: -math.log(sum(v == c for v in _CLASS.values()) or 1) for c in ALPHABET}
+#: Character sets of which a tail may be, from the smallest.
+SETS = [string.digits, "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "_-", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "+/_.=-"]
+
+
+class Reader:
+    """How the strings of one label are read: symbols and the log-likelihood of the characters within them."""
+
+    def __init__(self, strings: list[str]):
+        marks = {c for c in "".join(strings) if not c.isalnum()}
+        self.marks = {c for c in marks if len({s.count(c) for s in strings}) == 1}
+        self.segments = []
+        for parts in zip(*map(self._parts, strings), strict=True):
+            literal = os.path.commonprefix(parts)
+            rest = set("".join(p[len(literal) :] for p in parts))
+            k = next(i for i, chars in enumerate(SETS) if rest <= set(chars))
+            self.segments.append((literal, frozenset(SETS[k]), chr(0xE000 + k), -math.log(len(SETS[k]))))
+
+    def _parts(self, s: str) -> list[str]:
+        """Segments in order, marks as segments of their own."""
+        out = [""]
+        for c in s:
+            if c in self.marks:
+                out += [c, ""]
+            else:
+                out[-1] += c
+        return out
+
+    def __call__(self, s: str) -> tuple[str, float]:
+        out, within = [], 0.0
+        for i, part in enumerate(self._parts(s)):
+            literal, chars, symbol, size = self.segments[i] if i < len(self.segments) else ("", (), "", 0.0)
+            for k, c in enumerate(part):
+                if k >= len(literal) and c in chars:
+                    out.append(symbol)
+                    within += size
+                else:
+                    out.append(c)
+        return "".join(out), within
+
+
+def read_classes(s: str) -> tuple[str, float]:
+    classes = s.translate(CLASSES)
+    return classes, sum(_WITHIN.get(c, 0.0) for c in classes)
 
 
 class Automaton:
-    """State s: ends[s] of visits[s] strings end there; moves[s] maps a class to (target, count)."""
+    """Of strings of symbols. State s: ends[s] of visits[s] strings end there; moves[s] maps a symbol to (target, count)."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: list[str], alpha: float = ALPHA, floor: float = FLOOR):
+        self.floor = floor
         self.visits, self.ends, self.moves = [0], [0], [{}]
         for s in strings:
             at = 0
             self.visits[0] += 1
-            for c in s.translate(CLASSES):
+            for c in s:
                 if c not in self.moves[at]:
                     self.moves[at][c] = [len(self.visits), 0]
                     self.visits.append(0)
@@ -99,14 +151,14 @@ class Automaton:
     def _tables(self) -> dict[int, tuple[float, dict[str, tuple[int, float]]]]:
         out = {}
         for s in self.states:
-            total = self.visits[s] + FLOOR * (len(ALPHABET) + 1)
-            out[s] = math.log((self.ends[s] + FLOOR) / total), {c: (t, math.log((n + FLOOR) / total)) for c, (t, n) in self.moves[s].items()}, math.log(FLOOR / total)
+            total = self.visits[s] + self.floor * (len(ALPHABET) + 1)
+            out[s] = math.log((self.ends[s] + self.floor) / total), {c: (t, math.log((n + self.floor) / total)) for c, (t, n) in self.moves[s].items()}, math.log(self.floor / total)
         return out
 
-    def log_likelihood(self, classes: str) -> float:
-        """Of a string already in classes; an unseen step costs the floor and starts again at the root."""
+    def log_likelihood(self, symbols: str) -> float:
+        """An unseen step costs the floor and starts again at the root."""
         at, total, table = 0, 0.0, self._log
-        for c in classes:
+        for c in symbols:
             _, moves, floor = table[at]
             step = moves.get(c)
             if step is None:
@@ -163,6 +215,15 @@ def ordinary(per_label: int, seed: int) -> dict[str, list[str]]:
         "order": lambda: f"{word().upper()}-{word().upper()}-{num(2, 6)}-{word().upper()}",
         "query": lambda: f"{word()}={word()}{num(1, 3)}.{word()}={num(1, 3)}",
         "uuid": lambda: "-".join(_of(rng, "0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+        "identifier": lambda: _of(rng, _ALNUM, rng.randint(16, 36)),
+        "long_identifier": lambda: _of(rng, _ALNUM, rng.randint(42, 90)),
+        "serial": lambda: _of(rng, _UP, rng.randint(16, 36)),
+        "lower_identifier": lambda: _of(rng, string.ascii_lowercase + string.digits, rng.randint(16, 50)),
+        "hex": lambda: _of(rng, "0123456789abcdef", rng.choice([16, 24, 32, 40, 64])),
+        "upper_hex": lambda: _of(rng, "0123456789ABCDEF", rng.choice([16, 24, 32, 40, 64])),
+        "digest": lambda: _of(rng, _ALNUM + "+/", rng.choice([22, 27, 43])),
+        "mail_part": lambda: _of(rng, _ALNUM + "+/", rng.choice([60, 64, 72, 76])),
+        "url_identifier": lambda: _of(rng, _URL64, rng.choice([16, 20, 21, 22, 27, 32, 43])),
     }
     out = {}
     for label, draw in kinds.items():
@@ -175,22 +236,31 @@ def ordinary(per_label: int, seed: int) -> dict[str, list[str]]:
 
 
 class Model:
-    """score(candidate): log-likelihood ratio of the best credential automaton to the best ordinary one, a symbol.
-    The threshold lies above all ordinary strings held out."""
+    """score(candidate): log of the ratio of the candidate's likelihood by the best credential automaton to that by the
+    best ordinary one. The threshold lies above all ordinary strings held out."""
 
     def __init__(self, credentials: dict[str, list[str]], ordinary_: dict[str, list[str]], held_out: list[str]):
-        self.automata = {label: Automaton(found) for label, found in credentials.items()}
-        self.ordinary = {label: Automaton(found) for label, found in ordinary_.items()}
+        self.readers = {label: Reader(found) for label, found in credentials.items()}
+        self.automata = {label: Automaton([self.readers[label](s)[0] for s in found], floor=STRICT) for label, found in credentials.items()}
+        self.ordinary = {label: Automaton([read_classes(s)[0] for s in found]) for label, found in ordinary_.items()}
         self.threshold = max([0.0, *map(self.score, held_out)]) + 0.25
 
+    def label(self, candidate: str) -> tuple[float, str]:
+        """The best credential automaton and its log-likelihood."""
+        out = []
+        for label, automaton in self.automata.items():
+            symbols, within = self.readers[label](candidate)
+            out.append((automaton.log_likelihood(symbols) + within, label))
+        return max(out)
+
     def score(self, candidate: str) -> float:
-        classes = candidate.translate(CLASSES)
-        best = lambda found: max(a.log_likelihood(classes) for a in found.values())
-        return (best(self.automata) - best(self.ordinary)) / (len(classes) + 1)
+        classes, within = read_classes(candidate)
+        return self.label(candidate)[0] - within - max(a.log_likelihood(classes) for a in self.ordinary.values())
 
     def is_credential(self, candidate: str) -> bool:
         return self.score(candidate) > self.threshold
 
 
+@lru_cache(maxsize=2)
 def default_model(per_label: int = 150, seed: int = 7) -> Model:
-    return Model(labelled(per_label, seed), ordinary(per_label, seed), [s for v in ordinary(2 * per_label, seed + 1).values() for s in v])
+    return Model(labelled(per_label, seed), ordinary(per_label, seed), [s for v in ordinary(per_label, seed + 1).values() for s in v])

@@ -1,9 +1,11 @@
 """Secret scans: fixed base patterns, and credentials recognised by inferred format grammars.
 
-Base spans are found as the patterns say. Every other maximal run of 16 or more of ``[A-Za-z0-9+/_.=-]`` that holds a
-letter and a digit and touches no base span is a candidate; the automata of :mod:`.grammar` score it, and those above
-the threshold become spans of kind ``format``. The automata are trained on the driver from a fixed number of labelled
-strings and sent with the tasks (some kB); documents are scanned where they lie, without a shuffle.
+Base spans are found as the patterns say. Every other maximal run of 16 or more of ``[A-Za-z0-9+/_.=-]`` that touches no
+base span is a candidate, and where it is not a credential so are its parts between ``=``, then between ``/``, then between
+``.``. Candidates lose ``.``, ``=`` and ``-`` at both ends and need 16 characters, a letter and a digit; the automata of
+:mod:`.grammar` score them, and those above the threshold become spans of kind ``format``, just as long as what was
+scored. The automata are trained on the driver from a fixed number of labelled strings and sent with the tasks (some
+kB); documents are scanned where they lie, without a shuffle.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows and ids each get their row; a null id stays
 null; extra columns are ignored by :func:`scan` and kept by :func:`mask`; an empty table gives an empty table. Spans
@@ -35,6 +37,24 @@ _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 REPLACEMENT = "[secret]"
 
 
+def credentials(word: str, at: int, model: Model, marks: str = "=/.") -> list[tuple[int, int, int]]:
+    """Spans of the credentials in a run that starts at ``at``: the run, or else its parts, coarse before fine."""
+    body = word.strip(".=-")
+    if len(body) < CANDIDATE_CHARS or not (_DIGIT.search(body) and _LETTER.search(body)):
+        return []
+    at += len(word) - len(word.lstrip(".=-"))
+    if model.is_credential(body):
+        return [(at, 3, at + len(body))]
+    for k, mark in enumerate(marks):
+        if mark in body:
+            out = []
+            for part in body.split(mark):
+                out += credentials(part, at, model, marks[k + 1 :])
+                at += len(part) + 1
+            return out
+    return []
+
+
 def find(text: str, model: Model | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, sorted. Access and hex spans lie within runs, which are looked for once."""
     out = []
@@ -51,8 +71,8 @@ def find(text: str, model: Model | None) -> list[tuple[int, int, int]]:
     if runs and model is not None:
         base = list(out)
         for a, b, word in runs:
-            if _DIGIT.search(word) and _LETTER.search(word) and not any(s < b and a < e for s, _, e in base) and model.is_credential(word.strip(".=-")):
-                out.append((a, 3, b))
+            if not any(s < b and a < e for s, _, e in base):
+                out += credentials(word, a, model)
     return sorted(out)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import string
 import struct
 import zlib
 from collections import Counter
@@ -159,14 +160,59 @@ def test_scan_and_mask(spark):
     assert masked.filter("doc_id = 9").first().text == next(r[1] for r in documents() if r[0] == 9)
 
 
+def digits_of(chars, n, seed):
+    """A string of a format, drawn from SHA-256 and not by the trainer."""
+    big = int.from_bytes(b"".join(hashlib.sha256(f"{seed}:{k}".encode()).digest() for k in range(1 + n // 30)), "big")
+    return "".join(chars[big // len(chars) ** k % len(chars)] for k in range(n))
+
+
+ALNUM = string.ascii_letters + string.digits
+
+
+def test_recall_and_precision_on_strings_of_another_source():
+    model, url64, upper = grammar.default_model(), ALNUM + "_-", string.ascii_uppercase + string.digits
+    formats = {
+        "cloud_access": lambda k: "AKIA" + digits_of(upper, 16, k), "cloud_secret": lambda k: digits_of(ALNUM + "+/", 40, k), "forge_token": lambda k: "ghp_" + digits_of(ALNUM, 36, k), "maps_key": lambda k: "AIza" + digits_of(url64, 35, k), "pay_key": lambda k: "sk_live_" + digits_of(ALNUM, 24, k),
+        "chat_token": lambda k: f"xoxb-{digits_of(string.digits, 12, k)}-{digits_of(string.digits, 12, -k - 1)}-{digits_of(ALNUM, 24, k)}", "web_token": lambda k: f"eyJ{digits_of(url64, 33, k)}.eyJ{digits_of(url64, 60 + k % 20, k)}.{digits_of(url64, 43, -k - 1)}",
+    }
+    for label, draw in formats.items():
+        assert sum(model.is_credential(draw(k)) and model.label(draw(k))[1] == label for k in range(200)) > 190, label
+    clean = {
+        "words of 20": lambda k: digits_of(ALNUM, 20, k), "words of 36": lambda k: digits_of(ALNUM, 36, k), "base64 lines": lambda k: digits_of(ALNUM + "+/", 64, k), "upper hex": lambda k: digits_of("0123456789ABCDEF", 40, k), "hex": lambda k: digits_of("0123456789abcdef", 40, k), "other prefix": lambda k: "abc_" + digits_of(ALNUM, 36, k),
+        "short": lambda k: "ghp_" + digits_of(ALNUM, 20, k), "near": lambda k: "AKIB" + digits_of(upper, 16, k), "uuid": lambda k: "-".join(digits_of("0123456789abcdef", n, k) for n in (8, 4, 4, 4, 12)), "slug": lambda k: f"release-notes-for-version-{k}-of-2024",
+    }
+    for label, draw in clean.items():
+        assert sum(model.is_credential(draw(k)) for k in range(200)) < 10, label
+
+
 def test_formats_beyond_the_base():
-    model = grammar.default_model()
-    key = "ghp_" + "".join(random.Random(1).choices("abcdefghijABCDEFGHIJ0123456789", k=36))
-    assert secrets.find(f"see {key} there", model) == [(4, 3, 4 + len(key))]
-    for clean in ("write to bosbt.42@mail8.example.com now", "id 550e8400-e29b-41d4-a716-446655440000", "card 4785380592391139", "plain words only"):
+    model, key = grammar.default_model(), "ghp_" + digits_of(ALNUM, 36, 1)
+    secret = digits_of(ALNUM + "+", 40, 5)
+    for before, after in (("see ", " there"), ("see ", "."), ("GITHUB=", " x"), ("https://git.example.com/", "/hooks/a1"), ("a=1/", ".tar.gz"), ("...", "=="), ("é😀 ", "")):
+        assert secrets.find(before + key + after, model) == [(len(before), 3, len(before) + len(key))]
+    text = f"see KEY={secret}. And https://hooks.example.com/{key}/{key}."
+    at = [text.index(secret), text.index(key), text.rindex(key)]
+    assert secrets.find(text, model) == [(at[0], 3, at[0] + 40), *[(a, 3, a + 40) for a in at[1:]]]
+    assert secrets.masked(text, secrets.find(text, model)) == "see KEY=[secret]. And https://hooks.example.com/[secret]/[secret]."
+    for clean in ("write to bosbt.42@mail8.example.com now", "id 550e8400-e29b-41d4-a716-446655440000", "card 4785380592391139", "plain words only", "GET /a/b1/c2/dddddddddddddddd/e.html?x=1"):
         assert secrets.find(clean, model) == []
 
 
+def test_query_columns(spark):
+    rows = [*documents(), (50, f"see KEY=ghp_{digits_of(ALNUM, 36, 3)}. password: longer_value", "en", "a")]
+    frame(spark, rows).write.parquet((folder := fresh(spark, "in")) + "/documents.parquet")
+    model, names = grammar.default_model(), ["assign", "access", "hex", "format"]
+    told = lambda spans: ",".join(f"{names[k]}:{a}:{e}" for a, k, e in spans)
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        base, every = brute(text or ""), secrets.find(text or "", model)
+        assert [x for x in every if x[1] < 3] == base
+        want[(doc_id, *[sum(k == i for _, k, _ in every) for i in range(4)], hashlib.sha256(told(base).encode()).hexdigest(), told(every))] += 1
+    found = secrets.op2_secret_scans(spark, folder).collect()
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.n_format, r.base_sha256, r.spans) for r in found) == want
+    assert next(r for r in found if r.doc_id == 50).spans == "format:8:48,assign:50:72"
+
+
 @pytest.mark.parametrize("run", [secrets.scan, secrets.mask, bpe.round_trip])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], DOCS)).count() == 0
