@@ -4,7 +4,7 @@ A legal conversation is an optional system turn, then user and assistant turns i
 assistant's. For each turn the repair keeps its role, gives it another, merges it into the turn before, or first inserts
 empty turns; dynamic programming over the automaton of legal turns finds the cheapest sequence, which is then rendered.
 
-A conversation of any length is split: rows are range-sorted by (conv_id, turn, role, text) and cut into chunks of at
+A conversation of any length is split: rows are range-sorted by (conv_id, turn, role, hash of text) and cut into chunks of at
 most 2,048 turns and at partition bounds. The repair of a chunk is a 4 x 4 table of least costs from state to state;
 for conversations in several chunks the tables are combined, which fixes the states at the chunk bounds, and every
 chunk is then repaired by itself. The result has a row per turn, with the piece of rendered text it adds: the pieces
@@ -14,7 +14,7 @@ Costs: merge 1; unknown role named 1; system made user 2; other change of role 3
 change of role costs both. Among equals: keep, merge, change, fewer insertions, roles in the order listed.
 
 Edge cases: null, blank and unknown roles are ``other``, to be given a role; a null text is empty; null turns come
-last; turns of equal number are ordered by role and text; repeated rows are turns of their own; a null conv_id is a
+last; turns of equal number are ordered by role and the text's hash; repeated rows are turns of their own; a null conv_id is a
 conversation; extra columns are ignored; an empty table gives an empty table. Role markers within texts are defused.
 """
 
@@ -220,9 +220,9 @@ def _repair(batches):
 def format_chats(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, text. One row per turn, as in REPAIRED; order within a conversation: part, chunk, pos."""
     small_batches(turns.sparkSession)
-    slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    labelled = written(slim.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_label, LABELLED), "chat")
+    slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", F.xxhash64("text").alias("_h"))
+    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("_h")]
+    labelled = written(slim.repartitionByRange(*keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first()).drop("_h").mapInArrow(_label, LABELLED), "chat")
     cut = labelled.filter("cut").select("conv_id", "part", "chunk", "pos", "known")
     tables = cut.groupBy("conv_id", "part", "chunk").applyInPandas(_tables, "conv_id bigint, part int, chunk int, costs array<bigint>")
     ends = written(tables.groupBy("conv_id").applyInPandas(_ends, "_part int, _chunk int, start int, end int, final boolean"), "chat-ends")

@@ -7,14 +7,16 @@ all, and likeness is corrected for the 1/256 of bins that agree by chance.
 
 Edge cases: a null text counts as empty; a text without words has the fingerprint '' and is like (1.0) only
 another such text; one of 1 to 4 words has one shingle, all its words. Equal texts have equal fingerprints. The
-next document follows by descending ``doc_id`` (null last), ties by the text's SHA-256; after the last comes the
-first, so a lone document is its own next. Repeated rows count as documents. Extra columns are ignored.
+next document follows by descending ``doc_id`` (null last), ties by the text's descending xxhash64; after the last comes
+the first, so a lone document is its own next. One id on very many rows is split by that hash; only rows equal in id and
+text stay together. Repeated rows count as documents. Extra columns are ignored.
 Very long texts stay whole, in memory linear in the text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,12 +84,30 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("fingerprint", packed(F.col("_bins"))).drop("_bins", "_body")
 
 
-def lower_bound(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds lie below the key, by binary search."""
+def lower_bound(bounds: list[tuple[int, int]], key: Column, tie: Column) -> Column:
+    """How many of the sorted bounds lie below (key, tie), by binary search."""
     if not bounds:
         return F.lit(0)
-    items, steps = _ints(bounds), [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(_ints(steps), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(items, at + step - 1) < key, F.lit(False)), at + step).otherwise(at))
+    keys, ties, steps = _ints([k for k, _ in bounds]), _ints([t for _, t in bounds]), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def below(i: Column) -> Column:
+        return F.coalesce((F.get(keys, i) < key) | (F.get(keys, i) == key) & (F.get(ties, i) < tie), F.lit(False))
+
+    return F.aggregate(_ints(steps), F.lit(0), lambda at, step: F.when(below(at + step - 1), at + step).otherwise(at))
+
+
+def range_bounds(keyed: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """Bounds of ranges of about equal counts over (_k, _t): those of _k, and where several fall on one _k, which is then
+    on many rows, bounds of _t within it."""
+    shares = lambda n: _ints([i / n for i in range(1, n)], "double")
+    cuts = Counter(keyed.agg(F.percentile_approx("_k", shares(ranges), F.lit(20 * ranges))).first()[0] or [])
+    hot = {k: n for k, n in cuts.items() if n > 1}
+    found = [(k, LEAST) for k in cuts]
+    if hot:
+        most = max(hot.values()) + 1
+        within = keyed.filter(F.array_contains(_ints(sorted(hot)), F.col("_k"))).groupBy("_k").agg(F.percentile_approx("_t", shares(most), F.lit(20 * most)).alias("h"))
+        found += [(r["_k"], h) for r in within.collect() for h in r["h"]]
+    return sorted(set(found))
 
 
 def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
@@ -95,18 +115,19 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     documents go to ranges of doc_id; the top of each range is sent to the range above as well, where it follows
     that range's last, and the top of all closes the circle. The driver sees a few numbers per range."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
-    one = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), key.alias("_k"))
+    body = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), key.alias("_k"))
+    one = body.withColumn("_t", F.xxhash64("text"))
     ranges = per_partition * shuffle_partitions(docs.sparkSession)
-    shares = _ints([i / ranges for i in range(1, ranges)], "double")
-    cuts = one.agg(F.percentile_approx("_k", shares, F.lit(20 * ranges))).first()[0]
-    home = lower_bound(sorted(set(cuts or [])), F.col("_k"))
-    tops = sorted((r[0], r[1]) for r in one.select(home.alias("_r"), "_k").groupBy("_r").agg(F.max("_k")).collect())
-    copy = F.array_position(_ints([k for _, k in tops]) if tops else F.array().cast("array<bigint>"), F.col("_k")).cast("int")
+    home = lower_bound(range_bounds(one, ranges), F.col("_k"), F.col("_t"))
+    tops = sorted((r["_r"], (r["t"]["_k"], r["t"]["_t"])) for r in one.select(home.alias("_r"), "_k", "_t").groupBy("_r").agg(F.max(F.struct("_k", "_t")).alias("t")).collect())
+    at = lower_bound([t for _, t in tops], F.col("_k"), F.col("_t"))
+    tops_k, tops_h = (_ints([t[i] for _, t in tops]) if tops else F.array().cast("array<bigint>") for i in (0, 1))
+    copy = F.when((F.get(tops_k, at) == F.col("_k")) & (F.get(tops_h, at) == F.col("_t")), at + 1)
     above = [r for r, _ in tops[1:] + tops[:1]]
     sent = F.when(copy > 0, F.struct(F.get(_ints(above) if above else F.array().cast("array<int>"), copy - 1).cast("int").alias("_to"), (copy == len(tops)).alias("_wraps"), F.lit(True).alias("_guest")))
     dealt = one.select("*", F.inline(F.array_compact(F.array(F.struct(home.alias("_to"), F.lit(False).alias("_wraps"), F.lit(False).alias("_guest")), sent))))
     ranged = with_bins(dealt.repartition(F.col("_to")), "text", "_bins")
-    w = Window.partitionBy("_to").orderBy("_wraps", F.desc("_k"), F.sha2("text", 256))
+    w = Window.partitionBy("_to").orderBy("_wraps", F.desc("_k"), F.desc("_t"), "text")
     return ranged.select("*", F.lead("text").over(w).alias("next_text"), F.lead("_bins").over(w).alias("next_bins")).filter(~F.col("_guest")).select("doc_id", "text", "_bins", "next_text", "next_bins")
 
 

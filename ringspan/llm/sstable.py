@@ -13,7 +13,7 @@ Writing: one range shuffle of (id, text); each task encodes and writes its shard
 so a lost or repeated task leaves whole files only. The driver sees one manifest row a shard.
 
 Edge cases: a null text counts as empty (its document is the end id alone); a null id sorts first; repeated ids are
-all kept, ordered by text; extra columns are ignored; an empty table writes no shard with entries and reads back
+all kept, ordered by the text's hash, and may span shards; extra columns are ignored; an empty table writes no shard with entries and reads back
 as an empty table. Texts are encoded whole.
 """
 
@@ -222,7 +222,8 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     small_batches(docs.sparkSession)
     path = path or vocabulary("word_bpe_49k.json")
     width = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    ranged = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # by the text's hash as well, so that one id (or null) on very many rows is split; the bounds that Spark draws stay small
+    ranged = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text", "xxhash64(text) AS _h").repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
     return sorted(r for r in ranged.mapInArrow(tidy(_write(path, folder, width, end_id)), MANIFEST).collect() if r["n_docs"])
 
 
@@ -252,9 +253,13 @@ def read_shards(spark: SparkSession, manifest: list) -> DataFrame:
 
 
 def lookup(manifest: list, doc_id: int | None) -> list[np.ndarray]:
-    """Ids of the documents with this id: binary search over the shards, then within one."""
-    key, at = key_of(doc_id), bisect.bisect_left([r["last_key"] for r in manifest], key_of(doc_id))
-    return Reader(manifest[at]["path"]).get(doc_id) if at < len(manifest) and manifest[at]["first_key"] <= key else []
+    """Ids of the documents with this id: binary search over the shards, of which several may hold it, then within each."""
+    key, found = key_of(doc_id), []
+    at = bisect.bisect_left([r["last_key"] for r in manifest], key)
+    while at < len(manifest) and manifest[at]["first_key"] <= key:
+        found += Reader(manifest[at]["path"]).get(doc_id)
+        at += 1
+    return found
 
 
 def op5_sstable(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 import hashlib
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ringspan.llm import fingerprints, mixing, quality_rules
+from ringspan.llm.common import fresh
 
 from .test_fixtures import DOCS, documents, frame, prose
 
@@ -52,7 +55,7 @@ def shingle_set(text):
 
 
 def test_fingerprints_edits_and_order(spark):
-    rows = sorted([(r[0], r[1] or "") for r in documents()], key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256(r[1].encode()).hexdigest()))
+    rows = sorted([(r[0], r[1] or "") for r in documents()], key=lambda r: (r[0] is None, -(r[0] or 0), -spark_hash(r[1].encode())))
     found = fingerprints.with_next(frame(spark)).withColumn("like", fingerprints.likeness(F.col("_bins"), F.col("next_bins"))).collect()
     want = Counter((rows[i][0], rows[i][1], rows[(i + 1) % len(rows)][1]) for i in range(len(rows)))
     assert Counter((r.doc_id, r.text, r.next_text) for r in found) == want
@@ -64,6 +67,61 @@ def test_fingerprints_edits_and_order(spark):
             assert r.like == 1.0
 
 
+def spark_hash(data, seed=42):
+    """Spark's xxhash64 of one string or long."""
+    return xxhash.xxh64_intdigest(data, seed) - (xxhash.xxh64_intdigest(data, seed) >> 63 << 64)
+
+
+def bins_of(text):
+    """One-permutation MinHash in plain Python: 128 bins by the top bits of 63, low 8 bits kept, empty ones filled along
+    their own probes."""
+    words, hashes = [spark_hash(w.encode()) for w in WORD.findall(text)], set()
+    for i in range(max(len(words) - 4, min(1, len(words)))):
+        h = 42
+        for w in words[i : i + 5] if len(words) >= 5 else words:
+            h = spark_hash(struct.pack("<q", w), h & (1 << 64) - 1)
+        hashes.add(h & (1 << 63) - 1)
+    held = {}
+    for h in sorted(hashes, reverse=True):
+        held[h >> 56] = h & 255
+    if not held:
+        return []
+    out = []
+    for j in range(128):
+        at = (b for b in [j, *((fingerprints.STEP[j] * t + fingerprints.START[j]) % 128 for t in range(128))] if b in held)
+        out.append(held[next(at)])
+    return out
+
+
+def likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    return max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 128 - 1 / 256) / (1 - 1 / 256))
+
+
+@pytest.mark.parametrize("rows", [documents(), [(None, prose(i, 8 + i), "en", "s") for i in range(90)] + [(3, prose(i, 12), "en", "s") for i in range(40)] + [(i, f"only {i}", "en", "s") for i in range(10, 30)], [(1, "alone", "en", "s")]])
+def test_query_matches_brute_force(spark, rows):
+    frame(spark, rows).repartition(3).write.parquet((folder := fresh(spark, "in")) + "/documents.parquet")
+    order = sorted([(r[0], r[1] or "") for r in rows], key=lambda r: (r[0] is None, -(r[0] or 0), -spark_hash(r[1].encode())))
+    hexed = lambda bins: "".join(f"{x:02x}" for x in bins)
+    want = Counter()
+    for (doc_id, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        own, other = bins_of(text), bins_of(edited)
+        want[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(own), hexed(other), round(likeness(own, other), 9), round(likeness(own, bins_of(after)), 9)] += 1
+    found = fingerprints.op9_document_fingerprints(spark, folder).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == want
+
+
+def test_one_id_on_many_rows_is_split(spark):
+    docs = frame(spark, [(7, f"text {i} of one id", "en", "s") for i in range(3000)] + [(i, "other", "en", "s") for i in range(50)])
+    keyed = docs.select(F.col("doc_id").alias("_k"), F.xxhash64("text").alias("_t"))
+    found = fingerprints.range_bounds(keyed, 16)
+    sizes = Counter(r[0] for r in keyed.select(fingerprints.lower_bound(found, F.col("_k"), F.col("_t"))).collect())
+    assert max(sizes.values()) < 500
+
+
 def test_lone_document_follows_itself(spark):
     one = fingerprints.with_next(frame(spark, [(1, "a b c", "en", "s")])).collect()
     assert [(r.text, r.next_text) for r in one] == [("a b c", "a b c")]

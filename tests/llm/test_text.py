@@ -107,6 +107,24 @@ def test_shards_read_back(spark):
     assert sstable.lookup(manifest, 4711) == []
 
 
+def test_one_id_on_many_rows_spans_shards(spark):
+    rows = [(i, f"{i} one") for i in range(40)] + [(None, f"null {k}") for k in range(900)] + [(50, f"many {k} rows") for k in range(900)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        manifest = sstable.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), fresh(spark, "shards"))
+    finally:
+        spark.conf.unset(key)
+    assert len(manifest) > 2 and max(r["n_docs"] for r in manifest) < 900
+    assert [len(sstable.lookup(manifest, k)) for k in (None, 50, 3, 99)] == [900, 900, 1, 0]
+    found = sorted(sstable.read_shards(spark, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted([r[0] for r in rows], key=lambda i: (i is not None, i or 0))
+    starts = [0]
+    for r in found:
+        starts.append(starts[-1] + r.n_tokens)
+    assert [r.start for r in found] == starts[:-1]
+
+
 def test_blocks_index_and_filter(tmp_path):
     rng = random.Random(3)
     keys = sorted(rng.randrange(-(10**12), 10**12) for _ in range(3000))
