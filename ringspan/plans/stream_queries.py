@@ -138,7 +138,7 @@ def e11(spark, d):
 def d12(spark, d):
     """Detection of a stand-in model that reads two of the knobs; the climb itself is what runs."""
     start = {k: (low + high) / 2 for k, (low, high) in Z.M.KNOBS.items()}
-    found = Z.red_team(start, lambda p: min(1.0, 0.5 * p["device_reuse_rate"] + 0.006 * p["burst_intensity"]))
+    found = Z.red_team(spark, start, lambda p: min(1.0, 0.5 * p["device_reuse_rate"] + 0.006 * p["burst_intensity"]))
     return spark.createDataFrame([(i, float(x["detection"]), float(x["cost"]), float(x["objective"])) for i, x in enumerate(found)], "round int, detection double, cost double, objective double")
 
 

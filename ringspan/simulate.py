@@ -180,37 +180,45 @@ def verify(data: dict[str, DataFrame], cfg: dict) -> DataFrame:
     return auth.sparkSession.createDataFrame([(c, bool(ok)) for c, ok in checks], "check string, ok boolean")
 
 
-def perturb(params: dict[str, float], draw: int) -> dict[str, float]:
-    """Two to four knobs moved by a quarter of their range, from a seeded draw."""
-    import random
+#: Knobs that take whole numbers only.
+WHOLE = {"merchant_spread", "dormancy_days_min"}
 
-    rng, out = random.Random(draw), dict(params)
-    for k in rng.sample(sorted(M.KNOBS), rng.randint(2, 4)):
-        low, high = M.KNOBS[k]
-        out[k] = min(high, max(low, out[k] + rng.gauss(0, 0.25 * (high - low))))
-        if k in ("merchant_spread", "dormancy_days_min"):
-            out[k] = float(round(out[k]))
-    return out
+
+def moves(spark: SparkSession, rounds: int, seed: int) -> DataFrame:
+    """A table of draws: round, knob, step. Each round moves the two to four knobs that come first in a random order
+    of its own, by a normal step whose deviation is a quarter of the knob's range."""
+    d = Draws(seed)
+    knobs = spark.createDataFrame([(k, float(high - low)) for k, (low, high) in M.KNOBS.items()], "knob string, span double")
+    drawn = spark.range(rounds).select(F.col("id").alias("round")).join(F.broadcast(knobs))
+    place = F.row_number().over(Window.partitionBy("round").orderBy(d.u("order", "round", "knob"), "knob"))
+    return drawn.withColumn("_p", place).filter(F.col("_p") <= d.pick("how many", 2, 4, "round")).select("round", "knob", (d.n("step", "round", "knob") * F.col("span") / 4).alias("step"))
+
+
+def moved(params: dict[str, float], steps: dict[str, float]) -> dict[str, float]:
+    """Parameters after a round's steps, kept within their ranges."""
+    bounded = {k: sorted((*M.KNOBS[k], params[k] + step))[1] for k, step in steps.items()}
+    return params | {k: float(round(v)) if k in WHOLE else v for k, v in bounded.items()}
 
 
 def cost_of(params: dict[str, float]) -> float:
-    parts = []
-    for k, way in M.KNOB_COST.items():
-        low, high = M.KNOBS[k]
-        norm = (params[k] - low) / (high - low)
-        parts.append((1 - norm) * -way if way < 0 else norm * way)
-    return sum(parts) / sum(map(abs, M.KNOB_COST.values()))
+    """The operator's cost, 0 to 1: how near each knob is to its dear end, weighted."""
+    ends = {k: M.KNOBS[k] if way > 0 else M.KNOBS[k][::-1] for k, way in M.KNOB_COST.items()}
+    near = {k: abs(params[k] - cheap) / abs(dear - cheap) for k, (cheap, dear) in ends.items()}
+    return sum(abs(M.KNOB_COST[k]) * v for k, v in near.items()) / sum(map(abs, M.KNOB_COST.values()))
 
 
-def red_team(start: dict[str, float], detection, rounds: int = 8, seed: int = 11) -> list[dict]:
+def red_team(spark: SparkSession, start: dict[str, float], detection, rounds: int = 8, seed: int = 11) -> list[dict]:
     """Hill climb of the operator: least detection + 0.35 cost. ``detection`` (params -> rate) runs one job a round."""
-    best = {"params": start, "detection": detection(start), "cost": cost_of(start)}
-    best["objective"] = best["detection"] + 0.35 * best["cost"]
-    found = [best]
+
+    def tried(params: dict[str, float]) -> dict:
+        rate, dear = detection(params), cost_of(params)
+        return {"params": params, "detection": rate, "cost": dear, "objective": rate + 0.35 * dear}
+
+    steps: dict[int, dict[str, float]] = {}
+    for r in moves(spark, rounds, seed).collect():  # four rows a round at most
+        steps.setdefault(r["round"], {})[r["knob"]] = r["step"]
+    found = [tried(start)]
     for i in range(rounds):
-        params = perturb(best["params"], seed * 1000 + i)
-        one = {"params": params, "detection": detection(params), "cost": cost_of(params)}
-        one["objective"] = one["detection"] + 0.35 * one["cost"]
-        found.append(one)
-        best = min(best, one, key=lambda x: x["objective"])
+        best = min(found, key=lambda x: x["objective"])
+        found.append(tried(moved(best["params"], steps[i])))
     return found

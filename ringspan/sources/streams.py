@@ -64,8 +64,9 @@ def institutions_in(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_stream(df: DataFrame, root: str, stream: str) -> None:
-    """S5"""
-    df.write.mode("overwrite").json(f"{root}/{stream}.jsonl")
+    """Timestamps to the microsecond."""
+    micros = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    df.write.mode("overwrite").options(**micros).json(f"{root}/{stream}.jsonl")
 
 
 def write_report(spark: SparkSession, report: dict, path: str) -> None:

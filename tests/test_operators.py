@@ -249,6 +249,35 @@ def test_images():
     assert np.allclose(I.parse_ppm(raw), image / 255)
 
 
+def test_image_statistics_by_hand():
+    flat, spot = np.zeros((10, 10)), np.zeros((10, 10))
+    spot[4, 5] = 1.0
+    # the residual of a spot: 4 in the middle and -1 at its four neighbours, among 64 values
+    assert sorted(I.laplacian(spot).ravel())[:5] == [-1, -1, -1, -1, 0] and I.laplacian(spot).sum() == 0 and I.laplacian(spot).max() == 4
+    g2 = ((4**4 + 4) / 64) / ((16 + 4) / 64) ** 2 - 3
+    assert abs(I.kurtosis(I.laplacian(spot)) - 63 / (62 * 61) * (65 * g2 + 6)) < 1e-9 and I.kurtosis(I.laplacian(flat)) == 0
+    # its spectrum is 4 - 2 cos(2 pi u / 8) - 2 cos(2 pi v / 8): 4, 2, 2, 4 at the quarter frequencies
+    power = lambda u, v: 4 - 2 * np.cos(np.pi * u / 4) - 2 * np.cos(np.pi * v / 4)
+    ring = [np.median([power(u + a, v + b) for a in (-3, -2, 2, 3) for b in (-3, -2, 2, 3)]) for u, v in ((2, 2), (2, 0), (0, 2), (2, -2))]
+    assert abs(I.spectral_peaks(I.laplacian(spot)) - 3 / np.mean(ring)) < 1e-9 and I.spectral_peaks(I.laplacian(flat)) == 0
+    x = np.linspace(0, 1, 100).reshape(10, 10)
+    assert abs(I.channel_anomaly(np.stack([x, 2 * x, -x], 2)) - 1) < 1e-9 and I.channel_anomaly(np.stack([x, flat, flat], 2)) == 0
+    # |r| = 1 for one pair and 0 for two: a mean of 1/3, below 0.85
+    odd = np.where(np.arange(100) % 2, 1.0, -1.0).reshape(10, 10)
+    even = np.where(np.arange(100) // 2 % 2, 1.0, -1.0).reshape(10, 10)
+    assert I.channel_anomaly(np.stack([odd, -odd, even], 2)) == 0
+    clipped = np.full((2, 2, 3), 0.5)
+    clipped[0, 0], clipped[1, 1, 0] = 1.0, 0.004
+    assert I.artifacts(np.pad(clipped, ((1, 1), (1, 1), (0, 0)), constant_values=0.5))["saturation_clip_ratio"] == 4 / 48
+    assert np.allclose(I.luminance(np.array([[[1.0, 0, 0], [0, 1, 0], [0, 0, 1]]])), [[0.299, 0.587, 0.114]])
+    # a pure cosine of 3 rows and 2 columns is one coefficient, number 10 * 3 + 2 less the constant's
+    y, z = (np.arange(64) + 0.5) / 64, (np.arange(64) + 0.5) / 64
+    wave = 0.5 + 0.2 * np.cos(np.pi * 3 * y)[:, None] * np.cos(np.pi * 2 * z)
+    found = np.abs(I.descriptor(wave))
+    assert len(found) == 99 and found.argmax() == 31 and abs(np.linalg.norm(I.descriptor(wave + 0.2)) - np.linalg.norm(found)) < 1e-6
+    assert np.allclose(I.descriptor(np.full((64, 64), 0.3)), 0)
+
+
 def test_scenarios_and_rules(tmp_path):
     tiny = config.load_scenario("tiny")
     assert (tiny["seed"], tiny["ring"]["n_rings"], tiny["ring"]["burst_intensity"]) == (7, 2, 45.0)
@@ -292,7 +321,24 @@ def test_narratives(spark):
     schema_ = "community string, size bigint, cohesion double, suspicion double, institutions array<string>, shared array<string>, signals array<string>, seed string, flagged int, dormant int, hops int, via string, path_score double, reasons array<string>"
     rows = [("c1", 5, 0.5, 0.9, ["a", "b"], ["3 shared addresses"], ["decline ratio 4.0x above"], "idn_1", 4, 2, 2, "owns -> owns", 0.31, ["ring_membership"]), ("c2", 4, 0.1, 0.2, [], [], [], None, 0, 0, 0, None, 0.0, [])]
     text = {r.community: r.narrative for r in N.narrate(spark.createDataFrame(rows, schema_)).collect()}
-    assert "2 of which have never transacted" in text["c1"] and "shared-attribute density" in text["c1"] and "Nobody in the community is confirmed" in text["c2"]
+    assert text["c2"] == "Group: c2; members 4; cohesion 0.10; suspicious share of ties 0.20\nState: unconfirmed\nNext: keep under watch; structure by itself is not grounds for a block"
+    lines = dict(x.split(": ", 1) for x in text["c1"].split("\n"))
+    assert lines["Seen at"] == "a, b" and lines["Reach"] == "from idn_1; flagged 4; never transacted 2" and lines["Strongest path"] == "owns -> owns; hops 2; score 0.310"
+    assert "shared-attribute density" in lines["Reasons"] and lines["State"] == "dormant members in reach"
+
+
+def test_moves_and_costs(spark):
+    drawn = Z.moves(spark, 60, 3).collect()
+    by = {i: {r.knob: r.step for r in drawn if r.round == i} for i in range(60)}
+    assert {len(v) for v in by.values()} == {2, 3, 4} and len({k for v in by.values() for k in v}) == len(M.KNOBS)
+    low, high = ({k: M.KNOBS[k][i] for k in M.KNOBS} for i in (0, 1))
+    for v in by.values():
+        after = Z.moved(low, v)
+        assert all(M.KNOBS[k][0] <= after[k] <= M.KNOBS[k][1] for k in after) and all(after[k] == round(after[k]) for k in Z.WHOLE & set(v))
+    cheap = {k: M.KNOBS[k][0] if w > 0 else M.KNOBS[k][1] for k, w in M.KNOB_COST.items()}
+    assert Z.cost_of(low | cheap) == 0 and Z.cost_of(low | {k: M.KNOBS[k][1] if w > 0 else M.KNOBS[k][0] for k, w in M.KNOB_COST.items()}) == 1
+    found = Z.red_team(spark, low, lambda p: 0.5, rounds=5)
+    assert len(found) == 6 and all(abs(x["objective"] - 0.5 - 0.35 * x["cost"]) < 1e-12 for x in found)
 
 
 def test_model_round_trip(spark, tmp_path):
