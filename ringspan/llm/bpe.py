@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a distinct-word table.
 
-1. Texts are read once and split into pre-tokens. Each chunk of text (some 4 million characters of one input split)
-   lists its distinct words, dealt into buckets by a hash of the word, and keeps every text as the positions of its words
-   in that list: (chunk, bucket, words) and (chunk, texts as positions), one table in the shared folder. The chunk's
-   number stands in that table, so later steps don't depend on how the input is split or planned.
+1. Texts are read once and split into pre-tokens. Each chunk of text (some 12 million characters of one input split)
+   numbers its distinct words by falling count, lists them dealt into buckets by a hash of the word, and keeps every text
+   as the positions of its words: (chunk, bucket, words), (chunk, positions of the listed words) and (chunk, texts as
+   positions), one table in the shared folder. The chunk's number stands in that table, so later steps don't depend on
+   how the input is split or planned.
 2. The lists go to their buckets; there each distinct word is encoded once, and each list goes back as the ids of its
    words in the list's order.
 3. Ids and texts of a chunk meet, and ids are joined back by position. Nothing is collected or broadcast.
@@ -34,7 +35,7 @@ from .common import shuffle_partitions, small_batches, table, tidy, written
 from .pretokens import pieces, splitter
 
 #: Characters of text after which a chunk ends, words of a page of texts, words a worker remembers.
-CHUNK_CHARS, PAGE_WORDS, MEMO_WORDS = 4_000_000, 16_384, 1_000_000
+CHUNK_CHARS, PAGE_WORDS, MEMO_WORDS = 12_000_000, 16_384, 1_000_000
 BATCH_BYTES = 8 << 20
 LISTED = "chunk bigint, part int, doc_ids array<bigint>, counts array<int>, payload binary"
 _KINDS = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
@@ -47,32 +48,42 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def pack(items: list[bytes]) -> bytes:
-    """A list of byte strings: lengths, then all bytes, compressed."""
-    return zstandard.ZstdCompressor(1).compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items))
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as four planes of bytes, which compress better."""
+    return np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def pack(lengths: list[int] | np.ndarray, body: bytes) -> bytes:
+    """Lengths of items and all their bytes, compressed."""
+    return zstandard.ZstdCompressor(1).compress(len(lengths).to_bytes(4, "little") + _planes(np.asarray(lengths, np.uint32)) + body)
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
-    """(lengths, all bytes) of :func:`pack`."""
     raw = zstandard.ZstdDecompressor().decompress(packed)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 * n + 4 :]
+    at = 4 + 4 * int.from_bytes(raw[:4], "little")
+    return _numbers(raw[4:at]).astype(np.int64), raw[at:]
 
 
-def items_of(packed: bytes) -> list[bytes]:
+def words_in(packed: bytes) -> list[bytes]:
     lengths, raw = unpack(packed)
     ends = np.cumsum(lengths).tolist()
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def pack_positions(positions: np.ndarray) -> bytes:
-    """Four planes of bytes compress better than numbers."""
-    return zstandard.ZstdCompressor(1).compress(positions.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def pack_ids(items: list[bytes]) -> bytes:
+    return pack([len(x) // 4 for x in items], _planes(np.frombuffer(b"".join(items), "<u4")))
 
 
-def unpack_positions(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(_planes(numbers))
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    return _numbers(zstandard.ZstdDecompressor().decompress(packed))
 
 
 class Places(dict):
@@ -89,14 +100,21 @@ def _split(path: str, buckets: int):
         places, held, chars, chunk = Places(), [], 0, 0
 
         def flush():
+            every = np.concatenate([p for _, p in held])
+            # positions by falling count: small numbers are the most common
+            by_count = np.argsort(-np.bincount(every, minlength=len(places)), kind="stable")
+            position = np.empty(len(places), np.uint32)
+            position[by_count] = np.arange(len(places))
             listed = [w.encode() for w in places]
             bucket = np.array([zlib.crc32(w) % buckets for w in listed], np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order))
-            ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
-            order = order.tolist()
-            rows = [(base + chunk, b, None, None, pack([listed[i] for i in order[a:e]])) for b, (a, e) in enumerate(zip([0, *ends], ends, strict=False)) if e > a]
+            order = np.lexsort((position, bucket))
+            ends = np.searchsorted(bucket[order], np.arange(buckets), "right").tolist()
+            rows = []
+            for b, (a, e) in enumerate(zip([0, *ends], ends, strict=False)):
+                if e > a:
+                    part = [listed[i] for i in order[a:e].tolist()]
+                    rows.append((base + chunk, b, None, None, pack(list(map(len, part)), b"".join(part))))
+            rows.append((base + chunk, buckets, None, None, pack_numbers(np.diff(position[order], prepend=np.uint32(0)))))
             at = 0
             while at < len(held):
                 end, n = at, 0
@@ -104,7 +122,7 @@ def _split(path: str, buckets: int):
                     n += len(held[end][1])
                     end += 1
                 page = held[at:end]
-                rows.append((base + chunk, buckets + at, [d for d, _ in page], [len(p) for _, p in page], pack_positions(place[np.concatenate([p for _, p in page])])))
+                rows.append((base + chunk, buckets + 1 + at, [d for d, _ in page], [len(p) for _, p in page], pack_numbers(position[np.concatenate([p for _, p in page])])))
                 at = end
             yield from _cut(_NAMES, _KINDS, rows)
 
@@ -153,7 +171,7 @@ def _encode_lists(path: str):
     def run(batches):
         known = Encoded(path)
         for batch in batches:
-            packed = [pack(list(map(known.__getitem__, items_of(p)))) for p in batch.column("payload").to_pylist()]
+            packed = [pack_ids(list(map(known.__getitem__, words_in(p)))) for p in batch.column("payload").to_pylist()]
             yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(packed, pa.binary()))
 
     return run
@@ -163,7 +181,7 @@ def _table(path: str):
     def run(batches):
         encode, seen = splitter(path).encode, set()
         for batch in batches:
-            fresh_ = {w for p in batch.column("payload").to_pylist() for w in items_of(p)} - seen
+            fresh_ = {w for p in batch.column("payload").to_pylist() for w in words_in(p)} - seen
             seen |= fresh_
             rows = [(w.decode(), array("I", encode(w.decode())).tobytes()) for w in sorted(fresh_)]
             yield from _cut(["word", "ids"], [pa.string(), pa.binary()], rows)
@@ -188,13 +206,14 @@ def _text(piece_of: dict[int, bytes], ids: np.ndarray) -> str:
 
 
 class Chunk:
-    """The ids of a chunk's words by place, from its lists in order of buckets."""
-
-    def __init__(self, lists: list[bytes], vocabulary_: Pieces | None):
-        found = [unpack(p) for p in lists]
-        self.lengths = np.concatenate([n for n, _ in found]) // 4 if found else np.zeros(0, np.int64)
-        self.ids = np.frombuffer(b"".join([raw for _, raw in found]), "<u4")
-        self.starts = np.cumsum(self.lengths) - self.lengths
+    """The ids of a chunk's words by position: its lists in order of buckets, and the positions of their words."""
+
+    def __init__(self, lists: list[bytes], positions: bytes, vocabulary_: Pieces | None):
+        found, at = [unpack(p) for p in lists], np.cumsum(unpack_numbers(positions), dtype=np.uint32)
+        lengths = np.concatenate([n for n, _ in found]) if found else np.zeros(0, np.int64)
+        self.ids = np.concatenate([_numbers(raw) for _, raw in found]) if found else np.zeros(0, "<u4")
+        self.lengths, self.starts = np.empty_like(lengths), np.empty_like(lengths)
+        self.lengths[at], self.starts[at] = lengths, np.cumsum(lengths) - lengths
         self.pieces = vocabulary_.of(self.ids) if vocabulary_ else None
 
     def texts(self, doc_ids: list, counts: list[int], positions: np.ndarray):
@@ -208,13 +227,13 @@ class Chunk:
 
 
 def _lay(path: str, buckets: int, decoded: bool):
-    """Of rows sorted by chunk and part: lists of ids first, then pages of texts."""
+    """Of rows sorted by chunk and part: lists of ids, their words' positions, then pages of texts."""
 
     def run(batches):
         vocabulary_ = Pieces(path) if decoded else None
 
         def rows():
-            now, lists, words = None, [], None
+            now, lists, order, words = None, [], b"", None
             for batch in batches:
                 for i in range(batch.num_rows):
                     chunk, part, doc_ids, counts, payload = (batch.column(c)[i].as_py() for c in _NAMES)
@@ -223,8 +242,11 @@ def _lay(path: str, buckets: int, decoded: bool):
                     if part < buckets:
                         lists.append(payload)
                         continue
-                    words = words or Chunk(lists, vocabulary_)
-                    for doc_id, ids in words.texts(doc_ids, counts, unpack_positions(payload)):
+                    if part == buckets:
+                        order = payload
+                        continue
+                    words = words or Chunk(lists, order, vocabulary_)
+                    for doc_id, ids in words.texts(doc_ids, counts, unpack_numbers(payload)):
                         yield (doc_id, ids.tobytes(), _text(words.pieces, ids)) if decoded else (doc_id, ids.tobytes())
 
         yield from _cut(["doc_id", "ids", "decoded"][: 2 + decoded], [pa.int64(), pa.binary(), pa.string()][: 2 + decoded], rows())

@@ -54,7 +54,7 @@ def test_decoding_and_distinct_words(spark, monkeypatch):
     assert all(list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(w, add_special_tokens=False).ids for w, ids in words)
 
 
-@pytest.mark.parametrize("chars, page", [(1, 1), (500, 40), (4_000_000, 16_384)])
+@pytest.mark.parametrize("chars, page", [(1, 1), (500, 40), (12_000_000, 16_384)])
 def test_chunks_and_pages(spark, monkeypatch, chars, page):
     path, library = bpe.vocabulary("byte_bpe_50k.json"), Tokenizer.from_file(bpe.vocabulary("byte_bpe_50k.json"))
     monkeypatch.setattr(bpe, "CHUNK_CHARS", chars)
