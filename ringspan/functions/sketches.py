@@ -167,6 +167,18 @@ def realised_fpr(words: DataFrame, bits: int, hashes: int) -> DataFrame:
     return words.agg(F.pow(F.sum(F.bit_count("bits")) / F.lit(bits), F.lit(float(hashes))).alias("fpr"))
 
 
+def exchange_summary(left: DataFrame, right: DataFrame, value: str, salt: str, size: tuple[int, int] | None = None) -> DataFrame:
+    """One row on what an exchange tells ``left`` of ``right``: counts, hits, and the filter's bytes and error rate.
+    Without ``size`` (bits, hashes) the filter is sized for the right side's count."""
+    bits, hashes = size or bloom_size(right.count())
+    words = bloom_words(right, value, bits, hashes, salt)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    shared = bloom_contains(left.select(value).distinct(), value, words, bits, hashes, salt).filter("present")
+    one = n(left, "n_left").crossJoin(n(right, "n_right")).crossJoin(n(left.join(shared, value, "left_semi"), "n_shared")).crossJoin(realised_fpr(words, bits, hashes))  # one row each
+    held = -(-bits // 8)
+    return one.select("n_left", "n_right", "n_shared", F.lit(held).cast("bigint").alias("filter_bytes"), F.col("fpr").alias("filter_fp_rate"), (F.lit(held) / F.greatest(F.lit(1), "n_right")).alias("bytes_per_item"))
+
+
 def match_identities(candidates: DataFrame, words: DataFrame, bits: int, hashes: int, salt: str, key: str, band_keys: str, least: int = 6) -> DataFrame:
     """Identities with at least ``least`` bands in the other side's filter."""
     each = candidates.select(key, F.explode(band_keys).alias("band")).distinct()

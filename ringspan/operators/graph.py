@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .pairs import guarded_pairs, priority
-from .storage import written
+from .ordered import places
+from .storage import discard, written
 
 #: Weights of shared attributes, conductance of edges and of the node reached.
 SHARE = {"device": 1.0, "face_cluster": 1.0, "doc_template": 0.9, "address": 0.7, "phone": 0.6, "email": 0.6, "ip_asn": 0.4, "card_token": 0.3}
@@ -95,7 +96,7 @@ def conductance(kind: Column, reached: Column, weight: Column) -> Column:
     return _choose(kind, EDGE_CONDUCTANCE, OTHER_CONDUCTANCE) * _choose(F.substring_index(reached, ":", 1), NODE_CONDUCTANCE, OTHER_CONDUCTANCE) * (0.5 + 0.5 * weight / (1 + weight))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, decay: float = DECAY, hops: int = MOST_HOPS, least: float = LEAST, most_rounds: int = 12) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, decay: float = DECAY, hops: int = MOST_HOPS, least: float = LEAST, most_rounds: int = 24) -> DataFrame:
     """Best evidence reaching each node from the seeds (node, score). Every round recomputes all labels from the
     last round's and keeps the winner's hops, until nothing changes; ties (of
     conductances to 12 digits) by hops, source, predecessor. Seeds are not in
@@ -109,12 +110,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, decay: float = DECAY, hops: in
         reached = now.filter(F.col("hops") < hops).withColumnRenamed("node", "src").join(step, "src").withColumn("next", F.col("score") * F.col("c")).filter(F.col("next") >= least)
         offers = reached.select(F.col("dst").alias("node"), F.col("next").alias("score"), (F.col("hops") + 1).alias("hops"), "source", F.col("src").alias("before"), F.concat("path", F.array(hop)).alias("path"))
         best = offers.join(seeds.select("node"), "node", "left_anti").groupBy("node").agg(F.min_by(F.struct("score", "hops", "source", "before", "path"), F.struct(-F.col("score"), "hops", "source", "before")).alias("b")).select("node", "b.*")
-        now = written(start.unionByName(best), "propagated")
+        before, now = now, written(start.unionByName(best), "propagated")
+        discard(before)
         seen = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("node", "score", "hops", "source", "before")), F.lit(0))).first())
         if seen == mark:
-            break
+            return now.filter("hops > 0").select("node", "score", "hops", "source", "path")
         mark = seen
-    return now.filter("hops > 0").select("node", "score", "hops", "source", "path")
+    raise RuntimeError(f"propagation still changes after {most_rounds} rounds")
 
 
 def mark_dormant(reached: DataFrame, transacted: DataFrame, key: str = "identity") -> DataFrame:
@@ -136,14 +138,19 @@ def ring_subgraph(edges: DataFrame, members: DataFrame, limit: int = 200) -> Dat
 
 
 def _louvain(edges: list[tuple], total: float, resolution: float, seed: int) -> dict:
-    """Weighted Louvain of one component; ``total`` is twice the weight of the whole graph."""
+    """Weighted Louvain of one component; ``total`` is twice the weight of the whole graph. An edge from a node to itself
+    is weight that an earlier level put inside it."""
     names = sorted({x for a, b, _ in edges for x in (a, b)})
     at = {x: i for i, x in enumerate(names)}
     near: list[dict] = [{} for _ in names]
+    loops = [0.0] * len(names)
     for a, b, w in edges:
+        if a == b:
+            loops[at[a]] += w
+            continue
         near[at[a]][at[b]] = near[at[a]].get(at[b], 0.0) + w
         near[at[b]][at[a]] = near[at[b]].get(at[a], 0.0) + w
-    loops, home, rng = [0.0] * len(names), list(range(len(names))), random.Random(seed)
+    home, rng = list(range(len(names))), random.Random(seed)
     while True:
         n = len(near)
         strength = [sum(d.values()) + 2 * loops[i] for i, d in enumerate(near)]
@@ -186,20 +193,83 @@ def _named(names: list, home: list[int]) -> dict:
     return {x: least[h] for x, h in zip(names, home, strict=True)}
 
 
-def communities(pairs: DataFrame, institutions: DataFrame | None = None, resolution: float = 1.0, seed: int = 7, smallest: int = 4) -> tuple[DataFrame, DataFrame]:
+#: Edges of a component above which its nodes are moved by rounds over the whole cluster before one task sees it.
+ONE_TASK_EDGES = 200_000
+MOVE_ROUNDS = 24
+
+
+def moved_together(edges: DataFrame, total: float, resolution: float, seed: int, rounds: int = MOVE_ROUNDS) -> DataFrame:
+    """One level of Louvain as rounds over tables: (node, group). edges: left, right, weight; loops allowed. In a round
+    every other node, by a hash of node and round, moves to the neighbouring group of greatest gain, the least group
+    among equals; until two rounds in a row move nothing."""
+    both = written(edges.select(F.col("left").alias("a"), F.col("right").alias("b"), "weight").union(edges.filter("left <> right").select("right", "left", "weight")), "level")
+    strength = both.groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).alias("k"))
+    nodes = written(strength.withColumn("group", F.col("node")), "moved")
+    quiet = 0
+    for r in range(rounds):
+        mass = nodes.groupBy(F.col("group").alias("g")).agg(F.sum("k").alias("m"))
+        reach = both.filter("a <> b").join(nodes.select(F.col("node").alias("b"), F.col("group").alias("g")), "b").select("a", "g", "weight")
+        inward = reach.union(nodes.select("node", "group", F.lit(0.0))).groupBy("a", "g").agg(F.sum("weight").alias("w"))
+        offers = inward.join(nodes.select(F.col("node").alias("a"), "group", "k"), "a").join(mass, "g")
+        stays = F.col("g") == F.col("group")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("m") - F.when(stays, F.col("k")).otherwise(0.0)) / total
+        best = offers.withColumn("gain", gain).groupBy("a").agg(F.min_by("g", F.struct(-F.col("gain"), "g")).alias("to"), F.max("gain").alias("top"), F.max(F.when(stays, F.col("gain"))).alias("own"), F.max("group").alias("group"), F.max("k").alias("k"))
+        goes = (F.col("top") > F.col("own") + 1e-12) & (F.pmod(F.xxhash64("a", F.lit(seed + r)), F.lit(2)) == 0)
+        before, nodes = nodes, written(best.select(F.col("a").alias("node"), "k", F.when(goes, F.col("to")).otherwise(F.col("group")).alias("group"), goes.alias("moves")), "moved")
+        discard(before)
+        quiet = 0 if nodes.filter("moves").limit(1).count() else quiet + 1
+        if quiet == 2:
+            break
+    return nodes.select("node", "group")
+
+
+def contracted(edges: DataFrame, home: DataFrame) -> DataFrame:
+    """Edges between groups (home: node, group), weights added up; what lies within a group is its loop."""
+    a, b = home.select(F.col("node").alias("left"), F.col("group").alias("_a")), home.select(F.col("node").alias("right"), F.col("group").alias("_b"))
+    ends = edges.join(a, "left").join(b, "right").select(F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right"), "weight")
+    return ends.groupBy("left", "right").agg(F.sum("weight").alias("weight"))
+
+
+def settled(edges: DataFrame, total: float, resolution: float, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Levels over the cluster until ``most`` edges are left or a level merges nothing: (home: node, group; edges)."""
+    home, n = None, edges.count()
+    while n > most:
+        groups = written(moved_together(edges, total, resolution, seed), "groups")
+        home = groups if home is None else written(home.join(groups.select(F.col("node").alias("group"), F.col("group").alias("_g")), "group").select("node", F.col("_g").alias("group")), "home")
+        before, edges = n, written(contracted(edges, groups), "contracted")
+        n = edges.count()
+        if n == before:
+            break
+    return home, edges
+
+
+def communities(pairs: DataFrame, institutions: DataFrame | None = None, resolution: float = 1.0, seed: int = 7, smallest: int = 4, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members: identity, community; table of communities). pairs: what :func:`project` gives. Communities never span
-    components, so each component is optimised in a task of its own against the whole graph's weight."""
+    components. One of ``most`` edges at most is optimised in a task of its own, against the whole graph's weight; larger
+    ones are first merged level by level over the cluster, until what is left of them is that small."""
+    most = most or ONE_TASK_EDGES
     pairs = written(pairs, "projection")
     total = 2 * (pairs.agg(F.sum("weight")).first()[0] or 1.0)
     labels = components(pairs.select(F.col("left").alias("a"), F.col("right").alias("b")))
     inner = pairs.join(labels.withColumnRenamed("node", "left"), "left").select("label", "left", "right", "weight")
+    big = written(inner.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("label"), "big")
     kind = pairs.schema["left"].dataType.simpleString()
+    home = None
+    if not big.isEmpty():
+        home, level = settled(written(inner.join(F.broadcast(big), "label").select("left", "right", "weight"), "big-edges"), total, resolution, seed, most)  # few: each has more than ``most`` edges
+        inner = inner.join(F.broadcast(big), "label", "left_anti").union(level.join(labels.withColumnRenamed("node", "left"), "left").select("label", "left", "right", "weight"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = _louvain(list(pdf[["left", "right", "weight"]].itertuples(index=False, name=None)), total, resolution, seed)
         return pd.DataFrame({"identity": list(found), "root": list(found.values())})
 
-    members = written(inner.groupBy("label").applyInPandas(run, f"identity {kind}, root {kind}"), "members")
+    last = inner.groupBy("label").applyInPandas(run, f"identity {kind}, root {kind}")
+    if home is not None:  # groups stand for their members
+        whole = home.join(last.withColumnRenamed("identity", "group"), "group").select(F.col("node").alias("identity"), "root")
+        last = written(whole, "big-members").union(last.join(home.select(F.col("group").alias("identity")), "identity", "left_anti"))
+        least = last.groupBy("root").agg(F.min("identity").alias("_least"))
+        last = last.join(least, "root").select("identity", F.col("_least").alias("root"))
+    members = written(last, "members")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= smallest)
     a, b = members.select(F.col("identity").alias("left"), "root"), members.select(F.col("identity").alias("right"), F.col("root").alias("_r"))
     inside = pairs.join(a, "left").join(b, "right").filter("root = _r")
@@ -210,8 +280,8 @@ def communities(pairs: DataFrame, institutions: DataFrame | None = None, resolut
     if institutions is not None:
         held = members.join(institutions, "identity").groupBy("root").agg(F.array_sort(F.collect_set("institution")).alias("institutions"))
         table = table.join(held, "root", "left").withColumn("cross_institution", F.size("institutions") > 1)
-    order = F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1  # a row a community
-    table = written(table.withColumn("community", F.format_string("cmt_%04d", order)).drop("bad", "all"), "communities")
+    numbered = places(table.withColumn("_less", -F.col("size")), ("_less", "root"), "_place")
+    table = written(numbered.withColumn("community", F.format_string("cmt_%04d", F.col("_place") - 1)).drop("bad", "all", "_less", "_place"), "communities")
     return members.join(table.select("root", "community"), "root").select("identity", "community"), table
 
 

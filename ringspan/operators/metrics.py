@@ -115,6 +115,31 @@ def enough_positives(rows: DataFrame, y: str = "y", least: int = LEAST_POSITIVES
     return rows
 
 
+def curve(scored: DataFrame, recall: DataFrame, fpr: float = TARGET_FPR) -> DataFrame:
+    """The eleven figures of every scenario, all in grouped passes. scored: scenario, y, score, scoped, account, doc_id,
+    lookalike; recall: scenario, recall (of ring members before they transact)."""
+    by = ("scenario",)
+    net = threshold_at_fpr(scored, fpr, by=by).withColumnRenamed("threshold", "_t")
+    own = threshold_at_fpr(scored, fpr, score="scoped", by=by).withColumnRenamed("threshold", "_o")
+    levels = scored.groupBy(*by, F.col("score").alias("_s")).agg(F.sum((F.col("y") == 1).cast("double")).alias("p"), F.sum((F.col("y") == 0).cast("double")).alias("n"))
+    area = running_totals(levels, "_s", {"_below": "n"}, by).withColumn("u", F.col("p") * (F.col("_below") + F.col("n") / 2)).groupBy(*by).agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum("n")).alias("auc"))
+    met = scored.join(net, list(by)).join(own, list(by))
+    n = lambda c: F.sum(c.cast("double"))
+    bad, good, hit = F.col("y") == 1, F.col("y") == 0, F.col("score") >= F.col("_t")
+    rates = met.groupBy(*by).agg(
+        F.try_divide(n(hit & good), n(good)).alias("realised_fpr"), F.try_divide(n(hit & bad), n(bad)).alias("detection_rate"), F.try_divide(n(hit & good & F.col("lookalike")), n(good & F.col("lookalike"))).alias("lookalike_false_decline"),
+        F.try_divide(n((F.col("scoped") >= F.col("_o")) & bad), n(bad)).alias("merchant_view_detection_rate"),
+    )
+    nth = F.row_number().over(Window.partitionBy(*by, "account").orderBy("doc_id"))
+    caught = met.filter(bad).withColumn("nth", nth).groupBy(*by, "account").agg(F.min(F.when(hit, F.col("nth"))).alias("at"))
+    tries = caught.groupBy(*by).agg(F.percentile("at", 0.5).alias("median_attempts_to_detection"), (F.count(F.lit(1)) - F.count("at")).alias("accounts_never_caught"))
+    out = rates.join(area, list(by), "left").join(tries, list(by), "left").join(recall, list(by), "left")
+    return out.select(
+        "scenario", F.lit(fpr).alias("target_fpr"), "realised_fpr", "auc", "detection_rate", "median_attempts_to_detection", "accounts_never_caught", F.col("recall").alias("ring_recall_before_transacting"), "lookalike_false_decline",
+        "merchant_view_detection_rate", F.col("detection_rate").alias("network_view_detection_rate"),
+    )
+
+
 def robustness_curve(reports: DataFrame) -> DataFrame:
     """Reports (scenario and figures) in the order of difficulty, others last by name."""
     place = F.array_position(F.array(*[F.lit(s) for s in SCENARIOS]), F.col("scenario"))

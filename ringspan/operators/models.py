@@ -57,9 +57,12 @@ class TrainedModel:
 
 
 def train(rows: DataFrame, names: list[str] = FEATURES, fpr: float = 0.001, split_ts=None, trees: int = 20, depth: int = 4) -> TrainedModel:
-    """Fits on rows (names, y); refuses fewer than 25 positives (L9). The threshold holds the budget on what it was fit on."""
-    enough_positives(rows)
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, seed=7)]).fit(rows)
+    """Fits on rows (names, y); refuses fewer than 25 positives (L9). With ``split_ts`` it fits on rows up to that time and
+    takes the threshold from the later ones, else the threshold holds the budget on what it was fit on."""
+    fit = rows if split_ts is None else rows.filter(F.col("ts") <= split_ts)
+    judged = rows if split_ts is None else rows.filter(F.col("ts") > split_ts)
+    enough_positives(fit)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, seed=7)]).fit(fit)
     model = TrainedModel(fitted, list(names), metrics={"split_ts": split_ts} if split_ts else {})
-    model.threshold_at_target_fpr = threshold_at_fpr(model.predict(rows), fpr).first()["threshold"]
+    model.threshold_at_target_fpr = threshold_at_fpr(model.predict(judged), fpr).first()["threshold"]
     return model

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 PARTS = 256
 
 
@@ -30,3 +32,13 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, str], by: tuple[str,
     own = ranged.withColumns({f"_i_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
     joined = own.join(offsets if by else F.broadcast(offsets), [*by, "_range"])  # without groups: ``parts`` rows
     return joined.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
+def places(df: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """Adds each row's place, from 1, in the total order of ``keys``: rows are sorted by ranges, and the counts of lower
+    ranges, one a partition, are added."""
+    kept = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    lower = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return kept.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")

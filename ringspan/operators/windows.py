@@ -76,25 +76,44 @@ def testing_signals(keys: tuple[str, ...] = ("account",)) -> dict[str, Column]:
     }
 
 
-def entity_windows() -> dict[str, Column]:
-    """By device and by address, one hour."""
+def entity_windows(slices: tuple[str, ...] = ()) -> dict[str, Column]:
+    """By device and by address, one hour; ``slices`` are added to either key."""
     out = {}
     for key in ("device", "ip"):
-        w = trailing([key], 3600)
+        w = trailing([key, *slices], 3600)
         out |= {f"{key}_n_1h": F.count(F.lit(1)).over(w), f"{key}_distinct_pans_1h": F.size(F.collect_set("card").over(w)).cast("long"), f"{key}_decline_ratio_1h": ratio("decline", w)}
     return out
 
 
+def in_slices(auth: DataFrame, seconds: int, features) -> DataFrame:
+    """The input's rows with ``features(slices)`` (name -> column), every key's history split into slices of ``seconds``."""
+    return sliced(auth, seconds).withColumns(features(("_slice",))).filter("NOT _context").drop("_slice", "_context")
+
+
 def with_novelty(auth: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
-    """Days since the key's first authorisation, whether the merchant is new to it, and how many it knew."""
-    order = Window.partitionBy(*keys).orderBy("us", "seq")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    nth = F.row_number().over(Window.partitionBy(*keys, "merchant").orderBy("us", "seq"))
-    out = auth.withColumn("acct_is_new_merchant", (nth == 1).cast("int"))
-    return out.withColumns({
-        "acct_age_days": F.coalesce((F.col("us") - F.min("us").over(before)) / F.lit(8.64e10), F.lit(0.0)),
-        "acct_known_merchants": F.coalesce(F.sum("acct_is_new_merchant").over(before), F.lit(0)),
-    })
+    """Days since the key's first authorisation, whether the merchant is new to it, and how many it knew. First
+    times are grouped and joined back; merchants known are counted within weeks, to which those of earlier weeks, a row a
+    key and week, are added: no task holds all of a hot key's history."""
+    now, week = F.struct("us", "seq"), F.floor(F.col("us") / F.lit(max(M.SPANS.values()) * 1_000_000)).cast("long")
+    firsts = auth.groupBy(*keys, "merchant").agg(F.min(now).alias("_first"))
+    starts = firsts.groupBy(*keys).agg(F.min("_first.us").alias("_start"))
+    flagged = null_safe(auth, firsts, (*keys, "merchant")).withColumns({"acct_is_new_merchant": (now == F.col("_first")).cast("int"), "_week": week}).drop("_first")
+    weeks = flagged.groupBy(*keys, "_week").agg(F.sum("acct_is_new_merchant").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_week").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = weeks.select(*keys, "_week", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(*keys, "_week").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    counted = null_safe(null_safe(flagged.withColumn("_own", F.coalesce(F.sum("acct_is_new_merchant").over(own), F.lit(0))), offsets, (*keys, "_week")), starts, keys)
+    out = counted.withColumns({"acct_age_days": (F.col("us") - F.col("_start")) / F.lit(8.64e10), "acct_known_merchants": F.col("_own") + F.col("_before")})
+    return out.drop("_week", "_own", "_before", "_start")
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Inner join on keys that may be null; the left's columns, then the right's own."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
 
 
 def own_event() -> dict[str, Column]:
@@ -104,7 +123,7 @@ def own_event() -> dict[str, Column]:
 
 def stream_features(auth: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
     """All 54 features of every event, by its keys; the input's columns stay."""
-    return with_novelty(account_features(auth, keys), keys).withColumns({**entity_windows(), **own_event()})
+    return in_slices(with_novelty(account_features(auth, keys), keys), 3600, entity_windows).withColumns(own_event())
 
 
 FEATURES = sorted(

@@ -62,14 +62,15 @@ def a2(spark, d):
 
 
 _DIR = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{V.METRICS[m][1]}'" for m in _HAVE) + " END"
-_EVID = f"""{_ROWS}, x AS (SELECT b.r AS ring, coalesce(rows_.ring = b.r, FALSE) AS inside, rows_.* EXCLUDE (ring) FROM rows_, (SELECT unnest([0, 2])::BIGINT AS r) b), g AS (SELECT ring, inside, {_AGG} FROM x GROUP BY ring, inside),
+_EVID = f"""{_ROWS}, x AS (SELECT b.r AS ring, coalesce(rows_.ring = b.r, FALSE) AS inside, rows_.* EXCLUDE (ring) FROM rows_, (SELECT DISTINCT ring::BIGINT AS r FROM ident WHERE ring IS NOT NULL) b), g AS (SELECT ring, inside, {_AGG} FROM x GROUP BY ring, inside),
 u AS ({' UNION ALL '.join(f"SELECT ring, inside, '{m}' AS metric, {m}::DOUBLE AS v FROM g" for m in _HAVE)}),
 p AS (SELECT ring, metric, max(v) FILTER (inside) AS value, max(v) FILTER (NOT inside) AS baseline, {_DIR} AS direction FROM u GROUP BY ring, metric),
 ev AS (SELECT *, CASE WHEN direction <> 'count' AND baseline <> 0 THEN value / baseline END AS ratio, CASE WHEN baseline IS NOT NULL AND direction = 'higher' THEN value > baseline WHEN baseline IS NOT NULL AND direction = 'lower' THEN value < baseline END AS elevated FROM p WHERE value IS NOT NULL)"""
 
 
 def evidence(spark, d):
-    return V.for_rings(A.identities(spark, d), V.rollup(auth(spark, d)), [0, 2]).withColumn("ring", F.col("ring").cast("bigint"))
+    """All rings that occur."""
+    return V.for_every_ring(A.identities(spark, d), V.rollup(auth(spark, d))).withColumn("ring", F.col("ring").cast("bigint"))
 
 
 @query("A5_ring_against_rest", f"WITH {_EVID} SELECT ring, metric, direction, round(value, 6) AS value, round(baseline, 6) AS baseline, round(ratio, 6) AS ratio, elevated FROM ev")
@@ -79,29 +80,11 @@ def a5(spark, d):
 
 @query(
     "A15_top_signals",
-    f"WITH {_EVID}, s AS (SELECT *, CASE WHEN ratio >= 1 THEN ratio ELSE 1 / ratio END AS sev FROM ev WHERE elevated AND ratio <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY ring, CASE metric {' '.join(f'''WHEN '{m}' THEN '{V.METRICS[m][0]}' ''' for m in _HAVE)} END ORDER BY sev DESC, metric DESC) AS place FROM s WHERE sev >= 1.1) "
+    f"WITH {_EVID}, s AS (SELECT *, CASE WHEN ratio >= 1 THEN ratio ELSE 1 / ratio END AS sev FROM ev WHERE elevated AND ratio <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY ring, CASE metric {' '.join(f'''WHEN '{m}' THEN '{V.METRICS[m][0]}' ''' for m in _HAVE)} END ORDER BY sev DESC, metric DESC) AS place FROM s WHERE sev >= 1.5) "
     "SELECT ring, metric, round(sev, 6) AS severity, place FROM r WHERE place <= 3",
 )
 def a15(spark, d):
-    return V.top_signals(evidence(spark, d), 1.1).select("ring", "metric", F.round("severity", 6).alias("severity"), F.col("place").cast("long").alias("place"))
-
-
-_EVERY = ("SELECT unnest([0, 2])::BIGINT AS r", "SELECT DISTINCT ring::BIGINT AS r FROM ident WHERE ring IS NOT NULL")
-
-
-def every_ring(spark, d):
-    """All rings that occur; A5_ring_against_rest and A15_top_signals stay at the two of their SQL."""
-    return V.for_every_ring(A.identities(spark, d), V.rollup(auth(spark, d))).withColumn("ring", F.col("ring").cast("bigint"))
-
-
-@query("A5_every_ring_against_rest", ORACLES["A5_ring_against_rest"].replace(*_EVERY))
-def a5_every(spark, d):
-    return every_ring(spark, d).select("ring", "metric", "direction", *[F.round(c, 6).alias(c) for c in ("value", "baseline", "ratio")], "elevated")
-
-
-@query("A15_top_signals_every_ring", ORACLES["A15_top_signals"].replace(*_EVERY))
-def a15_every(spark, d):
-    return V.top_signals(every_ring(spark, d), 1.1).select("ring", "metric", F.round("severity", 6).alias("severity"), F.col("place").cast("long").alias("place"))
+    return V.top_signals(evidence(spark, d)).select("ring", "metric", F.round("severity", 6).alias("severity"), F.col("place").cast("long").alias("place"))
 
 
 @query(
@@ -218,19 +201,64 @@ def e6(spark, d):
     return rounded(E.propagation_precision(t, t.filter("device < 90"), seeds))
 
 
+def _day(keys: str) -> str:
+    return f"(PARTITION BY {keys} ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)"
+
+
+def _model_sql(keys: str) -> str:
+    return f"least(1.0, count(*) OVER {_day(keys)} / 40.0::DOUBLE + 0.5 * coalesce(avg((response_code <> 'approved')::INTEGER::DOUBLE) OVER {_day(keys)}, 0))"
+
+
+_VIEWS = f"""{A.AUTH_SQL}, tr AS (SELECT account, min(us) + 259200000000 AS f, account % 4 = 1 AS syn FROM auth GROUP BY account),
+w AS (SELECT auth.account, merchant, us, round({_model_sql('account')}, 9) AS score, round({_model_sql('account, merchant')}, 9) AS scoped FROM auth),
+scored AS (SELECT w.*, (syn AND us >= f)::INTEGER AS y FROM w JOIN tr ON tr.account = w.account WHERE us > (SELECT (min(us) + max(us)) // 2 FROM auth))"""
+
+
 @query(
     "E7_view_delta",
-    f"WITH {A.SCORED_SQL}, tp AS (SELECT lang FROM scored GROUP BY lang HAVING count(*) >= 20 AND sum(y) > 0 ORDER BY sum(y) DESC, lang LIMIT 3), pl AS (SELECT * FROM scored WHERE lang IN (SELECT lang FROM tp)), {_THR.format(f=_FPR, s='score', src='pl')}, {_THR.format(f=_FPR, s='scoped', src='pl').replace('thr AS', 'own AS')} "
-    "SELECT count(DISTINCT lang)::DOUBLE AS groups_compared, count(*)::DOUBLE AS events, sum(y)::DOUBLE AS fraud, round(sum((y = 1 AND scoped >= own.t)::INTEGER) / sum(y)::DOUBLE, 6) AS scoped_rate, round(sum((y = 1 AND score >= thr.t)::INTEGER) / sum(y)::DOUBLE, 6) AS network_rate, round((sum((y = 1 AND score >= thr.t)::INTEGER) - sum((y = 1 AND scoped >= own.t)::INTEGER)) / sum(y)::DOUBLE, 6) AS delta FROM pl, thr, own",
+    f"WITH {_VIEWS}, tp AS (SELECT merchant FROM scored GROUP BY merchant HAVING count(*) >= 500 AND sum(y) > 0 ORDER BY sum(y) DESC, merchant LIMIT 40), pl AS (SELECT * FROM scored WHERE merchant IN (SELECT merchant FROM tp)), {_THR.format(f=_FPR, s='score', src='pl')}, {_THR.format(f=_FPR, s='scoped', src='pl').replace('thr AS', 'own AS')} "
+    "SELECT count(DISTINCT merchant)::DOUBLE AS groups_compared, count(*)::DOUBLE AS events, sum(y)::DOUBLE AS fraud, round(sum((y = 1 AND scoped >= own.t)::INTEGER) / sum(y)::DOUBLE, 6) AS scoped_rate, round(sum((y = 1 AND score >= thr.t)::INTEGER) / sum(y)::DOUBLE, 6) AS network_rate, round((sum((y = 1 AND score >= thr.t)::INTEGER) - sum((y = 1 AND scoped >= own.t)::INTEGER)) / sum(y)::DOUBLE, 6) AS delta FROM pl, thr, own",
 )
 def e7(spark, d):
-    return rounded(E.view_delta(A.scored(spark, d), "lang", _FPR, 20, 3))
+    """A fixed model over windows of the whole network and over windows rebuilt from what each merchant sees; holdout: the
+    second half of the time."""
+    from ..operators import windows as W
 
+    def model(keys):
+        day = W.trailing(keys, 86400)
+        return F.round(F.least(F.lit(1.0), F.count(F.lit(1)).over(day) / 40.0 + 0.5 * W.ratio("decline", day)), 9)
 
-@query("E7_view_delta_whole", ORACLES["E7_view_delta"].replace("LIMIT 3", "LIMIT 40"))
-def e7_whole(spark, d):
-    """With the operator's own limit of groups; E7_view_delta stays at the three of its SQL."""
-    return rounded(E.view_delta(A.scored(spark, d), "lang", _FPR, 20))
+    events = W.flags(A.auth_events(spark, d)).select("account", "merchant", "us", "f_decline")
+    low, high = events.agg(F.min("us"), F.max("us")).first()
+    rows = W.in_slices(events, 86400, lambda by: {"score": model(["account", *by]), "scoped": model(["account", "merchant", *by])})
+    first = events.groupBy("account").agg((F.min("us") + 259_200_000_000).alias("_f"))
+    late = rows.filter(F.col("us") > ((low or 0) + (high or 0)) // 2).join(first, "account")
+    return rounded(E.view_delta(late.withColumn("y", ((F.col("account") % 4 == 1) & (F.col("us") >= F.col("_f"))).cast("int")), "merchant", _FPR))
+
+
+_NAMES = "['sloppy', 'moderate', 'sophisticated', 'drift', 'other']"
+
+
+@query(
+    "E10_robustness_curve",
+    f"""WITH {A.SCORED_SQL}, sc AS (SELECT *, ({_NAMES})[doc_id % 5 + 1] AS scenario FROM scored),
+th AS (SELECT scenario, coalesce(min(score) FILTER (fp <= {_FPR} * al), 'infinity'::DOUBLE) AS t FROM (SELECT scenario, score, sum(ng) OVER (PARTITION BY scenario ORDER BY score DESC) AS fp, sum(ng) OVER (PARTITION BY scenario) AS al FROM (SELECT scenario, score, sum((y = 0)::INTEGER) AS ng FROM sc GROUP BY ALL)) GROUP BY scenario),
+ow AS (SELECT scenario, coalesce(min(scoped) FILTER (fp <= {_FPR} * al), 'infinity'::DOUBLE) AS o FROM (SELECT scenario, scoped, sum(ng) OVER (PARTITION BY scenario ORDER BY scoped DESC) AS fp, sum(ng) OVER (PARTITION BY scenario) AS al FROM (SELECT scenario, scoped, sum((y = 0)::INTEGER) AS ng FROM sc GROUP BY ALL)) GROUP BY scenario),
+lv AS (SELECT scenario, score, sum((y = 1)::INTEGER)::DOUBLE AS p, sum((y = 0)::INTEGER)::DOUBLE AS n FROM sc GROUP BY ALL),
+au AS (SELECT scenario, sum(p * (b + n / 2)) / (sum(p) * sum(n)) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY scenario ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lv) GROUP BY scenario),
+tri AS (SELECT scenario, quantile_cont(hit, 0.5) AS med, count(*) - count(hit) AS never FROM (SELECT scenario, account, min(nth) FILTER (score >= t) AS hit FROM (SELECT *, row_number() OVER (PARTITION BY scenario, account ORDER BY doc_id) AS nth FROM sc WHERE y = 1) JOIN th USING (scenario) GROUP BY ALL) GROUP BY scenario),
+rr AS (SELECT ({_NAMES})[c_custkey % 5 + 1] AS scenario, avg((c_custkey % 211 < 90)::INTEGER) AS recall FROM customer WHERE c_custkey % 25 < 5 AND c_custkey % 3 <> 0 GROUP BY 1),
+m AS (SELECT scenario, sum((score >= t AND y = 0)::INTEGER) / sum((y = 0)::INTEGER)::DOUBLE AS fpr, sum((score >= t AND y = 1)::INTEGER) / sum(y)::DOUBLE AS det, sum((scoped >= o AND y = 1)::INTEGER) / sum(y)::DOUBLE AS own, avg((score >= t)::INTEGER) FILTER (lookalike AND y = 0) AS lk FROM sc JOIN th USING (scenario) JOIN ow USING (scenario) GROUP BY scenario)
+SELECT scenario, {_FPR}::DOUBLE AS target_fpr, round(fpr, 6) AS realised_fpr, round(auc, 6) AS auc, round(det, 6) AS detection_rate, round(med, 6) AS median_attempts_to_detection, never::BIGINT AS accounts_never_caught, round(recall, 6) AS ring_recall_before_transacting, round(lk, 6) AS lookalike_false_decline,
+ round(own, 6) AS merchant_view_detection_rate, round(det, 6) AS network_view_detection_rate FROM m LEFT JOIN au USING (scenario) LEFT JOIN tri USING (scenario) LEFT JOIN rr USING (scenario)""",
+)
+def e10(spark, d):
+    names = F.array(*[F.lit(x) for x in (*E.SCENARIOS, "other")])
+    scored = A.scored(spark, d).withColumn("scenario", F.get(names, (F.col("doc_id") % 5).cast("int")))
+    rings = A.identities(spark, d).filter("identity % 25 < 5").select(F.get(names, (F.col("identity") % 5).cast("int")).alias("scenario"), "identity", F.when(F.col("identity") % 3 == 0, 1).alias("first_fraud"), (F.col("device") < 90).alias("flagged"))
+    recall = rings.filter("first_fraud IS NULL").groupBy("scenario").agg(F.avg(F.col("flagged").cast("double")).alias("recall"))
+    out = E.robustness_curve(E.curve(scored, recall, _FPR))
+    return out.select("scenario", *[c if t == "bigint" else F.round(c, 6).alias(c) for c, t in out.dtypes if c != "scenario"])
 
 
 @query("L7_L8_point_in_time", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= TIMESTAMP '1997-01-01' AND o_orderdate > TIMESTAMP '1996-01-01'")
@@ -298,12 +326,12 @@ def f11(spark, d):
     return both.groupBy(F.col("z.code").alias("code"), F.col("z.text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_MH = "[" + ", ".join(f"list_min(list_transform(indices, lambda i: ({a}::BIGINT * i + {b}) % 2147483647))" for a, b in H.coefficients(8)) + "]"
+_MH = "[" + ", ".join(f"list_min(list_transform(indices, lambda i: ({a}::BIGINT * i + {b}) % 2147483647))" for a, b in H.coefficients(64)) + "]"
 
 
 @query("H2_H3_minhash_bands", f"WITH {A.TAGS_SQL}, s AS (SELECT identity, {_MH} AS s FROM tags) SELECT identity, array_to_string(s, ',') AS signature, sha256('0|' || array_to_string(s[1:4], ',')) AS band_0, sha256('1|' || array_to_string(s[5:8], ',')) AS band_1 FROM s")
 def h2(spark, d):
-    s = A.tags(spark, d).select("identity", H.minhash(F.col("indices"), 8).alias("s"))
+    s = A.tags(spark, d).select("identity", H.minhash(F.col("indices")).alias("s"))
     b = H.bands(F.col("s"), 2, 4)
     return s.select("identity", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("signature"), F.get(b, 0).alias("band_0"), F.get(b, 1).alias("band_1"))
 
@@ -338,16 +366,36 @@ def h9(spark, d):
     return H.bloom_contains(c.filter("c_custkey % 2 = 0"), "c_custkey", words, _BITS, _HASHES, "salt").crossJoin(fpr)  # one row
 
 
-@query("H11_identity_match")
+@query(
+    "H10_exchange_summary",
+    f"WITH a AS (SELECT c_custkey AS v FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT c_custkey AS v FROM customer WHERE c_custkey % 2 = 0), w AS (SELECT DISTINCT p FROM ({_POS.format(src='a')})), q AS (SELECT v, bool_and(p IN (SELECT p FROM w)) AS present FROM ({_POS.format(src='b')}) GROUP BY v) "
+    f"SELECT (SELECT count(*) FROM b)::BIGINT AS n_left, (SELECT count(*) FROM a)::BIGINT AS n_right, (SELECT count(*) FROM q WHERE present)::BIGINT AS n_shared, {-(-_BITS // 8)}::BIGINT AS filter_bytes, round(pow((SELECT count(*) FROM w) / {_BITS}.0::DOUBLE, {_HASHES}), 6) AS filter_fp_rate, round({-(-_BITS // 8)} / greatest(1, (SELECT count(*) FROM a))::DOUBLE, 6) AS bytes_per_item",
+)
+def h10(spark, d):
+    c = A.table(spark, d, "customer").select("c_custkey")
+    out = H.exchange_summary(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 3 = 0"), "c_custkey", "salt", (_BITS, _HASHES))
+    return out.withColumns({k: F.round(k, 6) for k in ("filter_fp_rate", "bytes_per_item")})
+
+
+_EXCHANGE = (1 << 16, 7)
+_BANDS = "[" + ", ".join(f"sha256('{k}|' || array_to_string(s[{4 * k + 1}:{4 * k + 4}], ','))" for k in range(32)) + "]"
+_MH128 = "[" + ", ".join(f"list_min(list_transform(indices, lambda i: ({a}::BIGINT * i + {b}) % 2147483647))" for a, b in H.coefficients(128)) + "]"
+_AT = f"SELECT identity, v, ('0x' || substr(sha256('epoch|' || v || '|' || k), 1, 13))::BIGINT % {_EXCHANGE[0]} AS p FROM b, (SELECT unnest(range(0, {_EXCHANGE[1]})) AS k)"
+
+
+@query(
+    "H11_identity_match",
+    f"WITH {A.TAGS_SQL}, s AS (SELECT identity, {_MH128} AS s FROM tags), b AS (SELECT DISTINCT identity, unnest({_BANDS}) AS v FROM s), po AS MATERIALIZED ({_AT}), w AS (SELECT DISTINCT p FROM po WHERE identity % 2 = 0), q AS (SELECT identity, v, bool_and(p IN (SELECT p FROM w)) AS present FROM po GROUP BY ALL) SELECT identity, sum(present::INTEGER)::BIGINT AS hits, sum(present::INTEGER) >= 6 AS matched FROM q GROUP BY identity",
+)
 def h11(spark, d):
     t = A.tags(spark, d).select("identity", H.bands(H.minhash(F.col("indices"), 128), 32, 4).alias("bands"))
-    words = H.bloom_words(t.filter("identity % 2 = 0").select(F.explode("bands").alias("b")), "b", 1 << 16, 7, "epoch")
-    return H.match_identities(t, words, 1 << 16, 7, "epoch", "identity", "bands")
+    words = H.bloom_words(t.filter("identity % 2 = 0").select(F.explode("bands").alias("b")), "b", *_EXCHANGE, "epoch")
+    return H.match_identities(t, words, *_EXCHANGE, "epoch", "identity", "bands")
 
 
 @query("H1_fly_tags")
 def h1(spark, d):
-    return H.fly_tags(A.table(spark, d, "embeddings"), "vec_id", "embedding", dim=1024).select("vec_id", F.size("tag.indices").alias("n"), "tag.dim", F.array_join(F.transform("tag.indices", lambda x: x.cast("string")), ",").alias("indices"))
+    return H.fly_tags(A.table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.size("tag.indices").alias("n"), "tag.dim", F.array_join(F.transform("tag.indices", lambda x: x.cast("string")), ",").alias("indices"))
 
 
 @query("H12_whitening", "WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY i) SELECT vec_id, round(sum((x - m) / (s + 1e-6)), 4) AS total, round(sum(pow((x - m) / (s + 1e-6), 2)), 4) AS energy FROM e JOIN s ON e.i = s.i GROUP BY vec_id")

@@ -31,23 +31,19 @@ def auth(spark, d):
 
 
 def graph(spark, d):
-    p = people(spark, d)
-    return G.build(p, auth(spark, d), links=P.resolve(P.shared_tokens(p), P.recombined(p)))
-
-
-def whole_graph(spark, d):
-    """With the links of all producers; graph() stays at those that the SQL names."""
+    """With the links of all six producers."""
     return G.build(people(spark, d), auth(spark, d), links=J.all_links(spark, d))
 
 
 _LINKS = " UNION ALL ".join(
     [f"""SELECT a.identity AS l, b.identity AS r, 'observed_together' AS kind, 1 / sqrt(n - 1) AS w, 20 AS o FROM ident a JOIN ident b ON a.{t} = b.{t} AND a.identity < b.identity JOIN (SELECT {t}, count(*) AS n FROM ident GROUP BY {t} HAVING count(*) BETWEEN 2 AND 60) g ON g.{t} = a.{t}""" for t in P.TOKENS]
     + [f"""SELECT a.identity, b.identity, 'pii_recombination', 1.0, 21 FROM ident a JOIN ident b ON a.{t} = b.{t} AND a.identity < b.identity JOIN (SELECT {t} FROM ident GROUP BY {t} HAVING count(*) BETWEEN 2 AND 20 AND count(DISTINCT name) >= 2) g ON g.{t} = a.{t}""" for t in ("dob", "phone")]
+    + [f"""SELECT "left", "right", 'observed_together', weight, 22 FROM ({J._J10})""", f"""SELECT "left", "right", 'similar_tag', weight, 23 FROM ({J._NEAR})"""]
 )
 _PARTS = [("identity", "identity", "account", "identity", "owns", 1.0, 0, "ident")] + [("identity", "identity", k, c, "observed_together", w, 1 + i, "ident") for i, (k, c, w) in enumerate((("device", "device", 1.0), ("address", "address", 0.7), ("email", "email", 0.6), ("phone", "phone", 0.6), ("ip_asn", "ip", 0.4)))]
 _PARTS += [("account", "account", k, c, t, w, 10, "auth") for k, c, t, w in (("card_token", "card", "transacted", 0.3), ("merchant", "merchant", "transacted", 0.0), ("device", "device", "observed_together", 1.0), ("ip_asn", "ip", "observed_together", 0.4))]
 _RAW = " UNION ALL ".join(f"SELECT '{a}:' || {x} AS src, '{b}:' || {y} AS dst, '{t}' AS edge_type, {w}::DOUBLE AS weight, institution::VARCHAR AS institution, {o} AS o FROM {f}" for a, x, b, y, t, w, o, f in _PARTS)
-GRAPH_SQL = f"""{A.IDENTITY_SQL}, {A.AUTH_SQL}, links AS ({_LINKS}), raw AS ({_RAW} UNION ALL SELECT 'identity:' || l, 'identity:' || r, kind, w, NULL, o FROM links),
+GRAPH_SQL = f"""{A.IDENTITY_SQL}, {A.AUTH_SQL}, {A.TAG_KINDS_SQL}, links AS ({_LINKS}), raw AS ({_RAW} UNION ALL SELECT 'identity:' || l, 'identity:' || r, kind, w, NULL, o FROM links),
 g AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(weight) AS weight, count(*) AS n, list_sort(list(DISTINCT institution) FILTER (institution IS NOT NULL)) AS institutions, arg_min(edge_type, o) AS edge_type FROM raw GROUP BY 1, 2)"""
 
 
@@ -56,14 +52,6 @@ def g1(spark, d):
     return graph(spark, d).select("src", "dst", F.round("weight", 6).alias("weight"), "n", F.array_join("institutions", ",").alias("institutions"), "edge_type")
 
 
-_MORE = f"""{_LINKS} UNION ALL SELECT "left", "right", 'observed_together', weight, 22 FROM ({J._J10}) UNION ALL SELECT "left", "right", 'similar_tag', weight, 23 FROM ({J._NEAR})"""
-
-
-@query("G1_G2_A11_merged_edges_whole", ORACLES["G1_G2_A11_merged_edges"].replace(_LINKS, _MORE).replace(A.AUTH_SQL, f"{A.AUTH_SQL}, {A.TAG_KINDS_SQL}"))
-def g1_whole(spark, d):
-    return whole_graph(spark, d).select("src", "dst", F.round("weight", 6).alias("weight"), "n", F.array_join("institutions", ",").alias("institutions"), "edge_type")
-
-
 @query("G3_A10_graph_summary", f"WITH {GRAPH_SQL} SELECT split_part(node, ':', 1) AS what, count(*)::BIGINT AS n FROM (SELECT src AS node FROM g UNION SELECT dst FROM g) GROUP BY 1 UNION ALL SELECT 'edges', count(*) FROM g")
 def a10(spark, d):
     return G.summary(graph(spark, d))
@@ -80,11 +68,12 @@ _STEPS = ", ".join(
     for i in range(_ROUNDS)
 )
 _PROPAGATED = f"""{GRAPH_SQL}, s AS MATERIALIZED (SELECT src, dst, c FROM (SELECT src, dst, round(0.55 * {_COND}, 12) AS c FROM (SELECT src, dst, edge_type, weight FROM g UNION ALL SELECT dst, src, edge_type, weight FROM g)) WHERE c > 0),
-p0 AS (SELECT 'identity:' || identity AS node, 1.0::DOUBLE AS score, 0 AS hops, 'identity:' || identity AS source, NULL::VARCHAR AS before FROM ident WHERE identity % 400 = 7), {_STEPS}"""
+p0 AS (SELECT 'identity:' || identity AS node, 1.0::DOUBLE AS score, 0 AS hops, 'identity:' || identity AS source, NULL::VARCHAR AS before FROM (SELECT arg_min(identity, (liveness, identity)) AS identity FROM ident WHERE is_synthetic GROUP BY ring)), {_STEPS}"""
 
 
 def reached(spark, d):
-    seeds = people(spark, d).filter("identity % 400 = 7").select(F.concat(F.lit("identity:"), F.col("identity").cast("string")).alias("node"), F.lit(1.0).alias("score"))
+    """From one confirmed member a ring (K7)."""
+    seeds = J.k7(spark, d).withColumn("identity", F.col("seed")).select(F.concat(F.lit("identity:"), F.col("identity").cast("string")).alias("node"), F.lit(1.0).alias("score"))
     return G.propagate(graph(spark, d), seeds)
 
 
@@ -109,17 +98,10 @@ def g7(spark, d):
 
 @query(
     "G8_ring_subgraph",
-    f"""WITH {GRAPH_SQL}, m AS (SELECT DISTINCT 'identity:' || identity AS node FROM ident WHERE ring = 1 ORDER BY 1 LIMIT 3), near AS (SELECT node FROM m UNION SELECT dst FROM g JOIN m ON src = node UNION SELECT src FROM g JOIN m ON dst = node)
+    f"""WITH {GRAPH_SQL}, m AS (SELECT DISTINCT 'identity:' || identity AS node FROM ident WHERE ring = 1 ORDER BY 1 LIMIT 200), near AS (SELECT node FROM m UNION SELECT dst FROM g JOIN m ON src = node UNION SELECT src FROM g JOIN m ON dst = node)
 SELECT src, dst, edge_type, round(weight, 6) AS weight FROM g WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)""",
 )
 def g8(spark, d):
-    members = people(spark, d).filter("ring = 1").select(F.concat(F.lit("identity:"), F.col("identity").cast("string")).alias("node"))
-    return G.ring_subgraph(graph(spark, d), members, 3).select("src", "dst", "edge_type", F.round("weight", 6).alias("weight"))
-
-
-@query("G8_ring_subgraph_whole", ORACLES["G8_ring_subgraph"].replace("LIMIT 3", "LIMIT 200"))
-def g8_whole(spark, d):
-    """With the operator's own limit of members; G8_ring_subgraph stays at the three of its SQL."""
     members = people(spark, d).filter("ring = 1").select(F.concat(F.lit("identity:"), F.col("identity").cast("string")).alias("node"))
     return G.ring_subgraph(graph(spark, d), members).select("src", "dst", "edge_type", F.round("weight", 6).alias("weight"))
 
@@ -132,14 +114,18 @@ def g9(spark, d):
 
 @query(
     "P16_visible_subgraph",
-    f"""WITH {A.EDGES_SQL}, v AS (SELECT attribute AS node, list(DISTINCT institution) AS i FROM edges GROUP BY 1) SELECT (SELECT count(*) FROM v WHERE list_contains(i, 1))::BIGINT AS nodes,
- (SELECT count(*) FROM (SELECT attribute AS src, (attribute + 1) AS dst FROM (SELECT DISTINCT attribute FROM edges)) e WHERE EXISTS (SELECT 1 FROM v WHERE node = src AND list_contains(i, 1)) AND EXISTS (SELECT 1 FROM v WHERE node = dst AND list_contains(i, 1)))::BIGINT AS edges""",
+    f"""WITH {GRAPH_SQL}, m AS (SELECT 'identity:' || identity AS node, institution::VARCHAR AS institution FROM ident WHERE ring = 1), t AS (SELECT min(institution) AS i FROM m),
+v AS (SELECT node FROM (SELECT src AS node, unnest(institutions) AS i FROM g UNION SELECT dst, unnest(institutions) FROM g UNION SELECT node, institution FROM m) WHERE i = (SELECT i FROM t))
+SELECT src, dst, edge_type FROM g WHERE src IN (SELECT node FROM v) AND dst IN (SELECT node FROM v)""",
 )
 def p16(spark, d):
-    e = A.attribute_edges(spark, d)
-    nodes = e.groupBy(F.col("attribute").alias("node")).agg(F.collect_set("institution").alias("institutions"))
-    seen, kept = G.visible(nodes, nodes.select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")), F.lit(1))
-    return seen.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(kept.agg(F.count(F.lit(1)).alias("edges")))  # one row each
+    """What the first institution of ring 1 sees of the graph: nodes on edges it reported, and the edges among them."""
+    g = graph(spark, d)
+    held = people(spark, d).filter("ring = 1").select(F.concat(F.lit("identity:"), F.col("identity").cast("string")).alias("node"), F.array(F.col("institution").cast("string")).alias("institutions"))
+    ends = g.select(F.explode(F.array("src", "dst")).alias("node"), "institutions").union(held)
+    nodes = ends.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("institutions"))).alias("institutions"))
+    first = held.agg(F.min(F.get("institutions", F.lit(0)))).first()[0]
+    return G.visible(nodes, g, F.lit(first))[1].select("src", "dst", "edge_type")
 
 
 @query(
@@ -164,7 +150,7 @@ def applicants(spark, d):
     kinds = (("device", "device"), ("address", "address"), ("email", "email"), ("phone", "phone"), ("ip_asn", "ip"))
     held = p.select("identity", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("attribute")) for kind, c in kinds])).alias("x")).select("identity", "x.*")
     ends = [F.substring_index(c, ":", -1).cast("bigint").alias(side) for c, side in (("src", "left"), ("dst", "right"))]
-    direct = whole_graph(spark, d).filter(F.col("src").startswith("identity:") & F.col("dst").startswith("identity:")).select(*ends, "edge_type", "weight")
+    direct = graph(spark, d).filter(F.col("src").startswith("identity:") & F.col("dst").startswith("identity:")).select(*ends, "edge_type", "weight")
     direct = direct.withColumns({"left": F.least("left", "right"), "right": F.greatest("left", "right")})  # the graph orders them as strings
     return G.communities(G.project(held, direct), p.select("identity", "institution"))
 
@@ -176,8 +162,8 @@ def g5(spark, d):
 
 @query("G10_community_evaluation")
 def g10(spark, d):
-    from pyspark.sql import Window
+    from ..operators.ordered import places
 
     members, table = applicants(spark, d)
-    ranked = table.select("community", F.row_number().over(Window.orderBy(F.desc("score"), "community")).alias("rank"))
+    ranked = places(table.select("community", (-F.col("score")).alias("_less")), ("_less", "community"), "rank").select("community", F.col("rank").cast("int").alias("rank"))
     return G.match_rings(members, ranked, people(spark, d).filter("ring IS NOT NULL").select("identity", "ring"))

@@ -70,49 +70,29 @@ def j11(spark, d):
 _ALL = f"""{_J8} UNION ALL {_J9} UNION ALL {_J10}"""
 
 
-@query("U1_resolved_links", f'WITH {A.IDENTITY_SQL}, links AS ({_ALL}) SELECT kind, count(*)::BIGINT AS links, round(sum(weight), 4) AS weight FROM links GROUP BY kind')
-def u1(spark, d):
-    people = A.identities(spark, d)
-    links = P.resolve(P.shared_tokens(people), P.recombined(people), P.shared_shapes(people, _shape()))
-    return links.groupBy("kind").agg(F.count(F.lit(1)).alias("links"), F.round(F.sum("weight"), 4).alias("weight"))
-
-
-@query(
-    "J15_ring_link_summary",
-    f"""WITH {A.IDENTITY_SQL}, links AS ({_ALL}), m AS (SELECT ring, identity FROM ident WHERE ring IS NOT NULL)
-SELECT ring, kind, count(*)::BIGINT AS pairs FROM (SELECT DISTINCT a.ring, l."left", l."right", l.kind AS k, split_part(l.kind, ':', 1) AS kind FROM links l JOIN m a ON a.identity = l."left" JOIN m b ON b.identity = l."right" AND a.ring = b.ring) GROUP BY ring, kind""",
-)
-def j15(spark, d):
-    people = A.identities(spark, d)
-    links = P.resolve(P.shared_tokens(people), P.recombined(people), P.shared_shapes(people, _shape()))
-    return P.link_summary(links, people.filter("ring IS NOT NULL").select("ring", "identity"))
-
-
 _NEAR = """SELECT l AS "left", r AS "right", 'near_duplicate:' || kind AS kind, k / (32.0::DOUBLE - k) AS weight FROM (SELECT a.kind, a.identity AS l, b.identity AS r, count(*) AS k FROM ktags a JOIN ktags b ON a.kind = b.kind AND a.i = b.i AND a.identity < b.identity GROUP BY ALL)
  WHERE k / (32.0::DOUBLE - k) >= CASE kind """ + " ".join(f"WHEN '{k}' THEN {t}" for k, t in P.TAG_THRESHOLDS.items()) + " END"
-_WHOLE = ((f"WITH {A.IDENTITY_SQL}", f"WITH {A.IDENTITY_SQL}, {A.TAG_KINDS_SQL}"), (_ALL, f"{_ALL} UNION ALL {_NEAR}"))
-
-
-def whole_sql(sql: str) -> str:
-    for old, new in _WHOLE:
-        sql = sql.replace(old, new)
-    return sql
+_LINKS = f"{A.IDENTITY_SQL}, {A.TAG_KINDS_SQL}, links AS ({_ALL} UNION ALL {_NEAR})"
 
 
 def all_links(spark, d):
-    """All producers of U1; the queries without _whole stay at those that their SQL names."""
+    """All six producers of U1: tokens, recombined, shapes, and near duplicates of three kinds of tag."""
     people = A.identities(spark, d)
     near = [P.overlapping(tags, P.TAG_THRESHOLDS[kind], f"near_duplicate:{kind}") for kind, tags in A.tag_kinds(spark, d).items()]
     return P.resolve(P.shared_tokens(people), P.recombined(people), P.shared_shapes(people, _shape()), *near)
 
 
-@query("U1_resolved_links_whole", whole_sql(ORACLES["U1_resolved_links"]))
-def u1_whole(spark, d):
+@query("U1_resolved_links", f"WITH {_LINKS} SELECT kind, count(*)::BIGINT AS links, round(sum(weight), 4) AS weight FROM links GROUP BY kind")
+def u1(spark, d):
     return all_links(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("links"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("J15_ring_link_summary_whole", whole_sql(ORACLES["J15_ring_link_summary"]))
-def j15_whole(spark, d):
+@query(
+    "J15_ring_link_summary",
+    f"""WITH {_LINKS}, m AS (SELECT ring, identity FROM ident WHERE ring IS NOT NULL)
+SELECT ring, kind, count(*)::BIGINT AS pairs FROM (SELECT DISTINCT a.ring, l."left", l."right", l.kind AS k, split_part(l.kind, ':', 1) AS kind FROM links l JOIN m a ON a.identity = l."left" JOIN m b ON b.identity = l."right" AND a.ring = b.ring) GROUP BY ring, kind""",
+)
+def j15(spark, d):
     return P.link_summary(all_links(spark, d), A.identities(spark, d).filter("ring IS NOT NULL").select("ring", "identity"))
 
 
@@ -179,10 +159,17 @@ def j14(spark, d):
     return both.withColumn("device", F.last("new", ignorenulls=True).over(w)).filter("kind = 1").select("seq", "device")
 
 
-@query("K1_K2_top_communities", "SELECT l_suppkey AS community, count(*)::BIGINT AS size, round(sum(l_extendedprice), 2) AS score FROM lineitem GROUP BY 1 ORDER BY score DESC, community LIMIT 20")
-def k2(spark, d):
-    g = A.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("community")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum("l_extendedprice"), 2).alias("score"))
-    return g.orderBy(F.desc("score"), "community").limit(20)
+@query("K1_order_by_time_and_availability", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber)::BIGINT AS by_time, row_number() OVER (ORDER BY l_receiptdate, l_orderkey, l_linenumber)::BIGINT AS by_availability FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_shipdate + INTERVAL (20 + (l_orderkey * 7 + l_linenumber) % 41) DAY AS l_receiptdate FROM lineitem)")
+def k1(spark, d):
+    """Labels in order of their events' time and of when they became available (20 to 60 days later), each a place in a
+    total order, by ranges."""
+    from ..operators.ordered import places
+
+    wait = (20 + (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 41).cast("int")
+    rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("at")).withColumn("available", F.date_add("at", wait))
+    tie = ("l_orderkey", "l_linenumber")
+    first = places(rows, ("at", *tie), "by_time")
+    return places(first, ("available", *tie), "by_availability").select(*tie, "by_time", "by_availability")
 
 
 @query("K3_A15_top_per_group", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3 AND o_totalprice >= 1000")

@@ -64,11 +64,23 @@ def metrics(spark, d):
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "max")
 
 
-@query("G7_confirm_fraud")
+_SEED = "SELECT arg_min(identity, (liveness, identity)) AS identity FROM ident WHERE is_synthetic GROUP BY ring"
+
+
+@query(
+    "G7_confirm_fraud",
+    f"""WITH {G._PROPAGATED.replace(_SEED, "SELECT 7 AS identity")} SELECT split_part(node, ':', 2) AS identity, round(score, 6) AS score, hops::BIGINT AS hops, source, split_part(node, ':', 2) NOT IN (SELECT account::VARCHAR FROM auth) AS dormant
+FROM p{G._ROUNDS} WHERE hops > 0 AND node LIKE 'identity:%' ORDER BY round(score, 9) DESC, identity LIMIT 200""",
+)
 def confirm(spark, d):
     edges = G.graph(spark, d)
     transacted = A.auth_events(spark, d).select(F.col("account").cast("string").alias("identity"))
-    return service.confirm(edges, "7", transacted)[0].select("identity", "score", "hops", "source", "dormant")
+    return service.confirm(edges, "7", transacted)[0].select("identity", F.round("score", 6).alias("score"), F.col("hops").cast("long").alias("hops"), "source", "dormant")
+
+
+@query("T8_remembered_decisions", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS r, count(*) OVER () AS n FROM events) WHERE r <= CASE WHEN n <= 200 THEN n ELSE 101 + (n - 201) % 100 END")
+def t8(spark, d):
+    return service.remembered(A.table(spark, d, "events").select("event_id"), "event_id", 200)
 
 
 @query("K2_list_communities")
@@ -92,10 +104,13 @@ def health(spark, d):
     return service.health({n: A.table(spark, d, n) for n in ("events", "customer")})
 
 
-@query("S12_P14_guards", "SELECT count(*)::BIGINT AS n, 0::BIGINT AS broken FROM events")
+@query("S12_P14_guards", "SELECT count(*)::BIGINT AS n, sum((event_id % 50 = 0)::INTEGER + (event_id % 70 = 0)::INTEGER)::BIGINT AS broken FROM events")
 def guards(spark, d):
+    """Rows that break the schema are counted: some responses and some suffixes are spoilt first."""
     rows = schema.refuse_raw_personal(schema.refuse_evaluation_columns(auth_stream(spark, d)))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(schema.violations(rows, "auth_events")).alias("broken"))
+    k = F.substring_index("event_id", "_", -1).cast("long")
+    spoilt = rows.withColumns({"response_code": F.when(k % 50 == 0, "bogus").otherwise(F.col("response_code")), "pan_suffix6": F.when(k % 70 == 0, "12x").otherwise(F.col("pan_suffix6"))})
+    return spoilt.agg(F.count(F.lit(1)).alias("n"), F.sum(schema.violations(spoilt, "auth_events")).cast("bigint").alias("broken"))
 
 
 @query(
@@ -121,7 +136,27 @@ def replay(spark, d):
     return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("H6_H7_hypervectors")
+@query("S9_first_events_paced", "SELECT 'evt_' || event_id AS event_id, (row_number() OVER (ORDER BY event_id) - 1) * 5.0::DOUBLE AS due_ms FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 400)")
+def paced(spark, d):
+    """The limit is the feature: the first rows of the stored stream in file order, at 200 a second."""
+    root = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    k = F.substring_index("event_id", "_", -1).cast("long")
+    streams.write_stream(auth_stream(spark, d).withColumn("_k", k).repartitionByRange(4, "_k").sortWithinPartitions("_k").drop("_k"), root, "auth_events")
+    first = streams.read_stream(spark, root, "auth_events", 400).withColumn("_k", k)
+    return streams.paced(first, ("_k",)).select("event_id", "due_ms")
+
+
+_DRAWN = "SELECT label, i FROM (SELECT label, i, row_number() OVER (PARTITION BY label ORDER BY k) AS r FROM (SELECT label, i, min(k) AS k FROM (SELECT label, k, ('0x' || substr(sha256('seed|' || label || '|' || k), 1, 8))::BIGINT % 64 AS i FROM (SELECT DISTINCT label FROM tags), (SELECT unnest(range(0, 65)) AS k)) GROUP BY ALL)) WHERE r <= 16"
+_FACE, _DEVICE = H.role("face", 64), H.role("device", 64)
+
+
+@query(
+    "H6_H7_hypervectors",
+    f"""WITH {A.TAGS_SQL}, dv AS MATERIALIZED ({_DRAWN}), dt AS (SELECT label, array_to_string(list_sort(list(i)), ',') AS device_tag FROM dv GROUP BY label),
+v AS (SELECT identity, i, count(*) AS v FROM (SELECT identity, ({_FACE[0]} * x + {_FACE[1]}) % 64 AS i FROM (SELECT identity, unnest(indices) AS x FROM tags) UNION ALL SELECT identity, ({_DEVICE[0]} * dv.i + {_DEVICE[1]}) % 64 FROM tags JOIN dv ON dv.label = tags.label) GROUP BY ALL),
+h AS (SELECT identity, array_to_string(list_sort(list(i)), ',') AS hypervector FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY v DESC, sha256(i::VARCHAR)) AS r FROM v) WHERE r <= 16 GROUP BY identity)
+SELECT t.identity, device_tag, hypervector FROM tags t JOIN dt ON dt.label = t.label JOIN h ON h.identity = t.identity""",
+)
 def hypervectors(spark, d):
     t = A.tags(spark, d)
     device = H.categorical_tag(F.col("label"), 64, 16, "seed")

@@ -142,19 +142,29 @@ def d12(spark, d):
     return spark.createDataFrame([(i, float(x["detection"]), float(x["cost"]), float(x["objective"])) for i, x in enumerate(found)], "round int, detection double, cost double, objective double")
 
 
-@query("S7_S8_scenarios_and_rules", "SELECT 'above' AS way, 9::BIGINT AS rules UNION ALL SELECT 'below', 3")
+_KNOWN = {"tiny": (7, 30, 2, 8, 12, 45.0, 0.45), "sloppy": (20260830, 90, 4, 25, 55, 45.0, 0.6), "moderate": (20260830, 90, 5, 20, 45, 30.0, 0.65), "sophisticated": (20260830, 120, 6, 18, 40, 9.0, 0.62), "drift": (20260830, 120, 5, 20, 45, 38.0, 0.65)}
+_KNOWN_SQL = ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[3]}, {v[4]}, {v[5]}::DOUBLE, {v[6]}::DOUBLE)" for k, v in _KNOWN.items())
+
+
+@query("S7_scenarios", f"SELECT name, seed::BIGINT AS seed, days::BIGINT AS days, n_rings::BIGINT AS n_rings, least::BIGINT AS ring_size_min, most::BIGINT AS ring_size_max, burst AS burst_intensity, dormant AS dormant_share FROM (VALUES {_KNOWN_SQL}) t(name, seed, days, n_rings, least, most, burst, dormant)")
 def s7(spark, d):
+    """Every scenario, deep-merged over the defaults."""
+    found = [config.load_scenario(name) for name in config.SCENARIOS]
+    rows = [(c["name"], c["seed"], c["days"], *[c["ring"][k] for k in ("n_rings", "ring_size_min", "ring_size_max", "burst_intensity", "dormant_share")]) for c in found]
+    return spark.createDataFrame(rows, "name string, seed bigint, days bigint, n_rings bigint, ring_size_min bigint, ring_size_max bigint, burst_intensity double, dormant_share double")
+
+
+@query("S8_rules", "SELECT 'above' AS way, 9::BIGINT AS rules UNION ALL SELECT 'below', 3")
+def s8(spark, d):
     rules = config.load_rules()["triggers"]
     return spark.createDataFrame([(c, v[1]) for c, v in rules.items()], "code string, way string").groupBy("way").agg(F.count(F.lit(1)).alias("rules"))
 
 
-@query("E10_robustness_curve", "SELECT * FROM (VALUES (1, 'sloppy', 1.0::DOUBLE), (2, 'moderate', 0.95::DOUBLE), (3, 'sophisticated', 0.8::DOUBLE), (4, 'drift', 0.7::DOUBLE), (5, 'other', 0.5::DOUBLE)) t(place, scenario, detection)")
-def e10(spark, d):
-    from ..operators.metrics import SCENARIOS, robustness_curve
-
-    rows = spark.createDataFrame([("other", 0.5), ("drift", 0.7), ("moderate", 0.95), ("sophisticated", 0.8), ("sloppy", 1.0)], "scenario string, detection double")
-    place = F.array_position(F.array(*[F.lit(s) for s in SCENARIOS]), F.col("scenario"))
-    return robustness_curve(rows).select(F.when(place > 0, place.cast("int")).otherwise(5).alias("place"), "scenario", "detection")
+@query("S3_institutions", f"WITH {_AUTH} SELECT institution_id, row_number() OVER (ORDER BY institution_id)::BIGINT AS place FROM (SELECT DISTINCT institution_id FROM e)")
+def s3(spark, d):
+    streams.write_stream(auth_stream(spark, d), root := folder(spark, "jsonl"), "auth_events")
+    names = [r["institution_id"] for r in streams.institutions_in(spark, root).collect()]  # a row an institution
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "institution_id string, place bigint")
 
 
 @query("F12_case_narratives")
@@ -174,16 +184,17 @@ def f12(spark, d):
 
 @query("L1_L2_L3_behaviour_model")
 def l3(spark, d):
-    from ..operators.models import behaviour_dataset, train
+    """All 54 features; fit on the first 70 % of the time, the threshold from what comes after."""
+    from ..operators.models import FEATURES, behaviour_dataset, train
+    from ..operators.storage import written
 
     auth = A.auth_events(spark, d)
     truth = auth.groupBy("account").agg((F.min("ts") + F.expr("INTERVAL 3 DAYS")).alias("first_fraud")).withColumn("is_synthetic", F.col("account") % 4 == 1)
-    names = ["acct_n_7d", "acct_decline_ratio_7d", "acct_age_days", "acct_known_merchants", "amount", "hour_of_day"]
-    rows = behaviour_dataset(auth, truth).select("seq", "y", *[F.col(n).cast("double").alias(n) for n in names])
-    from ..operators.storage import written
-
-    rows = written(rows, "train")
-    return train(rows, names, trees=5, depth=3).predict(rows).select("seq", "y", F.round("score", 6).alias("score"))
+    rows = written(behaviour_dataset(auth, truth).select("seq", "y", "ts", *[F.col(n).cast("double").alias(n) for n in FEATURES]), "train")
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    model = train(rows, split_ts=low + 0.7 * (high - low))
+    scored = model.predict(rows)
+    return scored.select("seq", "y", F.round("score", 6).alias("score"), (F.col("score") >= model.threshold_at_target_fpr).alias("flagged"))
 
 
 @query("H13_H14_H15_H16_image_statistics")

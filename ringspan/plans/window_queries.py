@@ -49,9 +49,8 @@ def _account_sql(keys: str = "account") -> list[str]:
 
 @query("W1_W4_account_windows", f"WITH {A.AUTH_SQL} SELECT seq, {', '.join(_account_sql())} FROM auth")
 def w1(spark, d):
-    auth = W.flags(A.auth_events(spark, d))
-    out = auth.withColumns(W.account_windows(auth))
-    return rounded(out.select("seq", *W.account_windows(auth)), "seq")
+    out = W.account_features(A.auth_events(spark, d))
+    return rounded(out.select("seq", *W.account_windows(out)), "seq")
 
 
 _BAND = "CASE WHEN s >= 0.9 THEN 'confirmed' WHEN s >= 0.75 THEN 'high' WHEN s >= 0.55 THEN 'elevated' WHEN s >= 0.3 THEN 'medium' ELSE 'low' END"
@@ -65,9 +64,9 @@ _BAND = "CASE WHEN s >= 0.9 THEN 'confirmed' WHEN s >= 0.75 THEN 'high' WHEN s >
 def bands(spark, d):
     from ..operators.decision import band
 
-    auth = W.flags(A.auth_events(spark, d))
-    score = F.least(F.lit(1.0), 0.05 * F.count(F.lit(1)).over(W.trailing(["account"], 86400)) + 0.5 * W.ratio("decline", W.trailing(["account"], 604800)))
-    return auth.withColumn("s", score).groupBy(band(F.col("s")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("amount"), F.round(F.avg("s"), 6).alias("mean_score"))
+    auth = W.flags(A.auth_events(spark, d)).select("account", "us", "amount", "f_decline")
+    score = lambda by: {"s": F.least(F.lit(1.0), 0.05 * F.count(F.lit(1)).over(W.trailing(["account", *by], 86400)) + 0.5 * W.ratio("decline", W.trailing(["account", *by], 604800)))}
+    return W.in_slices(auth, 604800, score).groupBy(band(F.col("s")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("amount"), F.round(F.avg("s"), 6).alias("mean_score"))
 
 
 
@@ -86,8 +85,8 @@ SELECT o.seq, round(CASE WHEN n < 3 THEN 1.0 WHEN e.g IS NULL THEN 0.0 ELSE leas
 FROM o LEFT JOIN e ON o.seq = e.seq LEFT JOIN v ON o.seq = v.seq""",
 )
 def w5(spark, d):
-    auth = A.auth_events(spark, d)
-    return rounded(auth.withColumns(W.testing_signals()).select("seq", *W.testing_signals()), "seq")
+    auth = A.auth_events(spark, d).select("seq", "us", "account", "suffix", "card", "merchant")
+    return rounded(W.in_slices(auth, 3600, lambda by: W.testing_signals(("account", *by))).select("seq", *W.testing_signals()), "seq")
 
 
 @query(
@@ -95,7 +94,7 @@ def w5(spark, d):
     f"WITH {A.AUTH_SQL} SELECT seq, " + ", ".join(f"count(*) OVER {_w(k, 3600)}::DOUBLE AS {k}_n_1h, count(DISTINCT card) OVER {_w(k, 3600)}::DOUBLE AS {k}_distinct_pans_1h, round(coalesce(avg((response_code <> 'approved')::INTEGER::DOUBLE) OVER {_w(k, 3600)}, 0), 6) AS {k}_decline_ratio_1h" for k in ("device", "ip")) + " FROM auth",
 )
 def w8(spark, d):
-    out = W.flags(A.auth_events(spark, d)).withColumns(W.entity_windows())
+    out = W.in_slices(W.flags(A.auth_events(spark, d)).select("seq", "us", "device", "ip", "card", "f_decline"), 3600, W.entity_windows)
     return rounded(out.select("seq", *W.entity_windows()), "seq")
 
 
@@ -134,7 +133,8 @@ def w_ties(spark, d):
 )
 def scoped(spark, d):
     n = lambda *k: F.count(F.lit(1)).over(W.trailing(list(k), 86400))
-    return A.auth_events(spark, d).select("seq", n("account").alias("network_n"), n("account", "merchant").alias("merchant_n"), n("account", "institution").alias("institution_n"))
+    counts = lambda by: {"network_n": n("account", *by), "merchant_n": n("account", "merchant", *by), "institution_n": n("account", "institution", *by)}
+    return W.in_slices(A.auth_events(spark, d).select("seq", "us", "account", "merchant", "institution"), 86400, counts).select("seq", "network_n", "merchant_n", "institution_n")
 
 
 @query(
@@ -175,13 +175,16 @@ def p11(spark, d):
 
 @query(
     "M3_M4_account_entropy_and_peak",
-    f"""WITH {A.AUTH_SQL}, c AS (SELECT account, unnest(string_split(string_agg(suffix, ''), '')) AS g FROM auth GROUP BY account), k AS (SELECT account, g, count(*) AS n FROM c WHERE g <> '' GROUP BY ALL),
+    f"""WITH {A.AUTH_SQL}, c AS (SELECT account, unnest(string_split(string_agg(suffix, ''), '')) AS g FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts, seq) AS rn FROM auth) WHERE rn <= 400 GROUP BY account), k AS (SELECT account, g, count(*) AS n FROM c WHERE g <> '' GROUP BY ALL),
 e AS (SELECT account, sum(n) AS t, sum(-(n::DOUBLE / s) * log2(n::DOUBLE / s)) / log2(10) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY account) AS s FROM k) GROUP BY account)
 SELECT a.account, round(CASE WHEN any_value(t) < 4 THEN 1.0 ELSE any_value(h) END, 6) AS digit_entropy, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE count(*) / greatest((max(us) - min(us)) / 3.6e9, 1 / 60.0::DOUBLE) END, 6) AS peak_per_hour
 FROM auth a JOIN e ON a.account = e.account GROUP BY a.account""",
 )
 def m3(spark, d):
-    g = A.auth_events(spark, d).groupBy("account").agg(F.collect_list("suffix").alias("s"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    from ..operators.evidence import first_suffixes
+
+    auth = A.auth_events(spark, d)
+    g = auth.groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).join(first_suffixes(auth, "account").withColumnRenamed("_s", "s"), "account")
     return g.select("account", F.round(M.digit_entropy(F.col("s")), 6).alias("digit_entropy"), F.round(M.peak_hourly_rate(F.col("n"), F.col("a"), F.col("b")), 6).alias("peak_per_hour"))
 
 
@@ -191,7 +194,6 @@ def m3(spark, d):
  round((list_sort(list(amount)))[least(count(*) - 1, floor(0.95 * count(*)))::INTEGER + 1], 6) AS nearest_p95, round(kurtosis(amount), 5) AS kurtosis FROM auth GROUP BY merchant""",
 )
 def m7(spark, d):
-    """M8 sorts a group's values in one array, as the console's bounded cache of latencies does."""
     n = F.count(F.lit(1))
     return A.auth_events(spark, d).groupBy("merchant").agg(
         n.alias("n"), *[F.round(F.percentile("amount", p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)], F.max("amount").alias("most"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import STREAMS, VIEWS
@@ -18,7 +18,9 @@ def read_stream(spark: SparkSession, root: str, stream: str, limit: int | None =
     schema, path = STREAMS[stream], f"{root}/{stream}.jsonl"
     if limit is None:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_n", F.monotonically_increasing_id()).orderBy("_n").limit(limit)
+    # files by name, splits by their start; within a split ids rise with the lines
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n")]
+    lines = spark.read.text(path).select("value", *place).filter(F.trim("value") != "").orderBy("_f", "_b", "_n").limit(limit)
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -83,6 +85,12 @@ def manifest(data: Dataset, config: dict) -> dict:
     return {"counts": counts, "n_fraud_events": fraud, "fraud_rate": fraud / max(1, counts["auth_events"]), "ring_sizes": rings, "config": config}
 
 
+def paced(first: DataFrame, order: tuple[str, ...], speed: float = 200.0) -> DataFrame:
+    """The rows of a limited read, with the milliseconds after the start at which each is due."""
+    nth = F.row_number().over(Window.orderBy(*order)) - 1  # as many rows as the caller's limit
+    return first.withColumn("due_ms", nth * (1000.0 / max(1.0, speed)))
+
+
 def replay(spark: SparkSession, path: str, schema, limit_files: int = 1) -> DataFrame:
     """Stored files as a stream, in the order they were written."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", limit_files).parquet(path)

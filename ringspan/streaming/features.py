@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,28 +16,42 @@ FEATURES = ", ".join([f"acct_n_{w} bigint, acct_decline_ratio_{w} double, acct_d
 OUT = f"account bigint, seq bigint, us bigint, {FEATURES}"
 
 
+def _distinct(codes: np.ndarray, low: np.ndarray) -> list[int]:
+    """For each i, how many distinct codes lie in [low[i], i): both ends only move on."""
+    held, n, at, out = {}, 0, 0, []
+    for i, code in enumerate(codes.tolist()):
+        while at < low[i]:
+            gone = int(codes[at])
+            held[gone] -= 1
+            n -= held[gone] == 0
+            at += 1
+        out.append(n)
+        n += not held.get(code)
+        held[code] = held.get(code, 0) + 1
+    return out
+
+
 def _update(key, pdfs, state):
-    """Each event is scored on what was seen before it, then added; entries older than a week leave the state."""
-    us, bad, cards, shops, amounts = [list(x) for x in state.get] if state.exists else ([], [], [], [], [])
-    rows = pd.concat(list(pdfs)).sort_values(["us", "seq"])
-    out = []
-    for r in rows.itertuples():
-        values = {"account": key[0], "seq": r.seq, "us": r.us}
-        for name, seconds in SPANS.items():
-            low = r.us - seconds * 1_000_000
-            seen = [i for i in range(len(us)) if us[i] >= low]
-            n = len(seen)
-            values |= {
-                f"acct_n_{name}": n, f"acct_decline_ratio_{name}": sum(bad[i] for i in seen) / n if n else 0.0, f"acct_distinct_pans_{name}": len({cards[i] for i in seen}),
-                f"acct_distinct_merchants_{name}": len({shops[i] for i in seen}), f"acct_mean_amount_{name}": math.fsum(amounts[i] for i in seen) / n if n else 0.0,
-            }
-        out.append(values)
-        for held, v in ((us, r.us), (bad, float(r.declined)), (cards, r.card), (shops, r.merchant), (amounts, r.amount)):
-            held.append(v)
-        while us and us[0] < r.us - WEEK_US:
-            for held in (us, bad, cards, shops, amounts):
-                held.pop(0)
-    state.update((us, bad, cards, shops, amounts))
+    """Each event is scored on what was seen before it, then added; entries older than a week leave the state.
+    Ratios and means come from running totals, distincts from counts that are kept up as the window moves on."""
+    new = pd.concat(list(pdfs)).sort_values(["us", "seq"])
+    held = state.get if state.exists else ([], [], [], [], [])
+    us, bad, amounts = (np.concatenate([np.array(h, kind), new[c].to_numpy(kind)]) for h, c, kind in ((held[0], "us", np.int64), (held[1], "declined", float), (held[4], "amount", float)))
+    cards, shops = [*held[2], *new.card], [*held[3], *new.merchant]
+    first, n = len(held[0]), np.arange(len(us))
+    sums = {c: np.concatenate([[0.0], np.cumsum(v)]) for c, v in (("bad", bad), ("amount", amounts))}
+    codes = {c: pd.factorize(pd.Series(v, dtype=object), use_na_sentinel=False)[0] for c, v in (("pans", cards), ("merchants", shops))}
+    out = {"account": key[0], "seq": new.seq.to_numpy(), "us": us[first:]}
+    for name, seconds in SPANS.items():
+        # what came before in order of processing, and lies within the span
+        low = np.minimum(np.searchsorted(us, us - seconds * 1_000_000, "left"), n)
+        seen = n - low
+        mean = lambda c: (np.where(seen > 0, (sums[c][n] - sums[c][low]) / np.maximum(seen, 1), 0.0))[first:]  # noqa: B023, E731
+        out |= {f"acct_n_{name}": seen[first:], f"acct_decline_ratio_{name}": mean("bad")}
+        out |= {f"acct_distinct_{c}_{name}": _distinct(v, low)[first:] for c, v in codes.items()}
+        out[f"acct_mean_amount_{name}"] = mean("amount")
+    keep = int(np.searchsorted(us, us[-1] - WEEK_US, "left")) if len(us) else 0
+    state.update((us[keep:].tolist(), bad[keep:].tolist(), cards[keep:], shops[keep:], amounts[keep:].tolist()))
     yield pd.DataFrame(out)
 
 
