@@ -1,13 +1,13 @@
 """BPE encoding and decoding through a distinct-word table.
 
 1. Texts are read once and split into pre-tokens. Each chunk of text (some 12 million characters of one input split)
-   numbers its distinct words by falling count, lists them dealt into buckets by a hash of the word, and keeps every text
-   as the positions of its words: (chunk, bucket, words), (chunk, positions of the listed words) and (chunk, texts as
-   positions), one table in the shared folder. The chunk's number stands in that table, so later steps don't depend on
-   how the input is split or planned.
+   numbers its distinct words by falling count, lists them dealt into buckets by a hash of the word: (chunk, bucket,
+   words), and keeps every text as the positions of its words, in a file a task, of which the table names the chunk's
+   range. Table and files lie in the shared folder, so later steps don't depend on how the input is split or planned.
 2. The lists go to their buckets; there each distinct word is encoded once, and each list goes back as the ids of its
    words in the list's order.
-3. Ids and texts of a chunk meet, and ids are joined back by position. Nothing is collected or broadcast.
+3. Where the ids of a chunk meet, its texts are read by range and ids are joined back by position. Only lists of distinct
+   words and their ids are shuffled; nothing is collected or broadcast.
 4. Decoding joins the distinct ids of a chunk with the vocabulary's id-to-piece table and lays the pieces by position.
 
 Lists and positions are compressed, so that what moves is less than the texts. A worker holds the distinct words of one
@@ -21,6 +21,7 @@ vocabulary decodes to nothing, as in the library.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from array import array
 
@@ -31,15 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, table, tidy, written
+from .common import Draft, filesystem, fresh, shuffle_partitions, small_batches, table, tidy, written
 from .pretokens import pieces, splitter
 
 #: Characters of text after which a chunk ends, words of a page of texts, words a worker remembers.
 CHUNK_CHARS, PAGE_WORDS, MEMO_WORDS = 12_000_000, 16_384, 1_000_000
 BATCH_BYTES = 8 << 20
-LISTED = "chunk bigint, part int, doc_ids array<bigint>, counts array<int>, payload binary"
-_KINDS = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-_NAMES = ["chunk", "part", "doc_ids", "counts", "payload"]
+LISTED = "chunk bigint, part int, file string, start bigint, payload binary"
+_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
+_NAMES = ["chunk", "part", "file", "start", "payload"]
+#: A chunk's texts in a file: positions of the listed words first, with neither ids nor counts, then pages of texts.
+PAGES = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("positions", pa.binary())])
 
 
 def vocabulary(name: str) -> str:
@@ -94,12 +97,14 @@ class Places(dict):
         return place
 
 
-def _split(path: str, buckets: int):
+def _split(path: str, buckets: int, folder: str):
     def run(batches):
-        words, base = splitter(path).words, TaskContext.get().partitionId() << 32
+        words, task = splitter(path).words, TaskContext.get().partitionId()
+        base, uri, out = task << 32, f"{folder}/{task:06d}-{uuid.uuid4().hex}.texts", None
         places, held, chars, chunk = Places(), [], 0, 0
 
         def flush():
+            nonlocal out
             every = np.concatenate([p for _, p in held])
             # positions by falling count: small numbers are the most common
             by_count = np.argsort(-np.bincount(every, minlength=len(places)), kind="stable")
@@ -114,16 +119,22 @@ def _split(path: str, buckets: int):
                 if e > a:
                     part = [listed[i] for i in order[a:e].tolist()]
                     rows.append((base + chunk, b, None, None, pack(list(map(len, part)), b"".join(part))))
-            rows.append((base + chunk, buckets, None, None, pack_numbers(np.diff(position[order], prepend=np.uint32(0)))))
-            at = 0
+            pages, at = [(None, None, pack_numbers(np.diff(position[order], prepend=np.uint32(0))))], 0
             while at < len(held):
                 end, n = at, 0
                 while end < len(held) and (end == at or n + len(held[end][1]) <= PAGE_WORDS):
                     n += len(held[end][1])
                     end += 1
                 page = held[at:end]
-                rows.append((base + chunk, buckets + 1 + at, [d for d, _ in page], [len(p) for _, p in page], pack_numbers(position[np.concatenate([p for _, p in page])])))
+                pages.append(([d for d, _ in page], [len(p) for _, p in page], pack_numbers(position[np.concatenate([p for _, p in page])])))
                 at = end
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, PAGES) as stream:
+                for page in pages:
+                    stream.write_batch(pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(page, PAGES, strict=True)], schema=PAGES))
+            out = out or Draft(uri)
+            start, size = out.write(sink.getvalue().to_pybytes())
+            rows.append((base + chunk, buckets, uri, start, size.to_bytes(8, "little")))
             yield from _cut(_NAMES, _KINDS, rows)
 
         for batch in batches:
@@ -137,6 +148,8 @@ def _split(path: str, buckets: int):
                     places, held, chars, chunk = Places(), [], 0, chunk + 1
         if held:
             yield from flush()
+        if out:
+            out.close()
 
     return run
 
@@ -226,28 +239,36 @@ class Chunk:
             yield doc_id, every[bounds[k] : bounds[k + 1]]
 
 
+def texts_of(file: str, start: int, size: int):
+    """(doc_ids, counts, positions) of a chunk's pages."""
+    store, path = filesystem(file)
+    with store.open_input_file(path) as held:
+        raw = held.read_at(size, start)
+    for batch in pa.ipc.open_stream(pa.py_buffer(raw)):
+        yield tuple(column[0].as_py() for column in batch.columns)
+
+
 def _lay(path: str, buckets: int, decoded: bool):
-    """Of rows sorted by chunk and part: lists of ids, their words' positions, then pages of texts."""
+    """Of rows sorted by chunk and part: lists of ids first, then where the chunk's texts are."""
 
     def run(batches):
         vocabulary_ = Pieces(path) if decoded else None
 
         def rows():
-            now, lists, order, words = None, [], b"", None
+            now, lists = None, []
             for batch in batches:
                 for i in range(batch.num_rows):
-                    chunk, part, doc_ids, counts, payload = (batch.column(c)[i].as_py() for c in _NAMES)
+                    chunk, part, file, start, payload = (batch.column(c)[i].as_py() for c in _NAMES)
                     if chunk != now:
-                        now, lists, words = chunk, [], None
+                        now, lists = chunk, []
                     if part < buckets:
                         lists.append(payload)
                         continue
-                    if part == buckets:
-                        order = payload
-                        continue
-                    words = words or Chunk(lists, order, vocabulary_)
-                    for doc_id, ids in words.texts(doc_ids, counts, unpack_numbers(payload)):
-                        yield (doc_id, ids.tobytes(), _text(words.pieces, ids)) if decoded else (doc_id, ids.tobytes())
+                    pages = texts_of(file, start, int.from_bytes(payload, "little"))
+                    words = Chunk(lists, next(pages)[2], vocabulary_)
+                    for doc_ids, counts, positions in pages:
+                        for doc_id, ids in words.texts(doc_ids, counts, unpack_numbers(positions)):
+                            yield (doc_id, ids.tobytes(), _text(words.pieces, ids)) if decoded else (doc_id, ids.tobytes())
 
         yield from _cut(["doc_id", "ids", "decoded"][: 2 + decoded], [pa.int64(), pa.binary(), pa.string()][: 2 + decoded], rows())
 
@@ -255,11 +276,11 @@ def _lay(path: str, buckets: int, decoded: bool):
 
 
 def listed(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """(the table of lists and texts as positions, the number of buckets). The only pass over the texts."""
+    """(the table of lists and of where the texts are, the number of buckets). The only pass over the texts."""
     small_batches(docs.sparkSession)
     buckets = 4 * shuffle_partitions(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(slim.mapInArrow(tidy(_split(path, buckets)), LISTED), "bpe-listed"), buckets
+    return written(slim.mapInArrow(tidy(_split(path, buckets, fresh(docs.sparkSession, "bpe-texts"))), LISTED), "bpe-listed"), buckets
 
 
 def by_bucket(lists: DataFrame, buckets: int) -> DataFrame:
@@ -277,7 +298,9 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     them, in the same pass."""
     found, buckets = listed(docs, path)
     ids = by_bucket(found, buckets).mapInArrow(tidy(_encode_lists(path)), LISTED)
-    both = ids.union(found.filter(F.col("part") >= buckets)).repartition(buckets // 2, "chunk").sortWithinPartitions("chunk", "part")
+    texts = found.filter(F.col("part") == buckets)
+    parts = max(buckets // 2, texts.count() // 2)  # some two chunks a task
+    both = ids.union(texts).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
     return both.mapInArrow(tidy(_lay(path, buckets, decoded)), "doc_id bigint, ids binary" + ", decoded string" * decoded)
 
 

@@ -47,22 +47,39 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class Draft:
+    """A file that gets its final name when it is closed: a lost or repeated task leaves no half file under that name."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = filesystem(uri)
+        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.draft, self.size = f"{self.path}.{uuid.uuid4().hex}.draft", 0
+        self.out = self.store.open_output_stream(self.draft)
+
+    def write(self, chunk: bytes) -> tuple[int, int]:
+        """(offset, size) of what was written."""
+        self.out.write(chunk)
+        self.size += len(chunk)
+        return self.size - len(chunk), len(chunk)
+
+    def close(self) -> int:
+        self.out.close()
+        self.store.move(self.draft, self.path)
+        return self.size
+
+
 def put_file(uri: str, chunks) -> int:
-    """Write a file whole or not at all: a lost or repeated task leaves no half file under the final name."""
-    store, path = filesystem(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    draft, size = f"{path}.{uuid.uuid4().hex}.draft", 0
-    with store.open_output_stream(draft) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    store.move(draft, path)
-    return size
+    """Write a file whole or not at all."""
+    out = Draft(uri)
+    for chunk in chunks:
+        out.write(chunk)
+    return out.close()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long: unless the session says otherwise, Arrow carries so many rows at a time, which bounds the buffers
-    of executors and workers."""
+    """Texts are long: where the session still has Spark's own default of 10,000 rows a batch, Arrow carries so many at a
+    time, which bounds the buffers of executors and workers. It is a setting of the session, and stays, for plans are run
+    after the operator has returned; any other value is the caller's and is left alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
