@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, discard, table, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A marginal's target: share of the tokens to this power, scaled to 1. 1 keeps what is observed.
@@ -46,30 +46,53 @@ def described(docs: DataFrame, keep: list[Column], topic: Column | None = None)
     return one.withColumn("_topic", topic if topic is not None else topic_of(F.col("_text"), F.col("_n"))).drop("_text")
 
 
+def summed(state: DataFrame, d: str, value: Column, out: str, few: bool) -> DataFrame:
+    """Adds ``out``, the sum of a value over the cells of a marginal. Few cells are one partition, where a window costs no
+    shuffle; of many, one value may hold a third, so its sum is grouped and joined back."""
+    if few:
+        return state.withColumn(out, F.sum(value).over(Window.partitionBy(f"_{d}")))
+    return state.join(state.groupBy(f"_{d}").agg(F.sum(value).alias(out)), f"_{d}")
+
+
+def share_of(d: str, held: Column, total: float, targets: dict[str, dict[str, float]] | None, temper: dict[str, float]) -> Column:
+    """The wanted share of a value of a marginal, before they are scaled to 1."""
+    share = F.pow(held / F.lit(total), F.lit(temper[d]))
+    if targets and d in targets:
+        named = targets[d]
+        share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col(f"_{d}")), F.lit(0.0)) if named else F.lit(0.0)
+    return F.when(held > 0, share).otherwise(0.0)
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, fraction: float = FRACTION, rounds: int = ROUNDS, few: bool = True) -> DataFrame:
-    """cells: _source, _lang, _topic, tokens. Adds ``weight``, the tokens to take, and ``prob``."""
+    """cells: _source, _lang, _topic, tokens. Adds ``weight``, the tokens to take, ``prob``, and the marginals' targets
+    (``_t_source``, ``_t_lang``, ``_t_topic``)."""
     temper = TEMPER | (temper or {})
-    total = F.sum("tokens").over(Window.partitionBy())
-    state = cells.withColumn("weight", F.lit(fraction) * F.col("tokens")).withColumn("_goal", F.lit(fraction) * total)
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    state = cells.withColumn("weight", F.lit(fraction) * F.col("tokens"))
     for d in DIMENSIONS:
-        held = F.sum("tokens").over(Window.partitionBy(f"_{d}"))
-        if targets and d in targets:
-            share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in targets[d].items() for x in kv]), F.col(f"_{d}")), F.lit(0.0)) if targets[d] else F.lit(0.0)
-        else:
-            share = F.pow(held / total, F.lit(temper[d]))
-        state = state.withColumn("_share", F.when(held > 0, share).otherwise(0.0))
-        first = F.row_number().over(Window.partitionBy(f"_{d}").orderBy("_source", "_lang", "_topic")) == 1
-        state = state.withColumn("_first", first).withColumn(f"_t_{d}", F.col("_goal") * F.col("_share") / F.sum(F.when(F.col("_first"), F.col("_share"))).over(Window.partitionBy())).drop("_share", "_first")
+        shares = cells.groupBy(f"_{d}").agg(F.sum("tokens").alias("h")).select(share_of(d, F.col("h"), total, targets, temper).alias("s"))
+        whole = shares.agg(F.sum("s")).first()[0] or None
+        state = summed(state, d, F.col("tokens"), "_held", few)
+        state = state.withColumn(f"_t_{d}", F.lit(fraction * total) * share_of(d, F.col("_held"), total, targets, temper) / F.lit(whole).cast("double")).drop("_held")
+        state = state if few else written(state, "rake")
     for r in range(rounds):
         for d in DIMENSIONS:
-            have = F.sum("weight").over(Window.partitionBy(f"_{d}"))
-            state = state.withColumn("weight", F.least(F.col("tokens").cast("double"), F.when(have > 0, F.col("weight") * F.col(f"_t_{d}") / have).otherwise(0.0)))
-        if (r + 1) % ROUNDS_A_JOB == 0 and r + 1 < rounds:
-            state = written(state, "rake")
-            state = state.coalesce(1) if few else state
+            state = summed(state, d, F.col("weight"), "_have", few)
+            state = state.withColumn("weight", F.least(F.col("tokens").cast("double"), F.when(F.col("_have") > 0, F.col("weight") * F.col(f"_t_{d}") / F.col("_have")).otherwise(0.0))).drop("_have")
+            if not few:  # joined with itself, so each step is cut
+                before, state = state, written(state, "rake")
+                discard(before)
+        if few and (r + 1) % ROUNDS_A_JOB == 0 and r + 1 < rounds:
+            state = written(state, "rake").coalesce(1)
     return state.withColumn("prob", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
 
 
+def residuals(raked: DataFrame) -> DataFrame:
+    """How well the marginals are met: dimension, value, target and weight in tokens, a row a value."""
+    parts = [raked.groupBy(F.col(f"_{d}").alias("value")).agg(F.max(f"_t_{d}").alias("target"), F.sum("weight").alias("weight")).select(F.lit(d).alias("dimension"), "value", "target", "weight") for d in DIMENSIONS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def draw(doc_id: Column, seed: str = SEED) -> Column:
     """Uniform in [0, 1) from the id."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)

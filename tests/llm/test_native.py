@@ -150,6 +150,22 @@ def test_raking_meets_marginals(spark):
     assert abs(got["en"] - got["de"]) < 1e-6 * total and abs(sum(got.values()) - 0.2 * total) < 1e-6 * total
 
 
+def test_many_cells_give_the_same(spark, monkeypatch):
+    rows = [(i, prose(i, 20 + i % 90), ["en", "de", "fr"][i % 3], f"s{i % 5}") for i in range(200)]
+    docs = frame(spark, rows)
+    few = {(r._source, r._lang, r._topic): r.weight for r in mixing.probabilities(docs, rounds=3)[0].collect()}
+    monkeypatch.setattr(mixing, "SMALL_CELLS", -1)
+    cells, said = mixing.probabilities(docs, rounds=3)
+    many = {(r._source, r._lang, r._topic): r.weight for r in cells.collect()}
+    assert not said and many.keys() == few.keys() and all(abs(many[k] - few[k]) < 1e-6 * (1 + few[k]) for k in few)
+
+
+def test_residuals_say_how_well_marginals_are_met(spark):
+    rows = [(i, prose(i, 20 + i % 200), ["en", "de"][i % 3 == 0], f"s{i % 4}") for i in range(300)]
+    found = mixing.residuals(mixing.probabilities(frame(spark, rows), rounds=60, fraction=0.2)[0]).collect()
+    assert {r.dimension for r in found} == set(mixing.DIMENSIONS) and all(abs(r.target - r.weight) < 1e-6 * (1 + r.target) for r in found)
+
+
 def test_mixing_edge_cases(spark):
     docs = frame(spark)
     mixed = mixing.mix(docs).collect()
