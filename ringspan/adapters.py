@@ -31,6 +31,14 @@ AUTH_SQL = """auth AS (SELECT event_id AS seq, ts, epoch_us(ts) AS us, user_id A
  user_id % 40 AS device, event_id % 97 AS ip, user_id % 6 AS institution FROM events)"""
 
 
+def from_stream(auth: DataFrame) -> DataFrame:
+    """A stored or generated ``auth_events`` stream under the names that windows and rollups use."""
+    return auth.select(
+        F.xxhash64("event_id").alias("seq"), "ts", F.unix_micros("ts").alias("us"), F.col("account_id").alias("account"), F.col("merchant_id").alias("merchant"), F.col("card_token").alias("card"), F.col("pan_suffix6").alias("suffix"), "amount",
+        F.col("is_zero_auth").alias("zero_auth"), "response_code", "avs_result", "cvv_result", F.col("device_id").alias("device"), F.col("ip_id").alias("ip"), F.col("institution_id").alias("institution"),
+    )
+
+
 def auth_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with orders as authorisations of day grain: many ties."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

@@ -16,10 +16,10 @@ from .metrics import enough_positives, threshold_at_fpr
 from .windows import FEATURES, stream_features
 
 
-def behaviour_dataset(auth: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-    """Features of every event, and ``y`` where a truth (account, is_synthetic, first_fraud) is given: events of
+def behaviour_dataset(auth: DataFrame, truth: DataFrame | None = None, keys: tuple[str, ...] = ("account",)) -> DataFrame:
+    """Features of every event over the history of ``keys``, and ``y`` where a truth (account, is_synthetic, first_fraud) is given: events of
     synthetic accounts from their first fraud on."""
-    rows = stream_features(refuse_evaluation_columns(auth))
+    rows = stream_features(refuse_evaluation_columns(auth), keys)
     if truth is None:
         return rows
     known = truth.select("account", (F.col("is_synthetic")).alias("_s"), F.col("first_fraud").alias("_f"))

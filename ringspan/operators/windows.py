@@ -95,9 +95,10 @@ def with_novelty(auth: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataF
     times are grouped and joined back; merchants known are counted within weeks, to which those of earlier weeks, a row a
     key and week, are added: no task holds all of a hot key's history."""
     now, week = F.struct("us", "seq"), F.floor(F.col("us") / F.lit(max(M.SPANS.values()) * 1_000_000)).cast("long")
-    firsts = auth.groupBy(*keys, "merchant").agg(F.min(now).alias("_first"))
+    pair = tuple(dict.fromkeys((*keys, "merchant")))
+    firsts = auth.groupBy(*pair).agg(F.min(now).alias("_first"))
     starts = firsts.groupBy(*keys).agg(F.min("_first.us").alias("_start"))
-    flagged = null_safe(auth, firsts, (*keys, "merchant")).withColumns({"acct_is_new_merchant": (now == F.col("_first")).cast("int"), "_week": week}).drop("_first")
+    flagged = null_safe(auth, firsts, pair).withColumns({"acct_is_new_merchant": (now == F.col("_first")).cast("int"), "_week": week}).drop("_first")
     weeks = flagged.groupBy(*keys, "_week").agg(F.sum("acct_is_new_merchant").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_week").rowsBetween(Window.unboundedPreceding, -1)
     offsets = weeks.select(*keys, "_week", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as M
+from .functions import sketches as H
 
 DAY_US = 86_400_000_000
 
@@ -32,16 +33,24 @@ class Draws:
         low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
         return (low + F.floor(self.u(name, *ids) * (high - low + 1))).cast("long")
 
+    def gamma(self, name: str, shape: float, *ids) -> Column:
+        """Gamma of a shape of 1 or more, by the cube of a normal (Wilson and Hilferty)."""
+        return shape * F.pow(F.greatest(F.lit(1e-3), 1 - 1 / (9.0 * shape) + self.n(name, *ids) / (3.0 * shape**0.5)), F.lit(3.0))
+
     def beta(self, name: str, a: float, b: float, *ids) -> Column:
-        """By a normal of the same mean and variance, clipped: near enough for vendor scores."""
-        mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean + var**0.5 * self.n(name, *ids)))
+        """Two gammas, one over their sum."""
+        x, y = self.gamma(f"{name}:x", a, *ids), self.gamma(f"{name}:y", b, *ids)
+        return x / (x + y)
 
 
 def token(kind: str, *parts) -> Column:
     return M.opaque_token(kind, F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
+#: Fixed value: share of customers whose cards are reissued.
+REISSUED = 0.08
+
+
 def people(spark: SparkSession, cfg: dict) -> DataFrame:
     """Customers, look-alikes and ring members, one row each with all they were given."""
     d, p, r, look, days = Draws(cfg["seed"]), cfg["population"], cfg["ring"], cfg["lookalikes"], cfg["days"]
@@ -53,36 +62,80 @@ def people(spark: SparkSession, cfg: dict) -> DataFrame:
         plain = plain.union(spark.range(n).select((F.col("id") + 1_000_000 * (i + 1)).alias("id"), F.lit(kind).alias("cohort"), F.lit(None).cast("long").alias("ring")))
     all_ = plain.union(members)
     bad = F.col("ring").isNotNull()
+    born = F.when(bad, d.u("born", "id") * days * r["onboard_window_fraction"]).when(d.u("old", "id") < 0.85, -d.u("ago", "id") * 3650).otherwise(d.u("born", "id") * days)
+    # Members who begin after the drift share devices less
+    late = F.lit(bool(cfg["drift"]["enabled"])) & (born + d.pick("wait", r["dormancy_days_min"], r["dormancy_days_max"], "id") >= cfg["drift"]["at_fraction"] * days)
+    reuse = F.when(late, r["device_reuse_rate"] * cfg["drift"]["device_reuse_mult"]).otherwise(F.lit(float(r["device_reuse_rate"])))
     # a ring member shares a thing of its ring at the profile's rate, or has its own
     share = lambda name, rate, spread: F.when(bad & (d.u(f"share:{name}", "id") < rate), F.concat(F.lit("r"), F.col("ring").cast("string"), F.lit("_"), d.pick(f"which:{name}", 0, spread - 1, "id").cast("string"))).otherwise(F.concat(F.lit("i"), F.col("id").cast("string")))
-    born = F.when(bad, d.u("born", "id") * days * r["onboard_window_fraction"]).when(d.u("old", "id") < 0.85, -d.u("ago", "id") * 3650).otherwise(d.u("born", "id") * days)
     made = all_.withColumns({
-        "institution": d.pick("inst", 0, p["n_institutions"] - 1, "id"), "born_day": born, "device": share("device", r["device_reuse_rate"], 3), "subnet": share("ip", r["subnet_concentration"], 2), "dob": share("dob", r["pii_recombination_rate"], 4),
+        "institution": d.pick("inst", 0, p["n_institutions"] - 1, "id"), "born_day": born, "device": share("device", reuse, 3), "subnet": share("ip", r["subnet_concentration"], 2), "dob": share("dob", r["pii_recombination_rate"], 4),
         "phone": share("phone", r["pii_recombination_rate"], 4), "address": share("address", r["pii_recombination_rate"], 3), "template": share("doc", r["doc_template_reuse"], 1), "face": share("face", r["face_reuse_rate"], 2),
         "age": d.pick("age", 18, 80, "id"), "dormant": bad & (d.u("dormant", "id") < r["dormant_share"]), "start": d.pick("wait", r["dormancy_days_min"], r["dormancy_days_max"], "id"),
     })
+    # What changes in a life; travellers travel and new devices come for sure in those cohorts
+    always = lambda cohort, rate: F.when(F.col("cohort") == cohort, 1.0).otherwise(F.lit(float(rate)))
+    event = lambda name, rate, span=days: F.when(~bad & (d.u(f"{name}?", "id") < rate), d.u(f"{name} day", "id") * span)
+    made = made.withColumns({
+        "devices": F.when(bad, F.lit(1).cast("long")).otherwise(d.pick("devices", p["devices_min"], p["devices_max"], "id")), "cards": F.when(bad, F.lit(1).cast("long")).otherwise(d.pick("cards", 1, 3, "id")),
+        "changed_device": event("device change", always("new_device", p["p_device_change"])), "moved": event("move", F.lit(float(p["p_move"]))), "reissued": event("reissue", F.lit(REISSUED)),
+        "left": event("travel", always("traveller", p["p_travel"]), max(1.0, days - 14.0)),
+    }).withColumn("back", F.col("left") + 3 + 13 * d.u("travel length", "id"))
     months = F.when(bad, d.pick("file", 0, 18, "id")).otherwise(F.floor(d.u("file", "id") * F.greatest(F.lit(6), (F.col("age") - 18) * 12)).cast("long"))
     # every ring has a dormant and an active member
     nth = F.row_number().over(Window.partitionBy("ring").orderBy("id"))
     return made.withColumn("credit_months", months).withColumn("_n", F.when(bad, nth)).withColumn("dormant", F.when(F.col("_n") == 1, True).when(F.col("_n") == 2, False).otherwise(F.col("dormant"))).drop("_n")
 
 
+PORTRAIT = "id bigint, face_tag struct<dim:int,indices:array<int>,seed_id:string>, doc_template_tag struct<dim:int,indices:array<int>,seed_id:string>, spectral_peak_ratio double, residual_kurtosis double, color_corr_anomaly double, saturation_clip_ratio double"
+
+
+def portraits(folk: DataFrame, cfg: dict) -> DataFrame:
+    """Of each applicant a rendered portrait and page: their tags, and the portrait's measured statistics. Those who
+    share a face differ by the jitter; a shared template is the same but for its rendering."""
+    jitter, strength, seed = cfg["ring"]["face_jitter"], cfg["ring"]["artifact_strength"], str(cfg["seed"])
+
+    def run(batches):
+        import pandas as pd
+
+        from .functions import images as I
+        from .functions.sketches import FlyHash, seeded
+
+        face_tags, page_tags = FlyHash(99, seed_id=seed), FlyHash(160, seed_id=seed)
+        for pdf in batches:
+            out, faces, pages = [], [], []
+            for one, face, template, ring in zip(pdf["id"], pdf["face"], pdf["template"], pdf["ring"], strict=True):
+                rng = seeded(seed, "portrait", str(one))
+                picture = I.face(seeded(seed, "face", face).normal(size=64) + jitter * rng.normal(size=64), rng, not pd.isna(ring), strength)
+                page = I.layout(int(seeded(seed, "template", template).integers(1 << 40)), rng)
+                faces.append(I.descriptor(picture))
+                pages.append(I.ink_grid(page))
+                out.append(I.artifacts(picture))
+            if out:
+                tags = [[{"dim": h.dim, "indices": t, "seed_id": h.seed_id} for t in h.tags(x)] for h, x in ((face_tags, faces), (page_tags, pages))]
+                yield pd.DataFrame({"id": pdf["id"], "face_tag": tags[0], "doc_template_tag": tags[1], **{k: [s[k] for s in out] for k in out[0]}})
+
+    return folk.select("id", "face", "template", "ring").mapInPandas(run, PORTRAIT)
+
+
 def onboarding(folk: DataFrame, cfg: dict) -> DataFrame:
     d = Draws(cfg["seed"])
     bad = F.col("ring").isNotNull()
     start = F.lit(cfg["start_date"]).cast("timestamp")
     vendor = lambda name, genuine, fake: F.when(bad, d.beta(name, *fake, "id")).otherwise(d.beta(name, *genuine, "id"))
-    strength = F.when(bad, cfg["ring"]["artifact_strength"]).otherwise(0.0)
+    seen = portraits(folk, cfg)
+    vector = H.identity_hypervector({"face": F.col("face_tag.indices"), "doc_template": F.col("doc_template_tag.indices")}, 4096, 205)
     shared = folk.groupBy("address").agg(F.count(F.lit(1)).alias("_shared"))
     handle = F.concat(F.lit("user"), F.when(bad, F.lit(".")).otherwise(F.lit("")), d.pick("handle", 1, 9999, "id").cast("string"))
-    return folk.join(shared, "address").select(
+    return folk.join(shared, "address").join(seen, "id").select(
         token("evt", F.lit("onb"), "id").alias("event_id"), F.timestamp_micros(F.unix_micros(start) + (F.col("born_day") * DAY_US).cast("long")).alias("ts"), F.concat(F.lit(f"{cfg['institution_prefix']}_"), F.col("institution")).alias("institution_id"),
         token("app", "id").alias("application_id"), token("idn", "id").alias("identity_id"), token("acc", "id").alias("account_id"), token("nam", "id").alias("name_token"), token("dob", "dob").alias("dob_token"), token("adr", "address").alias("address_token"),
         token("eml", "id").alias("email_token"), token("phn", "phone").alias("phone_token"), M.handle_shape(handle).alias("email_handle_shape"), token("dev", "device").alias("device_id"), token("ip", "subnet").alias("ip_id"),
         d.pick("asn", 1000, 1400, "subnet").cast("int").alias("asn"), F.col("age").cast("int").alias("declared_age"), F.col("credit_months").cast("int").alias("credit_file_age_months"), F.col("_shared").cast("int").alias("address_shared_count"),
+        "face_tag", "doc_template_tag", F.struct(F.lit(4096).alias("dim"), vector.alias("indices"), F.lit(str(cfg["seed"])).alias("seed_id")).alias("identity_hypervector"),
         F.struct(
             vendor("tmpl", (8.0, 1.6), (6.0, 2.2)).alias("template_match_score"), vendor("exif", (6.0, 1.8), (1.8, 4.0)).alias("exif_consistency"), vendor("live", (9.0, 1.5), (4.5, 2.5)).alias("liveness_score"),
-            (1 + F.abs(d.n("spec", "id")) * (0.2 + strength)).alias("spectral_peak_ratio"), (d.n("kurt", "id") + 2 * strength).alias("residual_kurtosis"), (F.abs(d.n("corr", "id")) * 0.05 + 0.05 * strength).alias("color_corr_anomaly"), (d.u("clip", "id") * 0.05 * (1 + strength)).alias("saturation_clip_ratio"),
+            "spectral_peak_ratio", "residual_kurtosis", "color_corr_anomaly", "saturation_clip_ratio",
         ).alias("signals"),
     )
 
@@ -102,9 +155,12 @@ def traffic(folk: DataFrame, cfg: dict) -> DataFrame:
     late = F.lit(bool(drift["enabled"])) & (F.col("begin") >= drift["at_fraction"] * days)
     turn = lambda value, mult: F.when(late, value * mult).otherwise(F.lit(float(value)))
     attempts = F.greatest(F.lit(1), F.round(turn(r["burst_intensity"], drift["burst_intensity_mult"]) * r["burst_hours"] * (1 + 0.1 * d.n("burst", "id")))).cast("int")
-    burst = active.withColumn("_m", attempts).select("*", F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("k"))
+    # An account's bursts lie a dormancy apart; attempts of one are numbered on from those of the one before
+    nth = active.withColumn("_m", attempts).select("*", F.explode(F.sequence(F.lit(0), F.lit(int(r["n_bursts_per_account"]) - 1))).alias("_nth"))
+    nth = nth.withColumn("begin", F.col("begin") + F.col("_nth") * float(r["dormancy_days_min"]))
+    burst = nth.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.col("_m")), lambda i: i + F.col("_nth") * 100_000)).alias("k"))
     gap = r["burst_hours"] / 24.0 / F.col("_m") * F.greatest(F.lit(0.02), 1 + turn(r["inter_arrival_jitter"], drift["inter_arrival_jitter_mult"]) * d.n("gap", "id", "k"))
-    order = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("id", "_nth").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     burst = burst.withColumn("day", F.col("begin") + F.sum(gap).over(order)).withColumn("kind", F.lit("test")).filter((F.col("day") < days) & (d.u("busy", "id", "k") < F.least(F.lit(1.0), season(F.col("day")) / 1.6)))
     spread = F.greatest(F.lit(1.0), turn(r["merchant_spread"], drift["merchant_spread_mult"]))
     keep = [c for c in folk.columns] + ["k", "day", "kind"]
@@ -112,14 +168,19 @@ def traffic(folk: DataFrame, cfg: dict) -> DataFrame:
     test = F.col("kind") == "test"
     merchant = F.when(test, F.pmod(F.col("ring") * 7 + d.pick("m", 0, F.coalesce(F.col("_spread"), F.lit(1.0)) - 1, "id", "k"), F.lit(p["n_merchants"]))).otherwise(d.pick("m", 0, p["n_merchants"] - 1, "id", d.pick("fav", 0, 5, "id", "k")))
     number = F.row_number().over(Window.partitionBy("ring", "kind").orderBy("day", "id"))
-    suffix = F.when(test, F.pmod(F.col("ring") * 99_991 + number * 3, F.lit(1_000_000))).otherwise(d.pick("pan", 0, 999_999, "id", d.pick("card", 0, 2, "id", "k")))
+    suffix = F.when(test, F.pmod(F.col("ring") * 99_991 + number * 3, F.lit(1_000_000))).otherwise(d.pick("pan", 0, 999_999, "id", d.pick("card", 0, F.col("cards") - 1, "id", "k"), F.coalesce(F.col("day") >= F.col("reissued"), F.lit(False))))
     zero = test & (d.u("zero", "id", "k") < 0.35)
-    amount = F.when(zero, 0.0).when(test, F.greatest(F.lit(0.2), F.least(F.lit(40.0), -1.4 * (F.log(d.u("g1", "id", "k")) + 0.6 * F.log(d.u("g2", "id", "k")))))).otherwise(F.exp(p["amount_mu"] + p["amount_sigma"] * d.n("amount", "id", "k")))
+    amount = F.when(zero, 0.0).when(test, F.greatest(F.lit(0.2), F.least(F.lit(40.0), -1.4 * (F.log(d.u("g1", "id", "k")) + 0.6 * F.log(d.u("g2", "id", "k")))))).otherwise(F.exp(F.when(F.col("cohort") == "small_business", cfg["lookalikes"]["small_business_amount_mu"]).otherwise(p["amount_mu"]) + p["amount_sigma"] * d.n("amount", "id", "k")))
     yes = F.when(test, d.u("ok", "id", "k") < 0.06).otherwise(d.u("ok", "id", "k") >= p["base_decline_rate"])
     v = d.u("code", "id", "k")
     code = F.when(yes, "approved").when(~test, "declined_insufficient_funds").when(v < 0.45, "declined_invalid_card").when(v < 0.73, "declined_cvv").when(v < 0.90, "declined_do_not_honor").otherwise("declined_expired")
+    own = F.col("ring").isNull()
+    nth_device = d.pick("which device", 0, F.col("devices") - 1, "id", "k")
+    device = F.when(own & (F.col("day") >= F.col("changed_device")), F.concat("device", F.lit("_new"))).when(own & (nth_device > 0), F.concat("device", F.lit("_"), nth_device.cast("string"))).otherwise(F.col("device"))
+    away = own & (F.col("day") >= F.col("left")) & (F.col("day") < F.col("back"))
+    subnet = F.when(away, F.concat("subnet", F.lit("_away"))).when(own & (F.col("day") >= F.col("moved")), F.concat("subnet", F.lit("_moved"))).otherwise(F.col("subnet"))
     return rows.withColumns({
-        "merchant": merchant, "suffix": F.lpad(suffix.cast("string"), 6, "0"), "zero": zero, "amount": F.bround(amount, 2), "code": code,
+        "device": device, "subnet": subnet, "merchant": merchant, "suffix": F.lpad(suffix.cast("string"), 6, "0"), "zero": zero, "amount": F.bround(amount, 2), "code": code,
         "cvv": F.when(yes | ~test, F.when(yes | (d.u("cvv", "id", "k") < 0.9), "match").otherwise("no_match")).when(d.u("cvv", "id", "k") < 0.7, "no_match").otherwise("not_provided"),
         "avs": F.when(~test, F.when(d.u("avs", "id", "k") < 0.93, "match").otherwise("partial")).when(yes, F.when(d.u("avs", "id", "k") < 0.5, "match").otherwise("partial")).when(d.u("avs", "id", "k") < 0.75, "no_match").otherwise("unavailable"),
     })
@@ -131,7 +192,7 @@ def season(day: Column) -> Column:
 
 
 def generate(spark: SparkSession, cfg: dict) -> dict[str, DataFrame]:
-    """The five streams of a scenario; tags are left null here and made by the sketches."""
+    """The five streams of a scenario."""
     d, lab, start = Draws(cfg["seed"]), cfg["labels"], F.unix_micros(F.lit(cfg["start_date"]).cast("timestamp"))
     folk = people(spark, cfg)
     at = lambda day: F.timestamp_micros(start + (day * DAY_US).cast("long"))

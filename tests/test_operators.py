@@ -317,6 +317,44 @@ def test_generated_scenario(spark, tmp_path):
     streams.write_report(spark, found, f"{tmp_path}/meta.json")
 
 
+def test_settings_of_the_simulator_take_effect(spark):
+    tiny = config.load_scenario("tiny")
+
+    def traffic(**over):
+        cfg = config.merged(tiny, over)
+        return Z.traffic(Z.people(spark, cfg), cfg)
+
+    of = lambda df, cohort: df.filter(F.col("cohort") == cohort)
+    most = lambda df, c: df.groupBy("id").agg(F.countDistinct(c).alias("n")).agg(F.max("n")).first()[0]
+    base = traffic().cache()
+    still = traffic(population={"p_device_change": 0.0, "p_travel": 0.0, "p_move": 0.0, "devices_min": 1, "devices_max": 1}).cache()
+    assert most(of(still, "customer"), "device") == most(of(still, "customer"), "subnet") == 1 < most(of(base, "customer"), "device")
+    assert of(still, "traveller").filter("subnet LIKE '%_away'").count() > 0 and of(still, "new_device").filter("device LIKE '%_new'").count() > 0
+    assert of(traffic(population={"p_move": 1.0}), "customer").filter("subnet LIKE '%_moved'").count() > 0
+    tests = lambda df: df.filter("kind = 'test'").count()
+    assert tests(traffic(ring={"n_bursts_per_account": 2, "dormancy_days_min": 2, "dormancy_days_max": 3})) > 1.5 * tests(traffic(ring={"dormancy_days_min": 2, "dormancy_days_max": 3}))
+    mean = lambda df: of(df, "small_business").agg(F.avg(F.log("amount"))).first()[0]
+    assert abs(mean(base) - 2.1) < 0.4 < mean(traffic(lookalikes={"small_business_amount_mu": 4.0})) - mean(base)
+    drift = lambda mult: config.merged(tiny, {"drift": {"enabled": True, "at_fraction": 0.0, "device_reuse_mult": mult}, "ring": {"device_reuse_rate": 1.0}})
+    shared = lambda cfg: Z.people(spark, cfg).filter("ring IS NOT NULL AND device LIKE 'r%'").count()
+    assert shared(drift(0.0)) == 0 < shared(drift(1.0))
+    near = lambda jitter: config.merged(tiny, {"ring": {"face_jitter": jitter, "face_reuse_rate": 1.0}})
+
+    def overlap(cfg):
+        folk = Z.people(spark, cfg)
+        tags = [set(r.face_tag.indices) for r in Z.portraits(folk.filter("face = 'r0_0'"), cfg).collect()]
+        return np.mean([len(a & b) / len(a | b) for a, b in itertools.combinations(tags, 2)])
+
+    assert overlap(near(0.02)) > overlap(near(0.8)) + 0.2
+
+
+def test_beta_draws(spark):
+    d = Z.Draws(5)
+    for a, b in ((8.0, 1.6), (1.8, 4.0)):
+        m, v, low, high = spark.range(20_000).select(d.beta("x", a, b, "id").alias("x")).agg(F.avg("x"), F.var_pop("x"), F.min("x"), F.max("x")).first()
+        assert abs(m - a / (a + b)) < 0.01 and abs(v - a * b / ((a + b) ** 2 * (a + b + 1))) < 0.004 and 0 <= low < high <= 1
+
+
 def test_narratives(spark):
     schema_ = "community string, size bigint, cohesion double, suspicion double, institutions array<string>, shared array<string>, signals array<string>, seed string, flagged int, dormant int, hops int, via string, path_score double, reasons array<string>"
     rows = [("c1", 5, 0.5, 0.9, ["a", "b"], ["3 shared addresses"], ["decline ratio 4.0x above"], "idn_1", 4, 2, 2, "owns -> owns", 0.31, ["ring_membership"]), ("c2", 4, 0.1, 0.2, [], [], [], None, 0, 0, 0, None, 0.0, [])]
