@@ -5,6 +5,7 @@ import struct
 from collections import defaultdict
 
 import corpus_pipeline
+import pytest
 from ringspan.llm import grammar, mixing, quality_rules, secrets
 from ringspan.llm.bpe import vocabulary
 from ringspan.llm.common import fresh
@@ -73,9 +74,21 @@ def taken(rows):
     return [r for r in rows if u(r[0]) < (weight[cell(r)] / tokens[cell(r)] if tokens[cell(r)] else 1.0)]
 
 
-def test_pipeline_matches_brute_force(spark):
-    rows = near_rows() + documents()[:1]
-    spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet((folder := fresh(spark, "in")) + "/documents.parquet")
+def hard_rows():
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, one id on many rows."""
+    rows = near_rows() + documents()[:1] + [(None, f"a text without an id, number {i}, of ten words or a few more", None, None) for i in range(12)]
+    rows += [(900, f"one id stands for text number {i} and that is {i} of many", "en", "hot") for i in range(15)] + [(901, documents()[11][1], "en", "a")] * 2
+    cases = [[r[k] for r in rows] for k in range(4)]
+    assert all(None in c for c in cases) and "" in cases[1] and max(len(t or "") for t in cases[1]) > 150_000 and len(set(rows)) < len(rows)
+    return rows
+
+
+@pytest.mark.parametrize("columns", [COLUMNS, None])
+def test_pipeline_matches_brute_force(spark, columns):
+    """With the columns of documents alone, and with extra ones that carry the operators' own names."""
+    rows = hard_rows()
+    docs = frame(spark, rows)
+    docs.select(columns or docs.columns).repartition(3).write.parquet((folder := fresh(spark, "in")) + "/documents.parquet")
     model, want = grammar.default_model(), [r for r in rows if good(r)]
     want = one_of_each(want)
     want = taken([(r[0], secrets.masked(r[1], secrets.find(r[1], model)), *r[2:]) for r in want])
