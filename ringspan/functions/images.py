@@ -127,9 +127,32 @@ def layout(template: int, rng: np.random.Generator, jitter: float = 0.004, shape
     return np.clip(page + rng.normal(0, 0.01, shape), 0, 1)
 
 
-def image_corpus(spark, path: str, pattern: str = "*.ppm") -> DataFrame:
-    """Images as binary rows."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+def ppm(image: np.ndarray) -> bytes:
+    """An image in [0, 1] as a binary PPM of eight bits."""
+    body = (np.clip(image, 0, 1) * 255).round().astype(np.uint8)
+    return f"P6\n{body.shape[1]} {body.shape[0]}\n255\n".encode() + body.tobytes()
+
+
+def rendered(spark, n: int, seed: int = 0) -> DataFrame:
+    """path, content of ``n`` procedural portraits, each from its own number."""
+
+    def run(batches):
+        for pdf in batches:
+            made = [np.random.default_rng([seed, int(i)]) for i in pdf["id"]]
+            yield pd.DataFrame({"path": [f"rendered/{i}.ppm" for i in pdf["id"]], "content": [ppm(face(rng.normal(size=64), rng)) for rng in made]})
+
+    return spark.range(n).mapInPandas(run, "path string, content binary")
+
+
+def image_corpus(spark, path: str | None, pattern: str = "*.ppm", fallback: int = 64, seed: int = 0) -> DataFrame:
+    """Images as binary rows (path, content); where there is no folder, or none in it, procedural ones."""
+    if path is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+            if not found.select("path").isEmpty():
+                return found
+    return rendered(spark, fallback, seed)
 
 
 def parse_ppm(raw: bytes) -> np.ndarray:

@@ -202,6 +202,32 @@ def l3(spark, d):
     return scored.select("seq", "y", F.round("score", 6).alias("score"), (F.col("score") >= model.threshold_at_target_fpr).alias("flagged"))
 
 
+@query("S11_image_corpus")
+def s11(spark, d):
+    """A portrait a vector is written as a file by the executors; the folder is read back as a corpus and measured."""
+    root = folder(spark, "images")
+
+    def write(batches):
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        for pdf in batches:
+            paths = []
+            for vec_id, vector, label in zip(pdf["vec_id"], pdf["embedding"], pdf["label"], strict=True):
+                store, path = fs.FileSystem.from_uri(f"{root}/{vec_id % 16}/{vec_id}.ppm")
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(I.ppm(I.face(np.asarray(vector, float), np.random.default_rng(int(vec_id)), synthetic=label % 2 == 1)))
+                paths.append(path)
+            yield pd.DataFrame({"path": paths})
+
+    A.table(spark, d, "embeddings").mapInPandas(write, "path string").count()
+    found = I.image_features(I.image_corpus(spark, root))
+    number = F.regexp_extract("path", r"([0-9]+)\.ppm$", 1).cast("bigint").alias("vec_id")
+    return found.select(number, *[F.round(c, 6).alias(c) for c in ("spectral_peak_ratio", "residual_kurtosis", "color_corr_anomaly", "saturation_clip_ratio")])
+
+
 @query("H13_H14_H15_H16_image_statistics")
 def h13(spark, d):
     import numpy as np

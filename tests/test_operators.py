@@ -278,6 +278,20 @@ def test_image_statistics_by_hand():
     assert np.allclose(I.descriptor(np.full((64, 64), 0.3)), 0)
 
 
+def test_image_corpus_and_its_fallback(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    pictures = {f"{i}.ppm": (rng.random((12, 10, 3)) * 255).round() / 255 for i in range(3)}
+    for name, picture in pictures.items():
+        (tmp_path / name).write_bytes(I.ppm(picture))
+    (tmp_path / "notes.txt").write_text("no image")
+    found = {r.path.rpartition("/")[2]: I.parse_ppm(bytes(r.content)) for r in I.image_corpus(spark, f"file://{tmp_path}").collect()}
+    assert found.keys() == pictures.keys() and all(np.allclose(found[k], pictures[k]) for k in pictures)
+    for path in (None, f"file://{tmp_path}/nowhere"):
+        assert I.image_corpus(spark, path, fallback=5).count() == 5
+    one, again = (I.image_features(I.image_corpus(spark, None, fallback=3)).collect() for _ in range(2))
+    assert one == again and len(one) == 3 and len(one[0].descriptor) == 99
+
+
 def test_scenarios_and_rules(tmp_path):
     tiny = config.load_scenario("tiny")
     assert (tiny["seed"], tiny["ring"]["n_rings"], tiny["ring"]["burst_intensity"]) == (7, 2, 45.0)
