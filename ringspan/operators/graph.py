@@ -194,7 +194,7 @@ def _named(names: list, home: list[int]) -> dict:
 
 
 #: Edges of a component above which its nodes are moved by rounds over the whole cluster before one task sees it.
-ONE_TASK_EDGES = 200_000
+ONE_TASK_EDGES = 600_000
 MOVE_ROUNDS = 24
 
 
