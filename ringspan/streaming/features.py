@@ -16,12 +16,12 @@ FEATURES = ", ".join([f"acct_n_{w} bigint, acct_decline_ratio_{w} double, acct_d
 OUT = f"account bigint, seq bigint, us bigint, {FEATURES}"
 
 
-def _distinct(codes: np.ndarray, low: np.ndarray) -> list[int]:
+def _distinct(codes: list, low: list[int]) -> list[int]:
     """For each i, how many distinct codes lie in [low[i], i): both ends only move on."""
     held, n, at, out = {}, 0, 0, []
-    for i, code in enumerate(codes.tolist()):
+    for i, code in enumerate(codes):
         while at < low[i]:
-            gone = int(codes[at])
+            gone = codes[at]
             held[gone] -= 1
             n -= held[gone] == 0
             at += 1
@@ -34,25 +34,28 @@ def _distinct(codes: np.ndarray, low: np.ndarray) -> list[int]:
 def _update(key, pdfs, state):
     """Each event is scored on what was seen before it, then added; entries older than a week leave the state.
     Ratios and means come from running totals, distincts from counts that are kept up as the window moves on."""
-    new = pd.concat(list(pdfs)).sort_values(["us", "seq"])
+    parts = list(pdfs)
+    new = parts[0] if len(parts) == 1 else pd.concat(parts)
+    order = np.lexsort((new["seq"].to_numpy(), new["us"].to_numpy()))
+    new = {c: new[c].to_numpy()[order] for c in ("seq", "us", "declined", "card", "merchant", "amount")}
     held = state.get if state.exists else ([], [], [], [], [])
-    us, bad, amounts = (np.concatenate([np.array(h, kind), new[c].to_numpy(kind)]) for h, c, kind in ((held[0], "us", np.int64), (held[1], "declined", float), (held[4], "amount", float)))
-    cards, shops = [*held[2], *new.card], [*held[3], *new.merchant]
-    first, n = len(held[0]), np.arange(len(us))
+    us, bad, amounts = (np.concatenate([np.array(h, kind), new[c].astype(kind)]) for h, c, kind in ((held[0], "us", np.int64), (held[1], "declined", float), (held[4], "amount", float)))
+    cards, shops = [*held[2], *new["card"].tolist()], [*held[3], *new["merchant"].tolist()]
+    # the latest time seen so far: an event that comes late counts as of that time
+    clock, first, n = np.maximum.accumulate(us), len(held[0]), np.arange(len(us))
     sums = {c: np.concatenate([[0.0], np.cumsum(v)]) for c, v in (("bad", bad), ("amount", amounts))}
-    codes = {c: pd.factorize(pd.Series(v, dtype=object), use_na_sentinel=False)[0] for c, v in (("pans", cards), ("merchants", shops))}
-    out = {"account": key[0], "seq": new.seq.to_numpy(), "us": us[first:]}
+    out = {"account": np.full(len(us) - first, key[0]), "seq": new["seq"], "us": us[first:]}
     for name, seconds in SPANS.items():
         # what came before in order of processing, and lies within the span
-        low = np.minimum(np.searchsorted(us, us - seconds * 1_000_000, "left"), n)
+        low = np.minimum(np.searchsorted(clock, clock - seconds * 1_000_000, "left"), n)
         seen = n - low
         mean = lambda c: (np.where(seen > 0, (sums[c][n] - sums[c][low]) / np.maximum(seen, 1), 0.0))[first:]  # noqa: B023, E731
         out |= {f"acct_n_{name}": seen[first:], f"acct_decline_ratio_{name}": mean("bad")}
-        out |= {f"acct_distinct_{c}_{name}": _distinct(v, low)[first:] for c, v in codes.items()}
+        out |= {f"acct_distinct_{c}_{name}": np.array(_distinct(v, low.tolist())[first:], np.int64) for c, v in (("pans", cards), ("merchants", shops))}
         out[f"acct_mean_amount_{name}"] = mean("amount")
-    keep = int(np.searchsorted(us, us[-1] - WEEK_US, "left")) if len(us) else 0
+    keep = int(np.searchsorted(clock, clock[-1] - WEEK_US, "left")) if len(us) else 0
     state.update((us[keep:].tolist(), bad[keep:].tolist(), cards[keep:], shops[keep:], amounts[keep:].tolist()))
-    yield pd.DataFrame(out)
+    yield pd.DataFrame(out, copy=False)
 
 
 def online_features(stream: DataFrame) -> DataFrame:
