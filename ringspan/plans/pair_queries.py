@@ -159,17 +159,17 @@ def j14(spark, d):
     return both.withColumn("device", F.last("new", ignorenulls=True).over(w)).filter("kind = 1").select("seq", "device")
 
 
-@query("K1_order_by_time_and_availability", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber)::BIGINT AS by_time, row_number() OVER (ORDER BY l_receiptdate, l_orderkey, l_linenumber)::BIGINT AS by_availability FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_shipdate + INTERVAL (20 + (l_orderkey * 7 + l_linenumber) % 41) DAY AS l_receiptdate FROM lineitem)")
+@query("K1_order_by_time_and_availability", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::BIGINT AS by_time, row_number() OVER (ORDER BY l_receiptdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::BIGINT AS by_availability FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_shipdate + INTERVAL (20 + (l_orderkey * 7 + l_linenumber) % 41) DAY AS l_receiptdate FROM lineitem)")
 def k1(spark, d):
     """Labels in order of their events' time and of when they became available (20 to 60 days later), each a place in a
     total order, by ranges."""
     from ..operators.ordered import places
 
+    tie = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")  # numbers of lines repeat
     wait = (20 + (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 41).cast("int")
-    rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("at")).withColumn("available", F.date_add("at", wait))
-    tie = ("l_orderkey", "l_linenumber")
+    rows = A.table(spark, d, "lineitem").select(*tie, F.col("l_shipdate").cast("date").alias("at")).withColumn("available", F.date_add("at", wait))
     first = places(rows, ("at", *tie), "by_time")
-    return places(first, ("available", *tie), "by_availability").select(*tie, "by_time", "by_availability")
+    return places(first, ("available", *tie), "by_availability").select("l_orderkey", "l_linenumber", "by_time", "by_availability")
 
 
 @query("K3_A15_top_per_group", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3 AND o_totalprice >= 1000")
