@@ -403,3 +403,45 @@ def test_model_round_trip(spark, tmp_path):
     again = TrainedModel.load(spark, model.save(f"file://{tmp_path}/m"))
     p, q = (sorted(r.score for r in m.predict(df).collect()) for m in (model, again))
     assert p == q and 0 <= p[0] < p[-1] <= 1 and again.threshold_at_target_fpr == model.threshold_at_target_fpr
+
+
+@pytest.mark.parametrize("way", ["prefixes", "cells"])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 1.0])
+def test_both_ways_of_the_jaccard_join_are_exact(spark, threshold, way):
+    """Sets of one or of many sizes, over two words of bits and more blocks than one; an empty set has no partner."""
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(100), rng.randrange(1, 12))) for _ in range(60)] + [sorted(rng.sample(range(8), 4)) for _ in range(60)] + [[], [1, 2, 99], [1, 2, 99]]
+    tags = spark.createDataFrame([(f"n{i}", s) for i, s in enumerate(sets)], "identity string, indices array<int>")
+    if way == "prefixes":
+        found = P.by_prefixes(tags, threshold)
+    else:
+        found = P.in_cells([(tags, threshold, 0)], 2, 5000)
+    got = sorted((r.left, r.right, r.weight) for r in found.collect())
+    like = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = [(*sorted((f"n{i}", f"n{j}")), like(sets[i], sets[j])) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and like(sets[i], sets[j]) >= threshold]
+    assert got == sorted(want) and len(want) > 2
+
+
+def test_common_indices_make_no_joined_candidates(spark):
+    """16 of 64 indices: prefixes join nearly all pairs many times over, so the sets go to cells."""
+    rng = random.Random(6)
+    tags = spark.createDataFrame([(i, rng.sample(range(64), 16)) for i in range(200)], "identity int, indices array<int>")
+    plan = P.overlapping(tags, 0.3)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    rare = spark.createDataFrame([(i, [i, i + 1, 4000]) for i in range(200)], "identity int, indices array<int>")
+    assert "Join" in P.overlapping(rare, 0.9)._jdf.queryExecution().toString()
+
+
+def test_links_are_merged_where_near_duplicates_are_found(spark):
+    """In cells, by prefixes, or both: one row a pair, of tokens and of two kinds of tag."""
+    rng = random.Random(7)
+    near = {f"near_duplicate:{k}": (spark.createDataFrame([(i, rng.sample(range(64), 16)) for i in range(90)], "identity bigint, indices array<int>"), 0.3) for k in ("face", "hypervector")}
+    plain = spark.createDataFrame([(*sorted(rng.sample(range(100), 2)), rng.choice(["shared:device", "pii_recombination:dob", "email_shape"]), 0.5) for _ in range(2000)], "left bigint, right bigint, kind string, weight double")
+    want = defaultdict(list)
+    for r in P.resolve(plain, *[P.by_prefixes(t, threshold, kind) for kind, (t, threshold) in near.items()]).collect():
+        want[r.left, r.right].append((next(i for i, p in enumerate(P.PRIORITY) if r.kind.startswith(p)), r.weight))
+    for found in (P.merged(plain, near), P.merged(P.resolve(plain, *[P.by_prefixes(t, threshold, kind) for kind, (t, threshold) in near.items()]))):
+        got = {(r.left, r.right): r for r in found.collect()}
+        assert found.count() == len(got) == len(want)
+        assert all((got[k].n, got[k].seq) == (len(v), min(s for s, _ in v)) and got[k].weight == pytest.approx(sum(w for _, w in v)) for k, v in want.items())
+    assert "MapInArrow" in P.merged(plain, near)._jdf.queryExecution().toString()
