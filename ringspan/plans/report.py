@@ -43,7 +43,7 @@ def reached(auth: DataFrame, truth: DataFrame, people: DataFrame) -> tuple[DataF
     propagated over the graph. people: tokens, handle and ring of each identity."""
     acted = people.filter("ring IS NOT NULL").join(truth.filter("first_fraud IS NOT NULL").select("account", "first_fraud"), "account")
     seeds = acted.groupBy("ring").agg(F.min_by("identity", F.struct("first_fraud", "identity")).alias("identity"))
-    edges = written(G.build(people, auth, links=P.resolve(P.shared_tokens(people), P.recombined(people))), "report-graph")
+    edges = written(G.build(people, auth, links=P.merged(P.resolve(P.shared_tokens(people), P.recombined(people)))), "report-graph")
     start = seeds.select(F.concat(F.lit("identity:"), "identity").alias("node"), F.lit(1.0).alias("score"))
     found = G.propagate(edges, start).filter(F.col("node").startswith("identity:"))
     return seeds, found.select(F.substring("node", len("identity:") + 1, 1 << 20).alias("identity"))

@@ -81,3 +81,9 @@ def test_near_duplicates_are_counted_where_they_are_found(spark, name):
     """Near duplicates of 16 of 64 indices grow with the square of the rows: none is joined on its index or shuffled."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "MapInArrow" in plan and "array_intersect" not in plan and "Generate explode(indices" not in plan
+
+
+def test_edges_of_links_are_not_shuffled_as_names(spark):
+    """Links are merged by number where they are found; no edge is grouped or sorted under its names."""
+    plan = QUERIES["G1_G2_A11_merged_edges"](spark, DATA)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "MapInArrow" in plan and "hashpartitioning(src" not in plan and "array_intersect" not in plan
