@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -445,3 +446,33 @@ def test_links_are_merged_where_near_duplicates_are_found(spark):
         assert found.count() == len(got) == len(want)
         assert all((got[k].n, got[k].seq) == (len(v), min(s for s, _ in v)) and got[k].weight == pytest.approx(sum(w for _, w in v)) for k, v in want.items())
     assert "MapInArrow" in P.merged(plain, near)._jdf.queryExecution().toString()
+
+
+def test_ties_of_propagation_go_by_hops_source_and_name(spark):
+    """Three ways of one score reach node x; the edges are neither shuffled nor sorted for the best score."""
+    edges = spark.createDataFrame([("identity:1", "device:10", "observed_together", 1.0), ("identity:2", "device:9", "observed_together", 1.0), ("device:10", "identity:7", "observed_together", 1.0), ("device:9", "identity:7", "observed_together", 1.0), ("identity:2", "device:10", "observed_together", 1.0)], "src string, dst string, edge_type string, weight double")
+    got = {r.node: r for r in G.propagate(edges, spark.createDataFrame([("identity:1", 1.0), ("identity:2", 1.0)], "node string, score double")).collect()}
+    assert (got["device:10"].source, got["device:9"].source) == ("identity:1", "identity:2")
+    assert (got["identity:7"].hops, got["identity:7"].source, [h.to_node for h in got["identity:7"].path]) == (2, "identity:1", ["device:10", "identity:7"])
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    import glob
+
+    from ringspan.operators.storage import CLEANUP, written
+
+    folder = spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+    files = lambda: {*glob.glob(f"{folder}/**/shuffle_*.data", recursive=True), *glob.glob(f"{folder}/../blockmgr-*/**/shuffle_*.data", recursive=True)}
+    before, was = files(), spark.conf.get(CLEANUP, None)
+    made = written(spark.range(50_000).groupBy((F.col("id") % 20_000).alias("k")).count(), "cleaned")
+    for _ in range(50):  # they go in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(CLEANUP, None) == was and made.count() == 20_000
+
+
+def test_summary_counts_edges_by_their_ends(spark):
+    edges = spark.createDataFrame([("a:1", "b:1"), ("a:1", "b:2"), ("a:2", "b:1")], "src string, dst string")
+    assert {tuple(r) for r in G.summary(edges).collect()} == {("a", 2), ("b", 2), ("edges", 3)}
+    assert {tuple(r) for r in G.summary(edges.filter("src = 'c'")).collect()} == {("edges", 0)}
