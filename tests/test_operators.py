@@ -476,3 +476,18 @@ def test_summary_counts_edges_by_their_ends(spark):
     edges = spark.createDataFrame([("a:1", "b:1"), ("a:1", "b:2"), ("a:2", "b:1")], "src string, dst string")
     assert {tuple(r) for r in G.summary(edges).collect()} == {("a", 2), ("b", 2), ("edges", 3)}
     assert {tuple(r) for r in G.summary(edges.filter("src = 'c'")).collect()} == {("edges", 0)}
+
+
+@pytest.mark.parametrize("size", [6, 60])
+def test_louvain_on_arrays_finds_planted_groups(size):
+    """Groups of few and of many neighbours, a loop, and two rows of one pair; 300,000 edges take seconds, not minutes."""
+    rng = random.Random(8)
+    rows = [(size * c + i, size * c + j, 1.0) for c in range(170) for i in range(size) for j in range(i)] + [(rng.randrange(170 * size), rng.randrange(170 * size), 0.05) for _ in range(500)]
+    rows += [(0, 0, 0.5), (0, 1, 0.5), (1, 0, 0.5)]
+    left, right, weight = map(np.array, zip(*rows, strict=True))
+    began = time.time()
+    nodes, roots = G._louvain(left, right, weight, 2 * weight.sum(), 1.0, 7)
+    assert time.time() - began < 60
+    found = dict(zip(nodes.tolist(), roots.tolist(), strict=True))
+    assert len(found) == 170 * size and all(len({found[size * c + i] for i in range(size)}) == 1 for c in range(170))
+    assert all(r <= n for n, r in found.items()) and len({*found.values()}) > 20
