@@ -5,8 +5,9 @@ response, the others revisit it. Pages are shuffled once, by (page_id, digest),
 nor a common host makes a large task, and each task writes gzip-per-record WARC/1.1 files.
 
 Index: the captures' reversed-host URL keys are range-sorted (host, path and page_id, so a common host is split)
-into compressed blocks; a sparse directory has the first key, file, offset and length of each block. A lookup
-binary-searches the directory, reads one run of blocks and then only the ranges of the records it wants.
+into compressed blocks; a sparse directory has the first key and id, file, offset and length of each block. A lookup
+binary-searches the directory, reads one run of blocks and then only the ranges of the records it wants. The query looks
+up every page by its key and id, and reads the records it is led to.
 
 Edge cases: a null html is an empty payload; a null page_id ranks last and has no id header; a null url has the key
 '' and no target header; rows equal in page_id and payload are each a capture, of which those with the least url
@@ -154,7 +155,7 @@ def _write_index(folder: str):
             def ended():
                 nonlocal offset
                 raw = gzip_member(b"".join(lines))
-                places.append((json.loads(lines[0])[0], uri, offset, len(raw), len(lines)))
+                places.append((*json.loads(lines[0])[:2], uri, offset, len(raw), len(lines)))
                 offset += len(raw)
                 return raw
 
@@ -169,8 +170,8 @@ def _write_index(folder: str):
 
         put_file(uri, blocks())
         if places:
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*places, strict=True), kinds, strict=True)], names=["first_key", "path", "offset", "length", "lines"])
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*places, strict=True), kinds, strict=True)], names=["first_key", "first_id", "path", "offset", "length", "lines"])
 
     return run
 
@@ -178,7 +179,7 @@ def _write_index(folder: str):
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
     """Sorts the captures into compressed blocks; the sparse directory, as a table in the shared folder."""
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "path", "offset")
-    return written(ordered.mapInArrow(_write_index(folder), "first_key string, path string, offset bigint, length bigint, lines bigint"), "directory")
+    return written(ordered.mapInArrow(_write_index(folder), "first_key string, first_id bigint, path string, offset bigint, length bigint, lines bigint"), "directory")
 
 
 def _range(uri: str, at: int, length: int) -> bytes:
@@ -224,6 +225,7 @@ def _read_records(batches):
 
 
 def read_index(directory: DataFrame) -> DataFrame:
+    """All lines of the index."""
     return directory.select("path", "offset", "length").mapInArrow(_read_blocks, CAPTURES)
 
 
@@ -233,31 +235,77 @@ def read_archives(captures: DataFrame) -> DataFrame:
     return placed.mapInArrow(_read_records, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
+def _place(key: str, page_id: int | None) -> tuple:
+    """The index's order: Spark puts nulls first."""
+    return key, page_id is not None, page_id or 0
+
+
 class CaptureIndex:
-    """Lookups by URL over the sparse directory."""
+    """Lookups by URL, or by key and page, over the sparse directory."""
 
     def __init__(self, directory: list):
-        self.blocks = sorted((r["first_key"], r["path"], r["offset"], r["length"]) for r in directory)
+        self.blocks = sorted((_place(r["first_key"], r["first_id"]), r["path"], r["offset"], r["length"]) for r in directory)
         self.firsts = [b[0] for b in self.blocks]
+        self.held: dict[int, tuple[list, list]] = {}
+
+    def _lines(self, i: int) -> tuple[list, list]:
+        """(places, lines) of a block; the last two are kept, for lookups that come in order."""
+        if i not in self.held:
+            self.held = {k: v for k, v in self.held.items() if k == i - 1}
+            lines = [json.loads(x) for x in zlib.decompress(_range(*self.blocks[i][1:]), 31).split(b"\n")[:-1]]
+            self.held[i] = [_place(*x[:2]) for x in lines], lines
+        return self.held[i]
+
+    def _between(self, low: tuple, high: tuple):
+        """Lines whose places lie in [low, high]: a binary search of the directory, then of each block of the run."""
+        i = max(0, bisect.bisect_left(self.firsts, low) - 1)
+        while i < len(self.blocks) and self.firsts[i] <= high:
+            places, lines = self._lines(i)
+            yield from lines[bisect.bisect_left(places, low) : bisect.bisect_right(places, high)]
+            i += 1
+
+    def captures(self, key: str, page_id: int | None):
+        """Index lines of a page under its URL's key."""
+        return self._between(place := _place(key, page_id), place)
 
     def find(self, url: str) -> list[list]:
         """Index lines of the captures of a URL."""
-        key, found = url_key(url), []
-        i = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while i < len(self.blocks) and self.firsts[i] <= key:
-            _, path, at, length = self.blocks[i]
-            found += [r for r in map(json.loads, zlib.decompress(_range(path, at, length), 31).split(b"\n")[:-1]) if r[0] == key]
-            i += 1
-        return found
+        return list(self._between((key := url_key(url), False, 0), (key, True, float("inf"))))
 
     def read(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         return [parse(_range(path, at, length)) for _, _, path, at, length in self.find(url)]
 
 
+def _keys(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(map(url_key, batch.column("url").to_pylist()), pa.string()), batch.column("page_id")], names=["key", "page_id"])
+
+
+def look_up(pages: DataFrame, directory: DataFrame) -> DataFrame:
+    """The captures of every page, each page found by its URL's key and id in the two-level index. The directory has a row
+    for some thousand captures and goes to all tasks; lookups come in the index's order, so that a task reads a block once."""
+    blocks = [r.asDict() for r in directory.collect()]
+
+    def run(batches):
+        index, last = CaptureIndex(blocks), None
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            held = []
+            for wanted in zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist(), strict=True):
+                if wanted != last:  # repeated rows are found together
+                    held += index.captures(*wanted)
+                last = wanted
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["key", "page_id", "path", "offset", "length"])
+
+    wanted = pages.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id")).mapInArrow(_keys, "key string, page_id bigint")
+    return wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, CAPTURES)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = fresh(spark, "warc")
-    directory = write_index(write_archives(table(spark, sf_dir, "pages"), folder), f"{folder}-index")
-    return read_archives(read_index(directory))
+    folder, pages = fresh(spark, "warc"), table(spark, sf_dir, "pages")
+    directory = write_index(write_archives(pages, folder), f"{folder}-index")
+    return read_archives(look_up(pages, directory))
 
 
 _FIVE = "('0x' || substr(h, {0}, 5))::INTEGER"

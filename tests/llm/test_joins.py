@@ -329,3 +329,37 @@ def test_empty_tables(spark):
     assert url_filters.evaluate(captures, url_filters.intervals(entries)).count() == 0
     one = spark.createDataFrame([(1, "http://a.com", DAY)], "page_id bigint, url string, fetched date")
     assert url_filters.evaluate(one, url_filters.intervals(entries)).first().verdict == "none"
+
+
+def test_every_page_is_looked_up_in_the_two_level_index(spark, monkeypatch):
+    """Null and repeated ids, one URL on more pages than a block has lines, and keys that prefix others: each capture once."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)  # blocks are written in tasks, which get the value with the closure or keep 3,000
+    urls = [None, "", "http://a.b/", "http://a.b/x", "http://a.b/xy", "https://www.a.b/x"] + ["http://hot.example/p"] * 40
+    rows = [(i // 2 if i % 9 else None, urls[i % len(urls)], f"<p>{i % 11}</p>") for i in range(400)] + [(5, "http://a.b/x", "<p>same</p>")] * 3
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    folder = f"{warc.fresh(spark, 'warc')}"
+    captures = warc.write_archives(pages, folder)
+    directory = warc.write_index(captures, f"{folder}-index")
+    found = [tuple(r) for r in warc.look_up(pages, directory).collect()]
+    assert Counter(found) == Counter(tuple(r) for r in captures.collect()) and len(found) == len(rows)
+    some = spark.createDataFrame([(5, "http://a.b/x", None), (10**9, "http://nowhere.example/", None)], pages.schema)
+    assert len(warc.look_up(some, directory).collect()) == sum(r[0] == 5 and warc.url_key(r[1]) == warc.url_key("http://a.b/x") for r in rows)
+
+
+def test_small_blocks_are_searched(spark):
+    """A binary search in blocks of three lines, key by key, nulls first."""
+    index = warc.CaptureIndex([])
+    lines = sorted(([k, p, "f", 0, 0] for k in ("", "a", "ab", "b") for p in (None, 1, 1, 2, 30)), key=lambda x: warc._place(*x[:2]))
+    blocks = [lines[i : i + 3] for i in range(0, len(lines), 3)]
+    index.blocks, index.firsts = blocks, [warc._place(*b[0][:2]) for b in blocks]
+    index._lines = lambda i: ([warc._place(*x[:2]) for x in blocks[i]], blocks[i])
+    for k in ("", "a", "aa", "ab", "b", "c"):
+        for p in (None, 0, 1, 2, 30):
+            assert list(index.captures(k, p)) == [x for x in lines if x[:2] == [k, p]]
+
+
+def test_the_query_finds_its_records_by_lookups(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(warc, "look_up", lambda *a, f=warc.look_up: called.append(1) or f(*a))
+    monkeypatch.setattr(warc, "read_index", None)
+    assert warc.op7_warc(spark, "/root/testdata/sf0.001").count() == 50 and called
