@@ -491,3 +491,37 @@ def test_louvain_on_arrays_finds_planted_groups(size):
     found = dict(zip(nodes.tolist(), roots.tolist(), strict=True))
     assert len(found) == 170 * size and all(len({found[size * c + i] for i in range(size)}) == 1 for c in range(170))
     assert all(r <= n for n, r in found.items()) and len({*found.values()}) > 20
+
+
+@pytest.mark.parametrize(("rows", "at_once"), [(500_000, 1 << 19), (150, 40)])
+def test_projected_pairs_are_added_up_in_blocks(spark, monkeypatch, rows, at_once):
+    """Every pair once, with each attribute it shares; no pair is joined or shuffled, and unknown attributes join nobody."""
+    monkeypatch.setattr("ringspan.operators.shares.BLOCK_ROWS", rows)
+    monkeypatch.setattr("ringspan.operators.shares.AT_ONCE", at_once)
+    rng = random.Random(5)
+    held = [(rng.randrange(90) - 7, rng.randrange(60), rng.choice([*G.PROJECTED, "merchant"])) for _ in range(3000)] + [(1, None, "device"), (2, None, "device"), (None, 3, "device")]
+    found = G.project(spark.createDataFrame(held, "identity bigint, attribute bigint, kind string"), owners=(2, 9))
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "MapInArrow" in plan and "Join" not in plan
+    owners, want = defaultdict(set), defaultdict(list)
+    for identity, attribute, kind in held:
+        if attribute is not None and kind in G.PROJECTED:
+            owners[kind, attribute].add(identity)
+    for (kind, _), who in owners.items():
+        if 2 <= len(who) <= 9:
+            for pair in itertools.combinations(sorted(who - {None}), 2):
+                want[pair].append((kind, G.SHARE[kind] / math.sqrt(len(who) - 1)))
+    got = {(r.left, r.right): r for r in found.collect()}
+    assert found.count() == len(got) and set(got) == set(want) and len(got) > 500
+    assert all(got[k].tags == dict(Counter(kind for kind, _ in v)) and got[k].weight == pytest.approx(sum(w for _, w in v)) for k, v in want.items())
+
+
+def test_stars_join_what_the_edges_join(spark):
+    from ringspan.operators.components import components, stars
+
+    rng = random.Random(2)
+    chain = [(i, i + 1) for i in range(1000, 1400)]
+    edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(2000)] + [(5000 + rng.randrange(200), 5000 + rng.randrange(200)) for _ in range(90)] + rng.sample(chain, len(chain)), "a bigint, b bigint").repartition(3)
+    few = stars(edges)
+    assert few.count() <= 3 * 661 - 3
+    assert {tuple(r) for r in components(few).collect()} == {tuple(r) for r in components(edges).collect()}
