@@ -87,3 +87,10 @@ def test_edges_of_links_are_not_shuffled_as_names(spark):
     """Links are merged by number where they are found; no edge is grouped or sorted under its names."""
     plan = QUERIES["G1_G2_A11_merged_edges"](spark, DATA)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "MapInArrow" in plan and "hashpartitioning(src" not in plan and "array_intersect" not in plan
+
+
+def test_top_communities_are_the_same_in_small_blocks(spark, monkeypatch):
+    rows = lambda: sorted((r.size, round(r.score, 9)) for r in QUERIES["K2_list_communities"](spark, DATA).collect())
+    whole = rows()
+    monkeypatch.setattr("ringspan.operators.shares.BLOCK_ROWS", 300)
+    assert rows() == whole != []
