@@ -1,9 +1,11 @@
 """Queries do the whole job: nothing of their input is left out."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ringspan import adapters as A
 from ringspan.operators import graph as G
@@ -94,3 +96,18 @@ def test_top_communities_are_the_same_in_small_blocks(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr("ringspan.operators.shares.BLOCK_ROWS", 300)
     assert rows() == whole != []
+
+
+def test_members_go_to_the_attributes(spark):
+    """However large the tables: edges, which are many, stay where they are."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([(i, i // 2, "device") for i in range(20)], "identity bigint, attribute bigint, kind string")
+        found = G.shared_attributes(edges.select((F.col("identity") % 3).alias("community"), "identity"), edges.union(edges.selectExpr("identity + 3", "attribute", "kind")))
+        plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        held = Counter((i % 3, a) for i, a in {(i, i // 2) for i in range(20)} | {(i + 3, i // 2) for i in range(17)})
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {(r.community, r.incidences) for r in found.collect()} == {(c, n) for c in range(3) if (n := sum(k for (x, _), k in held.items() if x == c and k > 1))}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
