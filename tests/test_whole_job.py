@@ -111,3 +111,12 @@ def test_members_go_to_the_attributes(spark):
         assert {(r.community, r.incidences) for r in found.collect()} == {(c, n) for c in range(3) if (n := sum(k for (x, _), k in held.items() if x == c and k > 1))}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_device_neighbours_need_no_links(spark):
+    """Links join identities, so that no near duplicate is looked for, and the graph's edges to devices are all there."""
+    plan = QUERIES["G9_device_neighbours"](spark, DATA)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "MapInArrow" not in plan
+    whole = graph_queries.graph(spark, DATA).filter("src LIKE 'device:%' OR dst LIKE 'device:%'")
+    only = G.build(graph_queries.people(spark, DATA), graph_queries.auth(spark, DATA), end="device")
+    assert 0 < only.count() == whole.count() and whole.exceptAll(only).isEmpty()
