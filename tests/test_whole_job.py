@@ -66,6 +66,34 @@ def test_communities_found_by_rounds_are_as_good(spark, most):
     assert modularity > 0.85
 
 
+def test_pairs_of_a_large_component_are_not_written(spark, monkeypatch):
+    """Where nearly all suppliers share a part, pairs between communities are added up, not kept."""
+    written, kept, d = G.written, {}, "/root/testdata/sf0.01"
+    monkeypatch.setattr(G, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    monkeypatch.setattr(G, "ONE_TASK_EDGES", 1000)
+    members, table = graph_queries.found(spark, d)
+    assert kept["projection"].count() == 0
+    pairs = G.project(A.attribute_edges(spark, d)).toPandas()
+    home = {r.identity: r.community for r in members.collect()}
+    inside = pairs[pairs.left.map(home) == pairs.right.map(home)]
+    by = inside.groupby(inside.left.map(home)).weight.agg(["count", "mean"])
+    assert len(pairs) > 4000 and len(home) == 100
+    assert {r.community: (r.edges, round(r.cohesion, 9)) for r in table.collect()} == {c: (n, round(w, 9)) for c, n, w in by.itertuples()}
+
+
+@pytest.mark.parametrize("most", [10, 60, 10**9])
+def test_communities_of_owners_are_as_good(spark, most):
+    """The cliques of the test above as attributes: those of a component of its own stay apart."""
+    held = [(100 * k + i, 1000 * k + 20 * c, "device") for k in range(2) for c in range(8) for i in range(12 * c, 12 * c + 12)]
+    held += [(100 * k + i, 1000 * k + 20 * c + 1, "ip_asn") for k in range(2) for c in range(8) for i in (12 * c, 12 * ((c + 1) % 8) + 1)]
+    edges = spark.createDataFrame(held, "identity bigint, attribute bigint, kind string")
+    members, table = G.shared_communities(edges, most=most)
+    home = {r.identity: r.community for r in members.collect()}
+    assert len(home) == 192 and all(len({home[100 * k + 12 * c + i] for i in range(12)}) == 1 for k in range(2) for c in range(8))
+    assert not {home[i] for i in range(96)} & {home[100 + i] for i in range(96)}
+    assert sum(r.size for r in table.collect()) == 192 and table.filter("size < 12").isEmpty()
+
+
 def test_propagation_that_never_settles_is_an_error(spark):
     edges = spark.createDataFrame([("identity:1", "device:1", "observed_together", 1.0)], "src string, dst string, edge_type string, weight double")
     with pytest.raises(RuntimeError):
