@@ -94,6 +94,42 @@ def test_communities_of_owners_are_as_good(spark, most):
     assert sum(r.size for r in table.collect()) == 192 and table.filter("size < 12").isEmpty()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_links_of_a_large_component_are_read_by_node(spark, monkeypatch):
+    """No round joins links with tables; those within communities have the number, weights and types that SQL finds."""
+    d = "/root/testdata/sf0.01"
+    monkeypatch.setattr(G, "ONE_TASK_EDGES", 1000)
+    monkeypatch.delattr(G, "moved_together")
+    members, table = graph_queries.applicants(spark, d)
+    con, home = duckdb.connect(), members.toPandas()
+    for t in ("customer", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{d}/{t}.parquet'")
+    con.register("home", home)
+    owned = " UNION ALL ".join(f"SELECT a.identity AS l, b.identity AS r, {w} / sqrt(n - 1) AS w, '{k}' AS tag FROM ident a JOIN ident b ON a.{t} = b.{t} AND a.identity < b.identity JOIN (SELECT {t}, count(*) AS n FROM ident GROUP BY {t} HAVING count(*) BETWEEN 2 AND 60) g ON g.{t} = a.{t}" for t, k, w in (("device", "device", 1.0), ("address", "address", 0.7), ("email", "email", 0.6), ("phone", "phone", 0.6), ("ip", "ip_asn", 0.4)))
+    direct = f"SELECT l, r, sum(w) AS w, arg_min(kind, o) AS tag FROM (SELECT * FROM ({graph_queries._LINKS}) x(l, r, kind, w, o)) GROUP BY l, r"
+    want = con.sql(f"""WITH {A.IDENTITY_SQL}, {A.TAG_KINDS_SQL}, every AS ({owned} UNION ALL {direct}), inside AS (SELECT h.community, e.* FROM every e JOIN home h ON h.identity = l JOIN home i ON i.identity = r AND i.community = h.community)
+SELECT community, count(DISTINCT (l, r)), sum(w) / count(DISTINCT (l, r)), avg((tag <> 'observed_together')::INTEGER) FROM inside GROUP BY community""").fetchall()
+    assert len(home) == con.sql("SELECT count(*) FROM customer").fetchall()[0][0] and len(want) > 1
+    assert {r.community: (r.edges, round(r.cohesion, 9), round(r.suspicion, 9)) for r in table.collect()} == {c: (n, round(w, 9), round(s, 9)) for c, n, w, s in want}
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_blocks_of_neighbours_change_nothing(spark, monkeypatch, kind):
+    """Cliques in a ring, their merged level with loops too: modularity is near the best, and the same however nodes are dealt."""
+    rows = [(20 * c + i, 20 * c + j) for c in range(8) for i in range(12) for j in range(i + 1, 12)] + [(20 * c, 20 * ((c + 1) % 8) + 1) for c in range(8)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), 1.0) for a, b in rows], f"left {kind}, right {kind}, weight double")
+    nodes, found = edges.selectExpr("explode(array(left, right)) AS node").distinct(), []
+    for most in (2_000_000, 40):
+        monkeypatch.setattr(G.moves, "BLOCK_NEIGHBOURS", most)
+        home, level = G.settled(edges, nodes, len(rows), 2.0 * len(rows), 1.0, 7, 9)
+        found.append((sorted(home.collect()), sorted((r.left, r.right, round(r.weight, 9)) for r in level.collect())))
+    assert found[0] == found[1] and sum(w for _, _, w in found[0][1]) == len(rows)
+    home, degree = dict(found[0][0]), Counter()
+    for a, b in rows:
+        degree.update([home[a], home[b]])
+    assert sum(home[a] == home[b] for a, b in rows) / len(rows) - sum((k / (2 * len(rows))) ** 2 for k in degree.values()) > 0.8
+
+
 def test_propagation_that_never_settles_is_an_error(spark):
     edges = spark.createDataFrame([("identity:1", "device:1", "observed_together", 1.0)], "src string, dst string, edge_type string, weight double")
     with pytest.raises(RuntimeError):
